@@ -62,7 +62,7 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
 def map_rows(
     df: DataFrame,
     columns: list[str],
-    schema: str,
+    schema: str | T.StructType,
     make: Callable[[], Callable[[list[list]], list[list]]],
     chunk_chars: int = 4_000_000,
     sized: int = 1,
@@ -74,7 +74,7 @@ def map_rows(
     holds about ``chunk_chars`` bytes of the column at index ``sized``, so
     memory follows the longest text and not the batch.
     """
-    parsed = T._parse_datatype_string(schema)
+    parsed = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
     out = arrow_schema(parsed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import bpe, token_files
+from weftgraph.llm import bpe, secrets, simhash, token_files
 
 QUERIES = {
+    "op1_secrets": secrets.op1_secrets,
     "op2_token_files": token_files.op2_token_files,
     "op6_bpe": bpe.op6_bpe,
+    "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
