@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import bpe, secrets, simhash, token_files
+from weftgraph.llm import bpe, quality_rules, secrets, simhash, token_files
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op2_token_files": token_files.op2_token_files,
     "op6_bpe": bpe.op6_bpe,
+    "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_simhash": simhash.op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_quality_rules": quality_rules.OP9_SQL,
+}
