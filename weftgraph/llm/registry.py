@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import bpe, ppm, quality_rules, secrets, simhash, token_files
+from weftgraph.llm import bpe, decontaminate, ppm, quality_rules, secrets, simhash, token_files
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op2_token_files": token_files.op2_token_files,
     "op3_ppm": ppm.op3_ppm,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_bpe": bpe.op6_bpe,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_simhash": simhash.op10_simhash,
