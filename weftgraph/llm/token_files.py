@@ -62,8 +62,8 @@ class PieceEncoder:
         """Ids of pieces, encoded as lines of one text; a line end is a token of its own there."""
         lead, mark = (" " if spaced else ""), np.frombuffer(self.line_end, "<u4")
         out: list[bytes] = []
-        for at in range(0, len(pieces), 1000):
-            some = pieces[at : at + 1000]
+        for at in range(0, len(pieces), 24):  # long lines take the library more time a piece
+            some = pieces[at : at + 24]
             ids = np.array(self.tok.encode("\n".join([lead + p for p in some]), add_special_tokens=False).ids, "<u4")
             ends = np.flatnonzero(ids == mark[0]) if len(mark) == 1 else np.empty(0, int)
             if len(ends) == len(some) - 1:
