@@ -40,18 +40,19 @@ def fingerprint(text: str, words: int = 4) -> int:
     return int(np.packbits(majority, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """``(id_col, fp)`` per row, fp the fingerprint's bits as a signed long; a null text counts as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, also: tuple[str, ...] = ()) -> DataFrame:
+    """``(id_col, *also, fp)`` per row, fp the fingerprint's bits as a signed long; a null text counts as empty."""
 
     def make():
         def work(cols):
-            fps = np.array([fingerprint(t or "", words) for t in cols[1]], np.uint64)
-            return [cols[0], pa.array(fps.view(np.int64))]
+            fps = np.array([fingerprint(t or "", words) for t in cols[-1]], np.uint64)
+            return [*cols[:-1], pa.array(fps.view(np.int64))]
 
         return work
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(docs, [id_col, text_col], f"`{id_col}` {kind}, fp long", make)
+    kept = [id_col, *also]
+    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("fp", T.LongType())])
+    return map_rows(docs, [*kept, text_col], schema, make, sized=len(kept))
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -289,12 +290,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     has no other); repeated rows are kept; an empty table gives no rows.
     """
     own = cut(fingerprints(docs, id_col, text_col, words).select(F.col(f"`{id_col}`").alias("id"), "fp"), "simhash")
+    return own.join(_classes(own, radius, blocks), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def _classes(own: DataFrame, radius: int, blocks: int | None) -> DataFrame:
+    """``fp, root, component_id`` per distinct fingerprint of ``own (id, fp)``: its class and the class's least id."""
     distinct = cut(own.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
     stars = components(links(distinct, radius, blocks))
     known = distinct.join(stars, distinct.fp == stars.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     roots = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = cut(known.join(roots, "root").select("fp", "component_id"), "simhash-classes")
-    return own.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return cut(known.join(roots, "root").select("fp", "root", "component_id"), "simhash-classes")
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, blocks: int | None = None) -> DataFrame:
+    """One row of each near-duplicate group, the one with the least id; all columns stay.
+
+    Rows get a number while they are written, so of repeated rows one is left;
+    without texts, only numbers, ids and fingerprints are shuffled to choose, and
+    the chosen numbers select the written rows.  A null id is chosen only where a
+    group has no other; texts without words form one group with fingerprint zero.
+    """
+    mark = _free(docs, "__weft_row")
+    numbered = cut(docs.withColumn(mark, F.monotonically_increasing_id()), "simhash-rows")
+    rows = numbered.select(F.col(mark).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    own = cut(fingerprints(rows, "id", "text", words, also=("row",)), "simhash")
+    classes = _classes(own, radius, blocks)
+    chosen = own.join(classes, "fp").groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias(mark))
+    return numbered.join(cut(chosen.select(mark), "simhash-kept"), mark, "left_semi").drop(mark)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
