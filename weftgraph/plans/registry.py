@@ -55,9 +55,9 @@ def files_glob(x):
     return x.files.where(F.col("path").rlike(C.glob_regex("A*/**/*3.src"))).select("file_id", "path")
 
 
-@query("cg_files cg_symbols", "SELECT symbol_id, name, qualified_name FROM cg_symbols WHERE lower(name) LIKE '%steel%' OR lower(qualified_name) LIKE '%steel%'")
+@query("cg_files cg_symbols", "SELECT symbol_id, name, qualified_name FROM cg_symbols WHERE lower(name) LIKE '%gizmo%' OR lower(qualified_name) LIKE '%gizmo%'")
 def symbols_like(x):
-    return search.like(x.symbols, "%STEEL_").select("symbol_id", "name", "qualified_name")
+    return search.like(x.symbols, "%GIZMO_").select("symbol_id", "name", "qualified_name")
 
 
 @query("cg_files cg_symbols", "SELECT symbol_id, qualified_name, path FROM cg_symbols WHERE name = (SELECT min(name) FROM cg_symbols) AND starts_with(path, 'AMERICA/') AND kind = 'function'")
@@ -323,9 +323,9 @@ def covered_scopes(x):
     return incremental.covered_scopes(x.state.select("scope", "file_id"), x.state, C.BITS["manifest"])
 
 
-@query("cg_files cg_symbols", "SELECT symbol_id, CASE WHEN p.n = 0 THEN 0 ELSE p.n END AS shared FROM (SELECT symbol_id, len(list_intersect(string_split(lower(name), '_'), ['almond', 'steel', 'green', 'small'])) AS n FROM cg_symbols) p WHERE p.n > 0")
+@query("cg_files cg_symbols", "SELECT symbol_id, CASE WHEN p.n = 0 THEN 0 ELSE p.n END AS shared FROM (SELECT symbol_id, len(list_intersect(string_split(lower(name), '_'), ['blue', 'gear', 'green', 'small'])) AS n FROM cg_symbols) p WHERE p.n > 0")
 def word_overlap(x):
-    n = F.size(F.array_intersect(C.name_parts(F.col("name")), F.array(*[F.lit(w) for w in ("almond", "steel", "green", "small")])))
+    n = F.size(F.array_intersect(C.name_parts(F.col("name")), F.array(*[F.lit(w) for w in ("blue", "gear", "green", "small")])))
     return x.symbols.select("symbol_id", n.cast("long").alias("shared")).where("shared > 0")
 
 
@@ -336,7 +336,7 @@ def word_overlap(x):
     "",
     r"""WITH p AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS token FROM documents),
 l AS (SELECT id, count(*) AS len FROM p GROUP BY id), st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT avg(len) FROM l) AS avg_len),
-m AS (SELECT id, CASE WHEN token = 'the' THEN 0 ELSE 1 END AS term, count(*) AS tf FROM p WHERE token = 'the' OR starts_with(token, 'thion') GROUP BY 1, 2),
+m AS (SELECT id, CASE WHEN token = 'the' THEN 0 ELSE 1 END AS term, count(*) AS tf FROM p WHERE token = 'the' OR starts_with(token, 'thtion') GROUP BY 1, 2),
 d AS (SELECT term, count(*) AS df FROM m GROUP BY term)
 SELECT m.id, round(sum(ln((st.n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score FROM m JOIN d ON m.term = d.term JOIN l ON m.id = l.id CROSS JOIN st GROUP BY m.id HAVING count(*) = 2""",
 )
@@ -344,7 +344,7 @@ def bm25_documents(x):
     docs = x.table("documents")
     postings = search.inverted_index(docs, "doc_id", ["text"])
     n, avg_len = docs.count(), postings.select("id", "len").distinct().agg(F.avg("len")).first()[0] or 1.0
-    return search.bm25(postings, "the thion", n, avg_len).select("id", F.round("score", 6).alias("score"))
+    return search.bm25(postings, "the thtion", n, avg_len).select("id", F.round("score", 6).alias("score"))
 
 
 _SNAKE = "array_to_string(list_transform(regexp_extract_all({0}, '[A-Z]+|[a-z]+|[0-9]+'), lambda w: lower(w)), '_')"
@@ -353,15 +353,15 @@ _SNAKE = "array_to_string(list_transform(regexp_extract_all({0}, '[A-Z]+|[a-z]+|
 @query(
     "cg_files cg_symbols",
     """SELECT symbol_id, round(CASE WHEN name = q THEN 1.0 WHEN starts_with(lower(name), q) THEN 0.92 WHEN o > 0 THEN 0.5 + 0.25 * o / greatest(2, len(list_distinct(w))) ELSE 0.7 * (1 - levenshtein(q, lower(name)) / greatest(strlen(q), strlen(name))::DOUBLE) END, 6) AS similarity
-FROM (SELECT symbol_id, name, 'green_steel' AS q, string_split(name, '_') AS w, len(list_intersect(string_split(name, '_'), ['green', 'steel'])) AS o FROM cg_symbols) x""",
+FROM (SELECT symbol_id, name, 'blue_gear' AS q, string_split(name, '_') AS w, len(list_intersect(string_split(name, '_'), ['blue', 'gear'])) AS o FROM cg_symbols) x""",
 )
 def name_similarity(x):
-    return x.symbols.select("symbol_id", F.round(C.name_similarity(F.lit("green_steel"), F.col("name")), 6).alias("similarity"))
+    return x.symbols.select("symbol_id", F.round(C.name_similarity(F.lit("blue_gear"), F.col("name")), 6).alias("similarity"))
 
 
-@query("cg_files cg_symbols", "SELECT symbol_id, name, levenshtein(name, 'large_green') AS distance FROM cg_symbols WHERE levenshtein(name, 'large_green') <= 4")
+@query("cg_files cg_symbols", "SELECT symbol_id, name, levenshtein(name, 'large_gear') AS distance FROM cg_symbols WHERE levenshtein(name, 'large_gear') <= 4")
 def bounded_levenshtein(x):
-    return x.symbols.select("symbol_id", "name", F.levenshtein("name", F.lit("large_green"), 4).alias("distance")).where("distance >= 0")
+    return x.symbols.select("symbol_id", "name", F.levenshtein("name", F.lit("large_gear"), 4).alias("distance")).where("distance >= 0")
 
 
 @query("cg_files cg_symbols", "SELECT symbol_id, CAST(CASE WHEN qualified_name = (SELECT min(name) FROM cg_symbols) THEN 10000 ELSE 9000 END + 1200 * CAST(split_part(path, '/', -1) = 'x.src' AS INT) + CASE WHEN kind = 'function' THEN 200 ELSE 0 END + CASE WHEN language = 'c' THEN 100 ELSE 0 END AS BIGINT) AS score FROM cg_symbols WHERE name = (SELECT min(name) FROM cg_symbols) ORDER BY score DESC, symbol_id LIMIT 50")
@@ -426,14 +426,32 @@ def shortest_path_cost(x):
     return graph.shortest_costs(edges, _seeds(x), 4).select("seed", "node", F.round("cost", 6).alias("cost"))
 
 
-@query()
+@query(
+    "cg_files cg_symbols cg_edges",
+    f"""WITH h AS (SELECT e.source, e.target, greatest(1.0, 1.0 + CASE WHEN e.kind = 'instantiates' THEN 1.0 ELSE 0.0 END + (1 - e.confidence) / 2 + CASE WHEN e.provenance = 'heuristic' THEN 0.3 ELSE 0.0 END + CASE WHEN {_TEST_SQL.replace("path", "s.path")} THEN 0.5 ELSE 0.0 END) AS weight
+ FROM cg_edges e JOIN cg_symbols s ON e.target = s.symbol_id WHERE e.{_CALL_SQL}),
+pairs AS (SELECT DISTINCT a.source AS source_id, b.target AS target_id FROM h a JOIN h b ON a.target = b.source WHERE a.source < 40 AND a.source <> b.target),
+walk AS (SELECT source_id, target_id, source_id AS node, [source_id] AS nodes, CAST(0 AS DOUBLE) AS cost FROM pairs
+ UNION ALL SELECT source_id, target_id, h.target, list_append(nodes, h.target), cost + weight FROM walk JOIN h ON h.source = node WHERE node <> target_id AND len(nodes) <= 3 AND NOT list_contains(nodes, h.target))
+SELECT source_id, target_id, rank, round(cost, 6) AS cost FROM (SELECT source_id, target_id, cost, row_number() OVER (PARTITION BY source_id, target_id ORDER BY cost, len(nodes)) AS rank FROM walk WHERE node = target_id) w WHERE rank <= 5""",
+    recursive=True,
+)
 def ranked_paths(x):
     edges = graph.weighted(x.edges, x.symbols)
-    pairs = _seeds(x, 8).withColumnRenamed("symbol_id", "source_id").crossJoin(_seeds(x, 8).withColumnRenamed("symbol_id", "target_id")).where("source_id <> target_id")
-    paths = graph.ranked_paths(edges, pairs, 4, 5)
+    hops = edges.where(F.col("kind").isin(*C.CALL)).select("source", "target")
+    two = hops.join(hops.select(F.col("source").alias("target"), F.col("target").alias("target_id")), "target")
+    pairs = two.where("source < 40 AND source <> target_id").select(F.col("source").alias("source_id"), "target_id").distinct()
+    return graph.ranked_paths(edges, pairs, 3, 5).select("source_id", "target_id", F.col("rank").cast("long").alias("rank"), F.round("cost", 6).alias("cost"))
+
+
+@query()
+def path_scores(x):
+    edges = graph.weighted(x.edges, x.symbols)
+    pairs = x.edges.where(F.col("kind").isin(*C.CALL) & (F.col("source") < 20)).select(F.col("source").alias("source_id"), F.col("target").alias("target_id")).distinct()
+    paths = graph.ranked_paths(edges, pairs, 2, 3)
     penalties = x.symbols.select(F.col("symbol_id").alias("node"), F.when(C.is_test_path(F.col("path")), 0.5).otherwise(0.0).alias("penalty"))
     scored = graph.path_scores(paths, graph.degrees(x.edges), penalties)
-    return scored.select("source_id", "target_id", "rank", "cost", F.array_join("nodes", ">").alias("nodes"), F.round("overall", 6).alias("overall"))
+    return scored.select("source_id", "target_id", "rank", F.array_join("nodes", ">").alias("nodes"), F.round("overall", 6).alias("overall"))
 
 
 @query(
@@ -558,14 +576,14 @@ def branch_asymmetry(x):
     return semantic.branch_differences(rows).select("function_id", "branch_id", "issue")
 
 
-_RULES = [("r1", "*", "alloc", "small", "prefix", 0.9), ("r2", "go", "free", "green", "suffix", 0.8), ("r3", "*", "escape", "*steel*", "glob", 0.7), ("r4", "c", "alloc", "^(large|medium)_.*$", "regex", 0.6)]
+_RULES = [("r1", "*", "alloc", "blue", "prefix", 0.9), ("r2", "go", "free", "gear", "suffix", 0.8), ("r3", "*", "escape", "*widg*", "glob", 0.7), ("r4", "c", "alloc", "^(red|large)_.*$", "regex", 0.6)]
 
 
 @query(
     "cg_files cg_symbols",
     """SELECT name, language, rule_id FROM (SELECT n.name, n.language, r.rule_id, row_number() OVER (PARTITION BY n.name, n.language ORDER BY CASE WHEN r.language = '*' THEN 1 ELSE 0 END, r.c DESC, r.rule_id) AS n
 FROM (SELECT DISTINCT name, language FROM cg_symbols) n JOIN (VALUES ('r1', '*', 0.9), ('r2', 'go', 0.8), ('r3', '*', 0.7), ('r4', 'c', 0.6)) r(rule_id, language, c) ON r.language IN ('*', n.language)
-AND CASE r.rule_id WHEN 'r1' THEN starts_with(n.name, 'small') WHEN 'r2' THEN ends_with(n.name, 'green') WHEN 'r3' THEN contains(n.name, 'steel') ELSE regexp_matches(n.name, '^(large|medium)_.*$') END) x WHERE n = 1""",
+AND CASE r.rule_id WHEN 'r1' THEN starts_with(n.name, 'blue') WHEN 'r2' THEN ends_with(n.name, 'gear') WHEN 'r3' THEN contains(n.name, 'widg') ELSE regexp_matches(n.name, '^(red|large)_.*$') END) x WHERE n = 1""",
 )
 def rule_match(x):
     rules = x.spark.createDataFrame([(*r, "enabled") for r in _RULES], "rule_id string, language string, rule_kind string, pattern string, pattern_kind string, confidence double, status string")
