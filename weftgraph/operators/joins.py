@@ -97,18 +97,43 @@ def fuzzy_names(queries: DataFrame, names: DataFrame, max_distance: int = 2, mos
     return near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).drop("n")
 
 
+def place_columns(path: Column) -> dict[str, Column]:
+    """Folder and top folder of a path."""
+    return {"folder": F.regexp_replace(path, "/[^/]*$", ""), "top": F.substring_index(path, "/", 1)}
+
+
+def nearest_by_key(references: DataFrame, symbols: DataFrame, choices: dict[str, Column], choose: Column | None = None) -> DataFrame:
+    """``references`` with ``symbol_id, tier`` of the least symbol of their key ``k`` in the same folder (0), top folder (1) or anywhere (2).
+
+    Both sides have ``k, folder, top``.  Symbols are reduced to one row per key and
+    place before each join, so a name with a million symbols costs its references
+    nothing more; ``choices`` names conditions on symbols, for each of which the
+    least id is kept, and ``choose`` tells which of them a reference takes.
+    """
+    out, found = references, []
+    for tier, place in enumerate((["folder"], ["top"], [])):
+        least = symbols.groupBy("k", *place).agg(*[F.min(F.when(c, F.col("symbol_id"))).alias(f"__{n}") for n, c in choices.items()])
+        out = out.join(least, ["k", *place], "left")
+        mine = choose if choose is not None else F.lit(next(iter(choices)))
+        picked = F.coalesce(*[F.when(mine == n, F.col(f"__{n}")) for n in choices])
+        out = out.withColumn(f"__t{tier}", picked).drop(*[f"__{n}" for n in choices])
+        found.append(F.col(f"__t{tier}"))
+    tier = F.when(found[0].isNotNull(), 0).when(found[1].isNotNull(), 1).when(found[2].isNotNull(), 2)
+    return out.select(*references.columns, F.coalesce(*found).alias("symbol_id"), tier.alias("tier")).where("symbol_id IS NOT NULL")
+
+
 def proximity_choice(references: DataFrame, symbols: DataFrame) -> DataFrame:
     """``reference_id, symbol_id, tier``: the symbol of a reference's name, ignoring case, that is best placed.
 
     Exact case first, then same folder (0), same top folder (1), elsewhere (2),
     then the least id.  ``references (reference_id, name, path)``, ``symbols (symbol_id, name, path)``.
     """
-    folder = lambda p: F.regexp_replace(p, "/[^/]*$", "")
-    left = references.select("reference_id", F.col("name").alias("ref_name"), F.col("path").alias("ref_path"), F.lower("name").alias("k"))
-    right = symbols.select("symbol_id", "name", "path", F.lower("name").alias("k"))
-    tier = F.when(folder(F.col("path")) == folder(F.col("ref_path")), 0).when(F.substring_index("path", "/", 1) == F.substring_index("ref_path", "/", 1), 1).otherwise(2)
-    best = F.min(F.struct((F.col("name") != F.col("ref_name")).cast("int"), tier.alias("tier"), "symbol_id")).alias("m")
-    return left.join(right, "k").groupBy("reference_id").agg(best).select("reference_id", "m.symbol_id", "m.tier")
+    side = lambda df, key, k: df.select(key, k.alias("k"), *[c.alias(n) for n, c in place_columns(F.col("path")).items()])
+    every = {"every": F.lit(True)}
+    exact = nearest_by_key(side(references, "reference_id", F.col("name")), side(symbols, "symbol_id", F.col("name")), every).select("reference_id", "symbol_id", "tier")
+    rest = references.join(symbols.select("name").distinct(), "name", "left_anti")
+    other = nearest_by_key(side(rest, "reference_id", F.lower("name")), side(symbols, "symbol_id", F.lower("name")), every).select("reference_id", "symbol_id", "tier")
+    return exact.unionByName(other)
 
 
 def reexport_targets(imports: DataFrame, exports: DataFrame, max_hops: int = 10) -> DataFrame:
@@ -148,14 +173,14 @@ def relative_modules(imports: DataFrame, files: DataFrame) -> DataFrame:
     return found.groupBy("import_id").agg(F.min_by("file_id", "i").alias("file_id"))
 
 
-def include_paths(includes: DataFrame, roots: DataFrame, files: DataFrame) -> DataFrame:
+def include_paths(includes: DataFrame, roots: list[str], files: DataFrame) -> DataFrame:
     """``import_id, file_id``: an include's file in its own folder, else in the first include root that has it.
 
-    ``roots (root, ord)``; ``includes (import_id, importer_path, module)``.
+    ``roots`` are the configured include folders in order; ``includes (import_id, importer_path, module)``.
     """
-    own = includes.select("import_id", "module", F.regexp_replace("importer_path", "/?[^/]*$", "").alias("root"), F.lit(-1).alias("ord"))
-    shared = includes.select("import_id", "module").crossJoin(F.broadcast(roots.limit(1000).select("root", "ord")))
-    tried = own.unionByName(shared).withColumn("path", normal_path(F.col("root"), F.col("module")))
+    own = F.regexp_replace("importer_path", "/?[^/]*$", "")
+    tried = includes.select("import_id", "module", F.posexplode(F.array(own, *[F.lit(r) for r in roots])).alias("ord", "root"))
+    tried = tried.withColumn("path", normal_path(F.col("root"), F.col("module")))
     return tried.join(files, "path").groupBy("import_id").agg(F.min_by("file_id", "ord").alias("file_id"))
 
 

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.columns import is_test_path, name_similarity
-from weftgraph.operators.joins import fuzzy_names
+from weftgraph.operators.joins import fuzzy_names, nearest_by_key, place_columns
 from weftgraph.sources.tables import cut
 
 CALLABLE = ("function", "method", "constructor", "class", "struct", "interface", "trait", "variable")
@@ -39,52 +39,51 @@ def fuzzy_eligible(references: DataFrame) -> DataFrame:
     return references.where((F.length("name") >= 3) & F.col("name").rlike("^[A-Za-z_$][A-Za-z0-9_$]*$") & (F.col("kind") != "call"))
 
 
-def _compatible():
-    return (F.col("kind") != "call") | F.col("symbol_kind").isin(*CALLABLE)
-
-
-def _pick(pairs: DataFrame, order: list, confidence, strategy: str) -> DataFrame:
-    w = Window.partitionBy("reference_id").orderBy(*order)
-    best = pairs.withColumn("__n", F.row_number().over(w)).where("__n = 1")
-    return best.select("reference_id", "symbol_id", F.round(confidence, 6).alias("confidence"), F.lit(strategy).alias("strategy"))
-
-
 def resolve(references: DataFrame, symbols: DataFrame, imports: DataFrame | None = None, min_similarity: float = 0.4) -> DataFrame:
     """``reference_id, symbol_id, confidence, strategy`` of every reference that resolves.
 
     ``references (reference_id, file_id, path, language, name, kind)``, ``symbols
     (symbol_id, file_id, path, name, kind)``, ``imports (file_id, name, target_file)``.
     Ties go to the least symbol id; null names never resolve.  Symbols of test
-    files serve global stages only for references in test files.
+    files serve global stages only for references in test files.  Every stage joins
+    references to symbols reduced to one row per name and place, so references are
+    never multiplied by the number of symbols of a common name.
     """
     todo = cut(without_builtins(references.where("name IS NOT NULL")), "refs")
-    own = symbols.select("symbol_id", F.col("kind").alias("symbol_kind"), F.col("file_id").alias("symbol_file"), F.col("path").alias("symbol_path"), F.col("name").alias("symbol_name"), is_test_path(F.col("path")).alias("test"))
+    own = symbols.where("name IS NOT NULL").select("symbol_id", "file_id", "name", F.col("kind").isin(*CALLABLE).alias("callable"), is_test_path(F.col("path")).alias("test"), *[c.alias(n) for n, c in place_columns(F.col("path")).items()])
+    own = cut(own, "symbols")
     done = []
 
-    def settle(found: DataFrame) -> None:
+    def settle(found: DataFrame, confidence, strategy: str) -> None:
         nonlocal todo
-        found = cut(found, "resolved")
+        found = cut(found.where("symbol_id IS NOT NULL").select("reference_id", "symbol_id", F.round(confidence, 6).alias("confidence"), F.lit(strategy).alias("strategy")), "resolved")
         done.append(found)
-        todo = cut(todo.join(found, "reference_id", "left_anti"), "refs")
+        todo = cut(todo.join(found, "reference_id", "left_anti").select(*references.columns), "refs")
 
-    same = todo.join(own, (F.col("file_id") == F.col("symbol_file")) & (F.col("name") == F.col("symbol_name"))).where(_compatible())
-    settle(_pick(same, ["symbol_id"], F.lit(1.0), "same_file"))
+    in_file = own.groupBy("file_id", "name").agg(F.min("symbol_id").alias("any"), F.min(F.when(F.col("callable"), F.col("symbol_id"))).alias("called"))
+    mine = F.when(F.col("kind") == "call", F.col("called")).otherwise(F.col("any")).alias("symbol_id")
+    settle(todo.join(in_file, ["file_id", "name"]).select("reference_id", mine), F.lit(1.0), "same_file")
     if imports is not None:
-        named = imports.select("file_id", "name", "target_file").distinct()
-        through = todo.join(named, ["file_id", "name"]).join(own, (F.col("target_file") == F.col("symbol_file")) & (F.col("name") == F.col("symbol_name"))).where(_compatible())
-        settle(_pick(through, ["symbol_id"], F.lit(0.8), "import"))
+        named = cut(imports.select("file_id", "name", "target_file").distinct(), "imports")
+        reach = named.join(in_file.withColumnRenamed("file_id", "target_file"), ["target_file", "name"]).groupBy("file_id", "name").agg(F.min("any").alias("any"), F.min("called").alias("called"))
+        settle(todo.join(reach, ["file_id", "name"]).select("reference_id", mine), F.lit(0.8), "import")
         todo = todo.join(named.select("file_id", "name").distinct(), ["file_id", "name"], "left_anti").select(*references.columns)  # imported but unresolved: no global fallback
-    folder = lambda c: F.regexp_replace(c, "/[^/]*$", "")
-    tier = F.when(folder("path") == folder("symbol_path"), 0).when(F.substring_index("path", "/", 1) == F.substring_index("symbol_path", "/", 1), 1).otherwise(2)
-    usable = ~F.col("test") | is_test_path(F.col("path"))
-    close = todo.join(own, F.lower("name") == F.lower("symbol_name")).where(_compatible() & usable).withColumn("other_case", (F.col("name") != F.col("symbol_name")).cast("int"))
-    # one candidate of each (name, file folder) is enough per reference, so names are reduced first
-    settle(_pick(close, ["other_case", tier, "symbol_id"], F.when(F.col("other_case") == 1, 0.9).otherwise(1.0), "exact_name"))
-    left = fuzzy_eligible(todo)
-    near = fuzzy_names(left.select(F.col("name").alias("query")), symbols.select("name"))
+    choices = {"any": F.lit(True), "call": F.col("callable"), "main": ~F.col("test"), "main_call": F.col("callable") & ~F.col("test")}
+    for key, confidence in ((F.col("name"), 1.0), (F.lower("name"), 0.9)):
+        tested = is_test_path(F.col("path"))
+        choice = F.when(F.col("kind") == "call", F.when(tested, "call").otherwise("main_call")).otherwise(F.when(tested, "any").otherwise("main"))
+        left = todo.select("reference_id", key.alias("k"), choice.alias("choice"), *[c.alias(n) for n, c in place_columns(F.col("path")).items()])
+        right = own.select("symbol_id", key.alias("k"), "folder", "top", "callable", "test")
+        settle(nearest_by_key(left, right, choices, F.col("choice")), F.lit(confidence), "exact_name")
+    left = fuzzy_eligible(todo).withColumn("tested", is_test_path(F.col("path")))
+    near = fuzzy_names(left.select(F.col("name").alias("query")), own.select("name"))
     near = near.withColumn("similarity", name_similarity(F.col("query"), F.col("name"))).where(F.col("similarity") >= min_similarity)
-    pairs = left.join(near.select(F.col("query").alias("name"), F.col("name").alias("symbol_name"), "similarity"), "name").join(own, "symbol_name").where(_compatible() & usable)
-    settle(_pick(pairs, [F.desc("similarity"), "symbol_id"], F.col("similarity"), "fuzzy"))
+    least = own.groupBy("name").agg(F.min("symbol_id").alias("any"), F.min(F.when(~F.col("test"), F.col("symbol_id"))).alias("main"))
+    close = near.select(F.col("query"), "name", "similarity").join(least, "name").select(F.col("query").alias("name"), "similarity", "any", "main")
+    pairs = left.join(close, "name").withColumn("symbol_id", F.when(F.col("tested"), F.col("any")).otherwise(F.col("main"))).where("symbol_id IS NOT NULL")
+    order = F.struct(-F.col("similarity"), "symbol_id")
+    best = pairs.groupBy("reference_id").agg(F.min_by("symbol_id", order).alias("symbol_id"), F.max("similarity").alias("similarity"))
+    settle(best, F.col("similarity"), "fuzzy")
     return reduce(DataFrame.unionByName, done)
 
 
