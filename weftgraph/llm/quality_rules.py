@@ -1,7 +1,9 @@
 """Line-first quality rules in DataFrame functions only.
 
-Punctuation, navigation and boilerplate rules judge each line; failing lines are
-removed, then documents that lost too much of their words are rejected.  All of
+Punctuation, navigation and boilerplate rules judge each line (a line neither
+ends in a mark nor has a sentence end, holds many symbols or shouts, or is a menu
+or boilerplate); failing lines are removed, then documents that lost too much of
+their words are rejected.  All of
 it is one projection: no shuffle, no Python on the executors.
 """
 
@@ -19,6 +21,7 @@ from weftgraph.llm.common import WORD, read_table
 BLANK = " \t\n\x0b\x0c\r"
 SYMBOLS = r"[#*$%&|<>]"
 TERMINAL = ".!?…:;,)]\"'»”’。！？"
+SENTENCE_END = r"[.!?…。！？][\x20\x09-\x0D]"
 SHOUTS = r"[!?]{2,}"
 SHOUT_PAIRS = ("!!", "!?", "?!", "??")
 SEPARATORS = r"\x20(\||»|›|>|•|·|::)\x20"
@@ -124,7 +127,7 @@ def _of_words(text: Column, words: Column) -> Column:
     def measured(m: Column) -> Column:
         def wrong(line: Column) -> Column:
             return (
-                (F.instr(F.lit(TERMINAL), F.right(F.rtrim(line, F.lit(BLANK)), F.lit(1))) == 0)
+                ((F.instr(F.lit(TERMINAL), F.right(F.rtrim(line, F.lit(BLANK)), F.lit(1))) == 0) & ~line.rlike(SENTENCE_END))
                 | ((m["n_symbols"] > 0) & _over(line, SYMBOLS, MAX_SYMBOLS))
                 | (m["shouts"] & _over(line, SHOUTS, MAX_SHOUTS))
                 | (m["separators"] & _over(line, SEPARATORS, MAX_SEPARATORS))
@@ -225,7 +228,7 @@ pos AS (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2),
 win AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS n FROM pos),
 rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM win WHERE n > 1) x GROUP BY r),
 ln AS (SELECT r, l, len(regexp_extract_all(l, '{WORD}')) AS n FROM (SELECT r, unnest(lines) AS l FROM w) x),
-ok AS (SELECT r, l, n, n > 0 AND (strpos({_text(TERMINAL)}, right(rtrim(l, {_BLANK_SQL}), 1)) = 0
+ok AS (SELECT r, l, n, n > 0 AND ((strpos({_text(TERMINAL)}, right(rtrim(l, {_BLANK_SQL}), 1)) = 0 AND NOT regexp_matches(l, {_text(SENTENCE_END)}))
   OR {_sql_over(SYMBOLS, MAX_SYMBOLS)} OR {_sql_over(SHOUTS, MAX_SHOUTS)} OR {_sql_over(SEPARATORS, MAX_SEPARATORS)}
   OR (length(l) <= 60 AND regexp_matches(l, {_text(MENU)})) OR {" OR ".join(f"contains(lower(l), {_text(b)})" for b in BOILERPLATE)}) AS wrong FROM ln),
 lost AS (SELECT r, sum(n) FILTER (WHERE wrong) AS n, count(*) FILTER (WHERE n > 0) - count(DISTINCT l) FILTER (WHERE n > 0) AS dups FROM ok GROUP BY r),
