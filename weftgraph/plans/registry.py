@@ -515,7 +515,14 @@ def slice_path(x):
     return trace.backward_slices(x.edges.where("target < 60").select(F.col("target").alias("sink")), edges, 12).select("sink", "step", "node")
 
 
-@query()
+@query(
+    "cg_files cg_symbols cg_edges",
+    f"""WITH up AS (SELECT DISTINCT target AS t, source AS s FROM cg_edges WHERE {_CALL_SQL}),
+walk AS (SELECT symbol_id AS seed, [symbol_id] AS chain, 0 AS depth FROM cg_symbols WHERE symbol_id < 20 UNION ALL SELECT seed, list_append(chain, s), depth + 1 FROM walk JOIN up ON chain[-1] = t WHERE depth < 4 AND NOT list_contains(chain, s)),
+scored AS (SELECT seed, chain, depth, CASE WHEN {_TEST_SQL} THEN 0 ELSE 100 END + depth AS score FROM walk JOIN cg_symbols s ON s.symbol_id = chain[-1] WHERE depth = 4 OR NOT EXISTS (SELECT 1 FROM up WHERE up.t = chain[-1]))
+SELECT seed, array_to_string(chain, '<') AS chain, depth, score FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, chain) AS n FROM scored) x WHERE n = 1""",
+    recursive=True,
+)
 def caller_chains(x):
     chains = trace.caller_chains(x.edges, x.symbols, _seeds(x, 20), 4)
     return chains.select("seed", F.array_join("chain", "<").alias("chain"), "depth", "score")
