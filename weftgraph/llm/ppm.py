@@ -185,8 +185,23 @@ def _in_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     return cut(docs.mapInArrow(run, schema), "ppm-blocks")
 
 
-def _rows(batch: pa.RecordBatch) -> list[tuple]:
-    return list(zip(*[c.to_pylist() for c in batch.columns]))
+def _rows(batch: pa.RecordBatch):
+    """Blocks of a batch, one at a time in Python objects."""
+    for k in range(batch.num_rows):
+        yield tuple(c[k].as_py() for c in batch.columns)
+
+
+def _runs(texts: list[bytes], most: int = 1_000_000):
+    """Consecutive texts of about ``most`` bytes."""
+    run, size = [], 0
+    for t in texts:
+        run.append(t)
+        size += len(t)
+        if size >= most:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
 
 
 def tokens_of(text: str) -> list[bytes]:
@@ -240,11 +255,10 @@ def gram_counts(blocks: DataFrame, order: int) -> DataFrame:
         for batch in batches:
             for _, ids, texts in _rows(batch):
                 train = [t.encode() for i, t in zip(ids, texts) if not _held_out(i)]
-                if train:
-                    parts.append(np.unique(codes_of(train, order)[0], return_counts=True))
-                if sum(len(p[0]) for p in parts) > 3_000_000:
+                parts += [np.unique(codes_of(some, order)[0], return_counts=True) for some in _runs(train)]
+                if sum(len(p[0]) for p in parts) > 1_500_000:
                     parts = [merged(parts)]
-                    if len(parts[0][0]) > 2_000_000:
+                    if len(parts[0][0]) > 1_000_000:
                         yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in parts.pop()], schema=out)
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in merged(parts)], schema=out)
@@ -272,7 +286,7 @@ def train(blocks: DataFrame, order: int = 5, room: int = 800_000) -> Model:
     return Model(grams[::-1], totals[::-1])
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 5, room: int = 800_000, block_bytes: int = 2_000_000) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 5, room: int = 800_000, block_bytes: int = 3_000_000) -> DataFrame:
     """One row per document: id, ``held_out``, token figures, add-one unigram ``base_score`` and the model's ``score``.
 
     Documents whose crc32(id as text) modulo 7 is 2 are held out of all training.
@@ -304,15 +318,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         columns: list[list] = [[] for _ in out]
         for _, ids, each in zip(*[texts.column(c).to_pylist() for c in ("block", "ids", "texts")]):
             place: dict = {}
-            raw = [t.encode() for t in each]
             for i, t in zip(ids, each):
                 at = np.array([place.setdefault(w, len(place)) for w in tokens_of(t)], np.int64)
                 base = gain[at].sum() + np.log10(n_ends + 1.0) - (len(at) + 1) * rest
                 for c, v in zip(columns, (i, _held_out(i), len(at) + 1, int((count[at] > 0).sum()) + (n_ends > 0), total, base)):
                     c.append(v)
-            codes, starts = codes_of(raw, order)
-            bits = np.concatenate([model.value.bits(codes[a : a + 500_000]) for a in range(0, len(codes), 500_000)])
-            columns[-1] += (-np.add.reduceat(bits, starts) * np.log10(2.0)).tolist()
+            for some in _runs([t.encode() for t in each]):
+                codes, starts = codes_of(some, order)
+                bits = np.concatenate([model.value.bits(codes[a : a + 250_000]) for a in range(0, len(codes), 250_000)])
+                columns[-1] += (-np.add.reduceat(bits, starts) * np.log10(2.0)).tolist()
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
 
     scored = blocks.groupBy("block").cogroup(counts.select("block", "idx", "c").groupBy("block")).applyInArrow(of_block, schema)
