@@ -73,9 +73,17 @@ def prune(rows: DataFrame, keep: int, *order: Column) -> DataFrame:
 
 
 def greedy_chunks(rows: DataFrame, key: str, weight: str, budget: int) -> DataFrame:
-    """Rows with a ``chunk`` so that chunks of consecutive keys weigh about ``budget``."""
-    order = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("chunk", F.floor(F.coalesce(F.sum(weight).over(order), F.lit(0)) / budget))
+    """Rows with a ``chunk`` so that chunks of consecutive keys weigh about ``budget``.
+
+    A prefix sum in two levels: within range partitions of the key, and over one row
+    per partition.
+    """
+    placed = cut(rows.repartitionByRange(key).withColumn("__p", F.spark_partition_id()), "chunks")
+    ahead = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("__p").agg(F.sum(weight).alias("s")).select("__p", F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("__ahead"))
+    inside = Window.partitionBy("__p").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    total = F.col("__ahead") + F.coalesce(F.sum(weight).over(inside), F.lit(0))
+    return placed.join(sums, "__p").select(*rows.columns, F.floor(total / budget).alias("chunk"))
 
 
 def fixed_point(seed: DataFrame, plan: Callable[[DataFrame], DataFrame], keys: list[str], max_rounds: int = 20) -> DataFrame:

@@ -40,18 +40,33 @@ def overlapping(left: DataFrame, right: DataFrame, by: list[str], bucket: int =
     return joined.where(inside & first).drop("__b")
 
 
+def carry_forward(rows: DataFrame, by: list[str], order: list[str], value: str, name: str, inclusive: bool = True) -> DataFrame:
+    """``rows`` with ``name``: the last non-null ``value`` of the key up to each row in ``order`` (the row itself if ``inclusive``).
+
+    Rows are range-partitioned by key and order, so a hot key spreads over tasks;
+    a row per (partition, key) carries the last value over to later partitions.
+    """
+    placed = cut(rows.repartitionByRange(*by, *order).withColumn("__p", F.spark_partition_id()), "ordered")
+    inside = Window.partitionBy("__p", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    known = F.col(value).isNotNull()
+    ends = placed.groupBy("__p", *by).agg(F.max_by(F.when(known, F.col(value)), F.when(known, F.struct(*order))).alias("__end"))
+    before = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("__p", *by, F.last("__end", ignorenulls=True).over(before).alias("__carry"))
+    joined = placed.withColumn(name, F.last(value, ignorenulls=True).over(inside)).join(carried, ["__p", *by], "left")
+    return joined.select(*rows.columns, F.coalesce(name, "__carry").alias(name))
+
+
 def asof(uses: DataFrame, bindings: DataFrame, by: list[str], at: str = "pos", since: str = "visible_from") -> DataFrame:
     """Each use with the last binding of its key that is visible at its place, if any.
 
-    One sort-merge over the union of both sides, not a join: of bindings from the
-    same place the one with the greater other columns wins.
+    A carry-forward over the union of both sides, not a join: of bindings from the
+    same place the one with the greater other columns wins.  A null key has no binding.
     """
     own = [c for c in bindings.columns if c not in by]
     uses_only = [c for c in uses.columns if c not in by]
     left = uses.select(*by, F.col(at).alias("__at"), F.lit(1).alias("__side"), F.struct(*uses_only).alias("__use"), F.lit(None).cast(bindings.select(F.struct(*own)).schema[0].dataType).alias("__binding"))
-    right = bindings.select(*by, F.col(since).alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(left.schema["__use"].dataType).alias("__use"), F.struct(*own).alias("__binding"))
-    order = Window.partitionBy(*by).orderBy("__at", "__side", "__binding").rowsBetween(Window.unboundedPreceding, 0)
-    seen = left.unionByName(right).withColumn("__last", F.last("__binding", ignorenulls=True).over(order)).where("__side = 1")
+    right = bindings.dropna(subset=by).select(*by, F.col(since).alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(left.schema["__use"].dataType).alias("__use"), F.struct(*own).alias("__binding"))
+    seen = carry_forward(left.unionByName(right), by, ["__at", "__side", "__binding"], "__binding", "__last").where("__side = 1")
     return seen.select(*by, "__use.*", *[F.col("__last")[c].alias(c) for c in own])
 
 

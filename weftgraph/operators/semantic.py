@@ -6,10 +6,11 @@ from collections import deque
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.columns import rule_matches
+from weftgraph.operators.joins import carry_forward
 from weftgraph.sources.tables import cut
 
 #: State after each effect; other effects leave it.
@@ -53,11 +54,11 @@ def straight_lifecycle(effects: DataFrame) -> DataFrame:
     """``effects (function_id, effect_id, effect, ord)`` with the state ``before`` and ``after`` each and its ``flag``.
 
     For straight-line code the state before an effect is set by the last changing
-    effect, so one window gives the whole fold, however long a function is.
+    effect, so a carry-forward gives the whole fold, however long a function is.
     """
-    changed = effects.withColumn("own", state_after(F.col("effect")))
-    order = Window.partitionBy("function_id").orderBy("ord", "effect_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = changed.withColumn("before", F.coalesce(F.last("own", ignorenulls=True).over(order), F.lit("Unknown"))).withColumn("after", F.coalesce("own", "before"))
+    changed = effects.select("function_id", "effect_id", "effect", "ord", state_after(F.col("effect")).alias("own"))
+    rows = carry_forward(changed, ["function_id"], ["ord", "effect_id"], "own", "before", inclusive=False)
+    rows = rows.withColumn("before", F.coalesce("before", F.lit("Unknown"))).withColumn("after", F.coalesce("own", "before"))
     freed = F.col("before") == "Freed"
     what = F.when(freed & (F.col("own") == "Freed"), "double_free").when(freed & F.col("own").isin("Assigned", "Nullified", "Escaped"), "use_after_free")
     return rows.select("function_id", "effect_id", "effect", "before", "after", what.alias("flag"))
