@@ -322,7 +322,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = cut(fingerprints(rows, "id", "text", words, also=("row",)), "simhash")
     classes = _classes(own, radius, blocks)
     chosen = own.join(classes, "fp").groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias(mark))
-    return numbered.join(cut(chosen.select(mark), "simhash-kept"), mark, "left_semi").drop(mark)
+    # the numbers grow with the corpus, so the join is a sort-merge at every size and never a broadcast
+    return numbered.join(cut(chosen.select(mark), "simhash-kept").hint("merge"), mark, "left_semi").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
