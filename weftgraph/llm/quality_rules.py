@@ -193,7 +193,8 @@ def apply_rules(docs: DataFrame, text_col: str = "text", size_col: str = "n_char
     mark = "__weft_rules"
     while mark in docs.columns:
         mark += "_"
-    out = docs.withColumn(mark, judged(F.col(f"`{text_col}`"))).where(F.col(mark)["kept"])
+    # a generator, not a filter: a filter would be pushed down and judge every text twice
+    out = docs.withColumn(mark, F.explode(F.filter(F.array(judged(F.col(f"`{text_col}`"))), lambda q: q["kept"])))
     cleaned = F.col(mark)["cleaned_text"]
     columns = []
     for c in docs.columns:
