@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Edge-kind sets.
+#: Edge-kind sets.
 CALL = ("calls", "instantiates", "implements")
 PATH = (*CALL, "registers_callback")
 IMPACT = (*PATH, "imports", "includes")
@@ -27,9 +27,10 @@ LANGUAGES = {
     "ets": "arkts", "c": "c", "h": "c", "cj": "cangjie", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "cs": "csharp", "go": "go",
     "java": "java", "js": "javascript", "jsx": "javascript", "kt": "kotlin", "php": "php", "py": "python", "rb": "ruby", "rs": "rust", "ts": "typescript", "tsx": "typescript",
 }
-#: Capability bits of a file, and the bits that each extraction layer proves.
+#: Capability bits of a file, and the bits that each extraction layer proves.
 BITS = {"manifest": 1, "structural": 2, "call_edges": 4, "cfg": 8, "dataflow": 16, "summaries": 32}
 LAYER_BITS = {"manifest": 1, "structural": 3, "resolution_symbols": 1, "dataflow": 23, "cfg": 8, "summaries": 32}
+#: Name parts of stand-ins, which make a hop dearer.
 PROXY_WORDS = ("proxy", "socks", "fallback", "alternate", "backup", "spare", "alt_", "_alt")
 
 

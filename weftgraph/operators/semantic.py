@@ -13,7 +13,7 @@ from weftgraph.functions.columns import rule_matches
 from weftgraph.operators.joins import carry_forward
 from weftgraph.sources.tables import cut
 
-#: State after each effect; other effects leave it.
+#: State after each effect; other effects leave it.
 AFTER = {"free": "Freed", "alloc": "Assigned", "store": "Assigned", "assign": "Assigned", "nullify": "Nullified", "escape": "Escaped"}
 #: Functions that allocate, free, or may keep what they get.
 ALLOCATORS = ("malloc", "calloc", "strdup", "strndup", "fopen", "kmalloc", "kzalloc", "kcalloc", "kmalloc_array", "kvcalloc", "vmalloc", "vzalloc", "kzalloc_obj", "operator new", "operator new[]")
