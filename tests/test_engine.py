@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from weftgraph.api import Engine
-from weftgraph.plans import registry
+from weftgraph.plans import lookups, more, registry  # noqa: F401
 from weftgraph.plans.lens import TABLES
 from weftgraph.sources import files
 
