@@ -184,11 +184,11 @@ def search_tiered(x):
     f"""WITH d AS (SELECT node, count(*) AS degree FROM (SELECT source AS node FROM cg_edges UNION ALL SELECT target FROM cg_edges) e GROUP BY node),
 s AS (SELECT symbol_id, name, qualified_name, kind, path, CASE WHEN starts_with(name, 'blue_') THEN symbol_id % 7 + 1 END AS fts, degree, string_split(name, '_') AS w, len(list_intersect(string_split(name, '_'), ['blue', 'gear'])) AS o FROM cg_symbols LEFT JOIN d ON symbol_id = node)
 SELECT symbol_id, round(0.35 * coalesce(fts, 0) / max(fts) OVER () + 0.25 * CASE WHEN name = 'blue_gear' THEN 1.0 WHEN starts_with(name, 'blue_gear') THEN 0.92 WHEN o > 0 THEN 0.5 + 0.25 * o / greatest(2, len(list_distinct(w))) ELSE 0.7 * (1 - levenshtein('blue_gear', name) / greatest(9, strlen(name))::DOUBLE) END
- + 0.10 * coalesce(degree, 0) / max(degree) OVER () + 0.15 * CASE WHEN contains(lower(qualified_name), 'blue_gear') THEN 0.7 ELSE 0.0 END + 0.10 * CASE kind WHEN 'class' THEN 0.8 WHEN 'struct' THEN 0.5 WHEN 'variable' THEN 0.3 ELSE 0.6 END + 0.05 * CASE WHEN {_TEST_SQL} THEN 0.2 ELSE 0.5 END, 5)::DOUBLE AS total FROM s""",
+ + 0.10 * coalesce(degree, 0) / max(degree) OVER () + 0.15 * CASE WHEN contains(lower(qualified_name), 'blue_gear') THEN 0.7 ELSE 0.0 END + 0.10 * CASE kind WHEN 'class' THEN 0.8 WHEN 'struct' THEN 0.5 WHEN 'variable' THEN 0.3 ELSE 0.6 END + 0.05 * CASE WHEN {_TEST_SQL} THEN 0.2 ELSE 0.5 END, 6)::DOUBLE AS total FROM s""",
 )
 def search_scored(x):
     fts = x.symbols.where(F.col("name").startswith("blue_")).select(F.col("symbol_id").alias("id"), (F.col("symbol_id") % 7 + 1).cast("double").alias("score"))
-    return search.scored(x.symbols, "blue_gear", graph.degrees(x.edges), fts).select("symbol_id", F.round("total", 5).alias("total"))
+    return search.scored(x.symbols, "blue_gear", graph.degrees(x.edges), fts).select("symbol_id", "total")
 
 
 @query("cg_files cg_symbols", "SELECT name, min(levenshtein(name, 'blu_geer')) AS distance FROM cg_symbols WHERE levenshtein(name, 'blu_geer') <= 4 GROUP BY name")
