@@ -44,7 +44,7 @@ class PieceEncoder:
     of the whole text.  The memo is emptied when it holds ``room`` pieces.
     """
 
-    def __init__(self, path: str, room: int = 700_000):
+    def __init__(self, path: str, room: int = 1_100_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
