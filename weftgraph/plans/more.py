@@ -174,9 +174,9 @@ def file_dependencies(x):
     return x.edges.where("kind = 'references'").select("source", "target").join(a, "source").join(b, "target").where("file_id <> depends_on").select("file_id", "depends_on").distinct()
 
 
-@query("cg_files cg_symbols", "SELECT symbol_id, similarity FROM (SELECT symbol_id, CASE WHEN name = 'blue_gear' THEN 1.0 ELSE 0.92 END::DOUBLE AS similarity, qualified_name FROM cg_symbols WHERE starts_with(name, 'blue_gear')) x ORDER BY similarity DESC, qualified_name, symbol_id LIMIT 20")
+@query("cg_files cg_symbols", "SELECT symbol_id, similarity FROM (SELECT symbol_id, CASE WHEN name = 'cold_gear' THEN 1.0 ELSE 0.92 END::DOUBLE AS similarity, qualified_name FROM cg_symbols WHERE starts_with(name, 'cold_gear')) x ORDER BY similarity DESC, qualified_name, symbol_id LIMIT 20")
 def search_tiered(x):
-    return search.search(x.symbols, "blue_gear").select("symbol_id", "similarity")
+    return search.search(x.symbols, "cold_gear").select("symbol_id", "similarity")
 
 
 @query(
