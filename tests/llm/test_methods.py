@@ -127,6 +127,31 @@ def test_ppm_is_a_distribution():
             assert abs((2.0**-bits).sum() - 1) < 1e-9
 
 
+def test_ppm_keeps_every_gram(spark):
+    """Over several blocks and parts, scores are those of one model of all training n-grams, however rare."""
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(3000)]
+    texts = {k: " ".join(rng.choices(vocabulary, k=3000)) for k in range(140)}
+    texts[7] += " Zürich qXq"
+    texts[23] += " Zürich qXq"
+    held = {i for i in texts if zlib.crc32(str(i).encode()) % 7 == 2}
+    code, n = np.unique(ppm.codes_of([t.encode() for i, t in texts.items() if i not in held], 5)[0], return_counts=True)
+    grams, totals = [], []
+    for k in range(6):
+        part, at = np.unique(code & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        m = np.bincount(at, weights=n).astype(np.int64)
+        context, at = np.unique(part >> np.uint64(8), return_inverse=True)
+        grams.append((part, m))
+        totals.append((context, np.bincount(at, weights=m).astype(np.int64)))
+    model = ppm.Model(grams, totals)
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    rows = {r.doc_id: r.score for r in ppm.score(docs, block_bytes=400_000, part_bytes=500_000).collect()}
+    assert len(rows) == len(texts) and n.sum() > 2_000_000
+    for i in texts:
+        want = -model.bits(ppm.codes_of([texts[i].encode()], 5)[0]).sum() * np.log10(2.0)
+        assert abs(rows[i] - want) < 1e-6 * abs(want)
+
+
 def test_rollup_is_idempotent(spark):
     r = token_rollups.Rollup(spark, fresh_path(spark, "rollup"))
     rows = spark.createDataFrame([("s", "en", "v1", 5), ("s", "en", "v1", 7), (None, "de", "v1", None)], "source string, lang string, tokenizer_version string, n_tokens long")

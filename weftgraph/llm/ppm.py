@@ -6,10 +6,11 @@ longest known context; an unseen byte pays the escape (method C: as many counts
 as the context has distinct followers, plus the counts of pruned followers) and
 goes on at the next shorter context with the followers seen so far excluded.
 
-The trie keeps the n-grams that make up at least ``1 / room`` of all training
-positions, so each order has at most ``room`` of them whatever the corpus size:
-that is the proven bound of what is broadcast.  Pruned counts still count, in
-their context's escape.
+Every n-gram of the training documents is kept, so the model grows with the
+corpus.  It is never in one place: a code's cost needs only the n-grams whose
+context ends in the same bytes, so the distinct codes of each block are dealt out
+by the last ``LOW + 1`` bytes of their context, counted and costed there, and sent
+back.  Only orders up to ``LOW``, at most 256 ** (LOW + 1) n-grams, are broadcast.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +29,8 @@ from weftgraph.llm.common import arrow_schema, cut, read_table
 
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Highest order that every task has whole.
+LOW = 2
 
 
 class Table:
@@ -158,9 +162,23 @@ def _held_out(doc_id) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 7 == 2
 
 
+def _packed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(data, asbytes=True)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
+def _texts(sizes: list[int], data: bytes) -> list[str]:
+    """Texts of a block from the byte length of each and all their bytes, packed."""
+    whole, ends = _unpacked(data), np.cumsum([0, *sizes]).tolist()
+    return [whole[a:b].decode() for a, b in zip(ends, ends[1:])]
+
+
 def _in_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     """Documents packed into rows of about ``block_bytes`` bytes of text, written once so that later passes agree on them."""
-    schema = T._parse_datatype_string("block long, ids array<long>, texts array<string>")
+    schema = T._parse_datatype_string("block long, ids array<long>, sizes array<long>, texts binary")
     out = arrow_schema(schema)
 
     def run(batches):
@@ -169,7 +187,8 @@ def _in_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
         block, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([block], [ids], [texts]), out)], schema=out)
+            data = [t.encode() for t in texts]
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((block, ids, [*map(len, data)], _packed(b"".join(data))), out)], schema=out)
 
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -186,9 +205,10 @@ def _in_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
 
 
 def _rows(batch: pa.RecordBatch):
-    """Blocks of a batch, one at a time in Python objects."""
+    """Block, ids and texts of a batch's rows, one at a time in Python objects."""
     for k in range(batch.num_rows):
-        yield tuple(c[k].as_py() for c in batch.columns)
+        block, ids, sizes, texts = (c[k].as_py() for c in batch.columns)
+        yield block, ids, _texts(sizes, texts)
 
 
 def _runs(texts: list[bytes], most: int = 1_000_000):
@@ -238,63 +258,115 @@ def word_counts(blocks: DataFrame) -> DataFrame:
     return cut(rows, "ppm-words")
 
 
-def gram_counts(blocks: DataFrame, order: int) -> DataFrame:
-    """``code, n``: counts of the highest-order n-grams of the training documents, counted in each task first."""
+def _summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in ascending order with the sums of their counts."""
+    by = np.argsort(code, kind="stable")
+    code, n = code[by], n[by]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])[: len(code)])
+    return code[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def grams_of(code: np.ndarray, n: np.ndarray, order: int, least_order: int = 0) -> tuple[list, list]:
+    """``grams`` and ``totals`` of :class:`Model` for orders ``least_order`` to ``order``, from the counts of order ``order``."""
+    grams, totals = [], []
+    for k in range(order, least_order - 1, -1):
+        if k < order:
+            code, n = _summed(code & np.uint64((1 << 8 * (k + 1)) - 1), n)
+        grams.append((code, n))
+        totals.append(_summed(code >> np.uint64(8), n))
+    return grams[::-1], totals[::-1]
+
+
+def low_grams(blocks: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of all n-grams of ``order`` (at most ``LOW``) in the training documents, counted in each task first."""
     schema = T._parse_datatype_string("code long, n long")
     out = arrow_schema(schema)
 
-    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        code = np.concatenate([p[0] for p in parts])
-        by = np.argsort(code, kind="stable")
-        code, n = code[by], np.concatenate([p[1] for p in parts])[by]
-        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-        return code[first], np.add.reduceat(n, first)
-
     def run(batches):
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        count = np.zeros(1 << 8 * (order + 1), np.int64)
         for batch in batches:
             for _, ids, texts in _rows(batch):
-                train = [t.encode() for i, t in zip(ids, texts) if not _held_out(i)]
-                parts += [np.unique(codes_of(some, order)[0], return_counts=True) for some in _runs(train)]
-                if sum(len(p[0]) for p in parts) > 1_500_000:
-                    parts = [merged(parts)]
-                    if len(parts[0][0]) > 1_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in parts.pop()], schema=out)
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in merged(parts)], schema=out)
-
-    return blocks.mapInArrow(run, schema).groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def train(blocks: DataFrame, order: int = 5, room: int = 800_000) -> Model:
-    """Fit the model; each order sends at most ``room`` n-grams and ``room`` contexts to the driver."""
-    now = cut(gram_counts(blocks, order), "ppm-grams")
-    positions = now.agg(F.sum("n")).first()[0] or 0
-    least = positions / room
-    grams, totals = [], []
-    for k in range(order, -1, -1):
-        if k < order:
-            now = now.groupBy(F.col("code").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("code")).agg(F.sum("n").alias("n"))
-            now = cut(now, "ppm-grams")
-        common = now.where(F.col("n") >= least).toPandas().sort_values("code")
-        sums = now.groupBy(F.shiftrightunsigned("code", 8).alias("code")).agg(F.sum("n").alias("n"))
-        sums = sums.where(F.col("n") >= least).toPandas().sort_values("code")
-        code, context = common["code"].to_numpy(np.uint64), sums["code"].to_numpy(np.uint64)
-        used = np.isin(context, code >> np.uint64(8))  # a context with no common follower is not one
-        grams.append((code, common["n"].to_numpy(np.int64)))
-        totals.append((context[used], sums["n"].to_numpy(np.int64)[used]))
-    return Model(grams[::-1], totals[::-1])
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 5, room: int = 800_000, block_bytes: int = 3_000_000) -> DataFrame:
+                for some in _runs([t.encode() for i, t in zip(ids, texts) if not _held_out(i)]):
+                    np.add.at(count, codes_of(some, order)[0].astype(np.int64), 1)
+        code = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(count[code], pa.int64())], schema=out)
+
+    got = blocks.mapInArrow(run, schema).groupBy("code").agg(F.sum("n").alias("n")).toPandas().sort_values("code")
+    return got["code"].to_numpy(np.uint64), got["n"].to_numpy(np.int64)
+
+
+def _distinct(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes of the texts and their counts."""
+    parts = [np.unique(codes_of(some, order)[0], return_counts=True) for some in _runs(texts)]
+    if len(parts) == 1:
+        return parts[0]
+    return _summed(np.concatenate([np.empty(0, np.uint64), *[c for c, _ in parts]]), np.concatenate([np.empty(0, np.int64), *[n for _, n in parts]]))
+
+
+def _dealt(code: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of codes by part and the first of each part; codes whose contexts end alike share one."""
+    end = code >> np.uint64(8) & np.uint64((1 << 8 * (LOW + 1)) - 1)
+    part = ((end * _MIX >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+    return np.argsort(part, kind="stable"), np.cumsum([0, *np.bincount(part, minlength=parts)])
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of ``x``, the first bytes of all values before the second ones: sorted values then compress well."""
+    return _packed(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+
+
+def _unplanes(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(_unpacked(data), np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def code_bits(blocks: DataFrame, order: int, parts: int) -> DataFrame:
+    """``block, part, bits``: code lengths (32-bit floats) of a block's distinct codes of a part, ascending by code."""
+    dealt_schema = T._parse_datatype_string("block long, part int, codes binary, counts binary")
+    dealt = arrow_schema(dealt_schema)
+
+    def deal(batches):
+        for batch in batches:
+            for block, ids, texts in _rows(batch):
+                train, n = _distinct([t.encode() for i, t in zip(ids, texts) if not _held_out(i)], order)
+                held, _ = _distinct([t.encode() for i, t in zip(ids, texts) if _held_out(i)], order)
+                code, n = _summed(np.concatenate([train, held]), np.concatenate([n, np.zeros(len(held), np.int64)]))
+                by, first = _dealt(code, parts)
+                code, n = code[by].astype("<u8"), n[by].astype("<u4")
+                some = np.flatnonzero(np.diff(first)).tolist()
+                cuts = [(first[p], first[p + 1]) for p in some]
+                arrays = [pa.array(np.full(len(some), block)), pa.array(some, pa.int32()), pa.array([_planes(code[a:b]) for a, b in cuts], pa.binary()), pa.array([_planes(n[a:b]) for a, b in cuts], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, schema=dealt)
+
+    low = min(order, LOW)
+    whole = blocks.sparkSession.sparkContext.broadcast(low_grams(blocks, low))
+    schema = T._parse_datatype_string("block long, part int, bits binary")
+    out = arrow_schema(schema)
+
+    def cost(table: pa.Table) -> pa.Table:
+        each = [_unplanes(c.as_py(), "<u8") for c in table.column("codes")]
+        n = np.concatenate([_unplanes(c.as_py(), "<u4") for c in table.column("counts")]).astype(np.int64)
+        code, place = np.unique(np.concatenate(each), return_inverse=True)
+        n = np.bincount(place, weights=n, minlength=len(code)).astype(np.int64)
+        grams, totals = grams_of(*whole.value, low)
+        more = grams_of(code[n > 0], n[n > 0], order, low + 1)
+        model = Model(grams + more[0], totals + more[1])
+        bits = np.concatenate([model.bits(code[a : a + 250_000]) for a in range(0, len(code), 250_000)]).astype("<f4")[place]
+        ends = np.cumsum([len(c) for c in each])
+        return pa.table([table.column("block"), table.column("part"), pa.array([_planes(bits[b - len(c) : b]) for c, b in zip(each, ends)], pa.binary())], schema=out)
+
+    return blocks.mapInArrow(deal, dealt_schema).groupBy("part").applyInArrow(cost, schema)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 5, block_bytes: int = 3_000_000, part_bytes: int = 8_000_000) -> DataFrame:
     """One row per document: id, ``held_out``, token figures, add-one unigram ``base_score`` and the model's ``score``.
 
     Documents whose crc32(id as text) modulo 7 is 2 are held out of all training.
     A null text counts as empty (one end token); a null id trains; repeated rows
     are kept and train as often; with an empty table there are no rows.  Other
-    columns are not read.  Both scores are log10 probabilities.
+    columns are not read.  Both scores are log10 probabilities.  The model is
+    costed in parts, one for each ``part_bytes`` bytes of text.
     """
-    spark = docs.sparkSession
     schema = T._parse_datatype_string("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     blocks = _in_blocks(docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")), block_bytes)
     counts = word_counts(blocks)
@@ -307,29 +379,44 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     n_ends = blocks.select("ids").mapInArrow(ends, ends_schema).agg(F.sum("n")).first()[0] or 0
     words, vocabulary = counts.agg(F.sum("n"), F.sum(F.when(F.col("first") & (F.col("c") > 0), 1))).first()
     total, distinct = (words or 0) + n_ends, (vocabulary or 0) + (n_ends > 0)
-    model = spark.sparkContext.broadcast(train(blocks, order, room))
+    size = blocks.agg(F.sum(F.expr("aggregate(sizes, 0L, (a, n) -> a + n)"))).first()[0] or 0
+    parts = -(-size // part_bytes) or 1
+    bits = code_bits(blocks, order, parts)
+    # a block's rows beside its texts: the counts of its words and the code lengths of its codes
+    beside = counts.select("block", "idx", "c", F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("bits"))
+    beside = beside.unionByName(bits.select("block", F.lit(None).cast("int").alias("idx"), F.lit(None).cast("long").alias("c"), "part", "bits"))
     out = arrow_schema(schema)
 
     def of_block(texts: pa.Table, known: pa.Table) -> pa.Table:
-        count = np.zeros(known.num_rows + 1, np.int64)
-        count[known.column("idx").to_numpy()] = known.column("c").to_numpy()
+        words = known.filter(pc.is_valid(known.column("idx")))
+        count = np.zeros(words.num_rows + 1, np.int64)
+        count[words.column("idx").to_numpy()] = words.column("c").to_numpy()
         gain = np.log10(count + 1.0)
         rest = np.log10(total + distinct + 1.0)
+        costed = known.filter(pc.is_valid(known.column("part"))).sort_by("part")
+        cost = np.concatenate([_unplanes(b, "<f4") for b in costed.column("bits").to_pylist()])
         columns: list[list] = [[] for _ in out]
-        for _, ids, each in zip(*[texts.column(c).to_pylist() for c in ("block", "ids", "texts")]):
+        for ids, sizes, packed in zip(*[texts.column(c).to_pylist() for c in ("ids", "sizes", "texts")]):
+            each = _texts(sizes, packed)
             place: dict = {}
             for i, t in zip(ids, each):
                 at = np.array([place.setdefault(w, len(place)) for w in tokens_of(t)], np.int64)
                 base = gain[at].sum() + np.log10(n_ends + 1.0) - (len(at) + 1) * rest
                 for c, v in zip(columns, (i, _held_out(i), len(at) + 1, int((count[at] > 0).sum()) + (n_ends > 0), total, base)):
                     c.append(v)
-            for some in _runs([t.encode() for t in each]):
-                codes, starts = codes_of(some, order)
-                bits = np.concatenate([model.value.bits(codes[a : a + 250_000]) for a in range(0, len(codes), 250_000)])
-                columns[-1] += (-np.add.reduceat(bits, starts) * np.log10(2.0)).tolist()
+            runs = [codes_of(some, order) for some in _runs([t.encode() for t in each])]
+            code, place_of = np.unique(np.concatenate([c for c, _ in runs]), return_inverse=True)
+            by = _dealt(code, parts)[0]
+            of_code = np.empty(len(code))
+            of_code[by] = cost
+            done = 0
+            for codes, starts in runs:
+                lengths = of_code[place_of[done : done + len(codes)]]
+                done += len(codes)
+                columns[-1] += (-np.add.reduceat(lengths, starts) * np.log10(2.0)).tolist()
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
 
-    scored = blocks.groupBy("block").cogroup(counts.select("block", "idx", "c").groupBy("block")).applyInArrow(of_block, schema)
+    scored = blocks.groupBy("block").cogroup(beside.groupBy("block")).applyInArrow(of_block, schema)
     return scored.withColumnRenamed("doc_id", id_col)
 
 
