@@ -249,6 +249,21 @@ def test_pseudonyms():
         assert re.sub(r"\d", "0", new) == re.sub(r"\d", "0", date)
 
 
+def test_pseudonyms_leave_nothing_in_clear():
+    key = b"secret"
+    for value in ("+1 (017) 555-7713", "+1 (132) 555-1352", "(212) 155-1352", "0.12.13.14", "239.255.255.250", "255.255.255.255"):
+        out, spans = pseudonyms.pseudonymize(value, key)
+        assert len(spans) == 1 and out != value
+        assert re.sub(r"\d+", "0", out) == re.sub(r"\d+", "0", value)
+    assert len({pseudonyms.pseudonymize(f"{a}.0.0.{b}", key)[0] for a in (0, *range(1, 256)) for b in range(4)}) == 1024
+    card, iban = "4041894974608795", "DE89370400440532013000"
+    new = pseudonyms.pseudonymize(card, key)[0]
+    for rest in (" 123", " 12", "-123"):
+        assert pseudonyms.pseudonymize(card + rest, key)[0] == new + rest
+    assert pseudonyms.pseudonymize("123 " + card, key)[0] == "123 " + new
+    assert pseudonyms.pseudonymize(f"{iban} ABCD", key) == (pseudonyms.pseudonymize(iban, key)[0] + " ABCD", [("iban", 0, len(iban))])
+
+
 def naive_rules(text):
     w = words(text)
     wins = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]

@@ -12,7 +12,7 @@ import datetime
 import hashlib
 import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -80,8 +80,9 @@ def _phone(text: str, key: bytes) -> str | None:
     d = re.sub(r"\D", "", text)
     local = d[-10:]
     if len(d) == 11 and d[0] == "1" or len(d) == 10 and not text.startswith("+"):
-        if local[0] < "2" or local[3] < "2":
-            return None
+        outside = lambda x: x // 10**9 < 2 or x // 10**6 % 10 < 2
+        if outside(int(local)):  # no number of the plan: permuted among those that are none, never left in clear
+            return _refill(text, d[:-10] + _digits(_walk(int(local), 10**10, key, "nanp-outside", outside), 10))
         index = ((int(local[0]) - 2) * 100 + int(local[1:3])) * 8 * 10**6 + (int(local[3]) - 2) * 10**6 + int(local[4:])
         area, line = divmod(permute(index, 800 * 8 * 10**6, key, "nanp"), 8 * 10**6)
         new = f"{area // 100 + 2}{area % 100:02d}{line // 10**6 + 2}{line % 10**6:06d}"
@@ -104,8 +105,12 @@ def _ssn(text: str, key: bytes) -> str | None:
 def _address(text: str, key: bytes) -> str | None:
     parts = text.split(".")
     o = [int(p) for p in parts]
-    if not 1 <= o[0] <= 223 or max(o) > 255 or any(p != str(n) for p, n in zip(parts, o)):
+    if max(o) > 255 or any(p != str(n) for p, n in zip(parts, o)):
         return None
+    if not 1 <= o[0] <= 223:  # 0 and 224 to 255: permuted among themselves
+        first = 0 if o[0] == 0 else o[0] - 223
+        x = permute((first << 24) + (o[1] << 16) + (o[2] << 8) + o[3], 33 << 24, key, "ipv4-outside")
+        return f"{(x >> 24) + 223 if x >> 24 else 0}.{x >> 16 & 255}.{x >> 8 & 255}.{x & 255}"
     x = permute(((o[0] - 1) << 24) + (o[1] << 16) + (o[2] << 8) + o[3], 223 << 24, key, "ipv4")
     return f"{(x >> 24) + 1}.{x >> 16 & 255}.{x >> 8 & 255}.{x & 255}"
 
@@ -186,15 +191,34 @@ KINDS: list[tuple[str, re.Pattern, Callable[[str, bytes], str | None]]] = [
 _ANY = re.compile(r"[0-9]|@")
 
 
+#: Shortest values, without separators, of the kinds whose pattern may run on into what follows a value.
+_SHORTEST = {"card": 13, "iban": 15}
+
+
+def _ends(kind: str, m: re.Match) -> Iterator[int]:
+    """The end of a match, then of each shorter prefix that ends before a separator."""
+    yield m.end()
+    if kind in _SHORTEST:
+        value = m.group()
+        for k in range(len(value) - 1, 0, -1):
+            if value[k] in " -" and len(re.sub(r"[ -]", "", value[:k])) >= _SHORTEST[kind]:
+                yield m.start() + k
+
+
 def pseudonymize(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and ``(kind, start, end)`` of the values replaced (in the given text)."""
     if not _ANY.search(text):
         return text, []
     found: list[tuple[int, int, str, str]] = []
     for kind, pattern, make in KINDS:
-        for m in pattern.finditer(text):
-            if not any(m.start() < b and a < m.end() for a, b, _, _ in found) and (new := make(m.group(), key)) is not None:
-                found.append((m.start(), m.end(), kind, new))
+        at = 0
+        while m := pattern.search(text, at):
+            at = m.start() + 1 if kind in _SHORTEST else m.end()  # a value may start within a match that is none
+            for end in _ends(kind, m):
+                if not any(m.start() < b and a < end for a, b, _, _ in found) and (new := make(text[m.start() : end], key)) is not None:
+                    found.append((m.start(), end, kind, new))
+                    at = end  # what a shorter value leaves is searched again
+                    break
     parts, done = [], 0
     for a, b, _, new in sorted(found):
         parts += [text[done:a], new]
