@@ -197,6 +197,22 @@ def test_edit_distance_and_recall():
     assert index.find([" ".join(rng.choices(vocabulary, k=5000))]) == []
 
 
+def test_long_items_with_any_edits_are_found():
+    """Every item with as many edits as allowed is found: mixed edits, insertions only and deletions only."""
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(400)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=size))) for k, size in enumerate([3, 5, 9, 14, 30, 59, 100, 150, 200, 300] * 3)]
+    index = decontaminate.Index(items, **decontaminate.METHOD)
+    for k, t in items:
+        for kinds in ("sid", "i", "d"):
+            w = t.split()
+            for _ in range(decontaminate.allowed(len(w), 0.8)):
+                kind, at = rng.choice(kinds), rng.randrange(len(w))
+                w[at : at + (kind != "i")] = [] if kind == "d" else [rng.choice(vocabulary)]
+            text = " ".join([*rng.choices(vocabulary, k=30), *w, *rng.choices(vocabulary, k=40)])
+            assert k in {i for _, i, *_ in index.find([text])}, (len(t.split()), kinds)
+
+
 def test_leaks_match_brute_force(spark, texts):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{FIXTURE}/benchmark.parquet").collect()}
     index = decontaminate.Index(list(items.items()), **decontaminate.METHOD)

@@ -7,6 +7,11 @@ strided places of every document and at every place of an item's first half;
 tables of a few sampled steps propose (document place, item) pairs, and the exact
 word edit distance of the item to its best window there decides.
 
+Walks may miss, more so for long items and moved words, so seeds propose too: an
+item that may have k edits is divided into k + 1 pieces, of which k edits leave at
+least one as it is.  Every place with a piece's words is proposed, so no held item
+is missed, whatever its length and the kind of its edits.
+
 Document words outside the benchmark's vocabulary share one symbol: they match no
 item word in any case.
 """
@@ -59,6 +64,10 @@ def best_window(masks: dict[int, int], n: int, window: list[int]) -> tuple[int,
     return best, end
 
 
+#: Most words of a seed.
+SEED_WORDS = 8
+
+
 class Index:
     """Items of one block with their embedding tables; built on the driver, used in the tasks."""
 
@@ -101,6 +110,51 @@ class Index:
                 sieve[(key >> np.uint64(44)).astype(np.int64)] = True
                 found.append((key[by], item[by], offset[by], sieve))
             self.classes.append((low, high, max(1, low // 8), bits, picks, found))
+        pieces: dict[int, list[tuple[int, int]]] = {}
+        for k, item in enumerate(self.items):
+            n = min(allowed(len(item), similarity) + 1, len(item))
+            for a, b in itertools.pairwise(j * len(item) // n for j in range(n + 1)):
+                pieces.setdefault(min(b - a, SEED_WORDS), []).append((k, a))  # of a long piece its first words
+        self.sizes = np.array([len(x) for x in self.items], np.int64)
+        self.most = np.array([allowed(len(x), similarity) for x in self.items], np.int64)
+        self.seeds = []
+        for words_, at in sorted(pieces.items()):
+            item, offset = (np.array(x) for x in zip(*at))
+            key = self._seed_keys(np.stack([self.items[k][o : o + words_] for k, o in at], 1))
+            by = np.argsort(key, kind="stable")
+            sieve = np.zeros(1 << 20, bool)
+            sieve[(key >> np.uint64(44)).astype(np.int64)] = True
+            self.seeds.append((words_, key[by], item[by], offset[by], sieve))
+
+    @staticmethod
+    def _seed_keys(words: np.ndarray | list[np.ndarray]) -> np.ndarray:
+        """Hashes of the words in each column."""
+        key = np.zeros(len(words[0]), np.uint64)
+        for c in words:
+            key += c.astype(np.uint64) + np.uint64(1)
+            key *= np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        return key * np.uint64(0x9E3779B97F4A7C15)
+
+    def _seeded(self, codes: np.ndarray, first: np.ndarray, known: np.ndarray) -> set[tuple[int, int, int]]:
+        """Candidates ``(text, item, place // 8)`` from the places of pieces."""
+        out: set[tuple[int, int, int]] = set()
+        n = len(codes)
+        for size, keys, item, offset, sieve in self.seeds:
+            q = np.flatnonzero(known[size:] - known[: n + 1 - size] == size)
+            key = self._seed_keys([codes[q + j] for j in range(size)])
+            maybe = np.flatnonzero(sieve[(key >> np.uint64(44)).astype(np.int64)])
+            left, right = np.searchsorted(keys, key[maybe]), np.searchsorted(keys, key[maybe], "right")
+            counts = right - left
+            entry = np.repeat(left - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            place = np.repeat(q[maybe], counts)
+            start, who = place - offset[entry], item[entry]
+            text = np.searchsorted(first, place, "right") - 1
+            a = np.maximum(start - self.most[who], first[text])
+            b = np.minimum(start + self.sizes[who] + self.most[who], first[text + 1])
+            enough = known[b] - known[a] >= self.sizes[who] - self.most[who]
+            out.update(zip(text[enough].tolist(), who[enough].tolist(), (start[enough] // 8).tolist()))
+        return out
 
     def _keys(self, codes: np.ndarray, at: np.ndarray, bits: list, picks: list) -> list[np.ndarray]:
         """For each table the hashed sampled steps of the walks that start at ``at``."""
@@ -161,6 +215,7 @@ class Index:
                 start = place - offset[entry]
                 # places a few words apart share one verification window
                 candidates.update(zip(text.tolist(), item[entry].tolist(), (start // 8).tolist()))
+        candidates |= self._seeded(codes, first, known)
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for text, item, block in candidates:
             size = len(self.items[item])
