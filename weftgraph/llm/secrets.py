@@ -13,6 +13,7 @@ import bisect
 import bz2
 import hashlib
 import html
+import itertools
 import lzma
 import re
 import zlib
@@ -98,10 +99,10 @@ def _inline(text: str, pattern: re.Pattern, units: Callable[[str], list[tuple[st
 
 def _url_units(run: str) -> list[tuple[str, int]] | None:
     try:
-        decoded = bytes.fromhex(run.replace("%", "")).decode()
-    except UnicodeDecodeError:
+        decoded = bytes.fromhex(run.replace("%", "")).decode(errors="surrogateescape")
+    except ValueError:
         return None
-    return [(c, 3 * len(c.encode())) for c in decoded]
+    return [(c, 3 * len(c.encode(errors="surrogateescape"))) for c in decoded]
 
 
 def _escape_units(run: str) -> list[tuple[str, int]]:
@@ -123,63 +124,86 @@ def _escape_units(run: str) -> list[tuple[str, int]]:
     return out
 
 
-def _inflate(data: bytes, most: int) -> bytes | None:
-    """Decompress gzip, zlib, bzip2, xz or zstd data up to ``most`` bytes; None if it is none of them."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, most)
-        if data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2]) % 31 == 0:
-            return zlib.decompressobj().decompress(data, most)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, most)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, most)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
+def _inflate(data: bytes, most: int) -> tuple[bytes, int] | None:
+    """Decompress the gzip, zlib, bzip2, xz or zstd members at the start of ``data`` up to ``most`` bytes.
+
+    Returns the result and how many bytes of ``data`` it took; None if there is no such member.
+    """
+    out, left = [], data
+    while left and most > 0:
+        if left[:2] == b"\x1f\x8b":
+            one = zlib.decompressobj(31)
+        elif left[:1] == b"\x78" and len(left) > 2 and int.from_bytes(left[:2]) % 31 == 0:
+            one = zlib.decompressobj()
+        elif left[:3] == b"BZh":
+            one = bz2.BZ2Decompressor()
+        elif left[:6] == b"\xfd7zXZ\x00":
+            one = lzma.LZMADecompressor()
+        elif left[:4] == b"\x28\xb5\x2f\xfd":
             import zstandard
 
-            with zstandard.ZstdDecompressor().stream_reader(data) as reader:
-                return reader.read(most)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        pass
-    except Exception as e:  # zstandard raises a class of its own
-        if type(e).__name__ != "ZstdError":
-            raise
-    return None
+            try:
+                with zstandard.ZstdDecompressor().stream_reader(left, read_across_frames=True) as reader:
+                    out.append(reader.read(most))
+                left = b""
+            except zstandard.ZstdError:
+                pass
+            break
+        else:
+            break
+        try:
+            got = one.decompress(left, most)
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+            break
+        out.append(got)
+        most -= len(got)
+        left = one.unused_data if one.eof else b""
+    return (b"".join(out), len(data) - len(left)) if out else None
+
 
+#: Fewer printable characters in a row hold neither a secret nor an encoded one.
+_HOLDS = re.compile(rb"[\t\n\r\x20-\x7e]{12}")
+_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_BREAK = re.compile(r"\r?\n[ \t]*")
+#: How compressed data starts in base64: gzip, bzip2, xz, zstd, zlib.
+_MAGIC = re.compile(r"H4sI|Qlpo|/Td6WFo|KLUv/|e(?:A[E-H]|F[4-7]|J[w-z]|N[o-r])")
 
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if all(c.isprintable() or c in "\t\n\r" for c in text) else None
+
+def _bytes_of(run: str) -> bytes:
+    run = run[: len(run) - (len(run) % 4 == 1)]
+    return binascii.a2b_base64(run + "=" * (-len(run) % 4))
 
 
 def _base64_layers(text: str, most: int) -> Iterator[tuple[str, Place]]:
-    for m in _BASE64.finditer(text):
-        run = m.group().rstrip("=").translate({45: 43, 95: 47})
-        if len(run) % 4 == 1:
-            run = run[:-1]
-        try:
-            data = binascii.a2b_base64(run + "=" * (-len(run) % 4))
-        except binascii.Error:
-            continue
-        start, end = m.span()
-        wrapped = False
-        while (more := _inflate(data, most)) is not None and more != data:  # compressed layers may nest
-            data, wrapped = more, True
-        layer = _readable(data)
-        if layer is None:
-            continue
-        if wrapped:
-            yield layer, lambda a, b, s=start, e=end: (s, e)
-        else:
+    """Layers of each run, and of runs that go on over line ends, at all four alignments; compressed data wherever it starts."""
+    for m in itertools.chain(_BASE64.finditer(text), _WRAPPED.finditer(text)):
+        at = list(range(*m.span()))  # source place of each character of the run
+        for gap in reversed(list(_BREAK.finditer(m.group()))):
+            del at[gap.start() : gap.end()]
+        run = _BREAK.sub("", m.group()).rstrip("=").translate({45: 43, 95: 47})
+        for k in range(4):
+            data = _bytes_of(run[k:])
+            if not _HOLDS.search(data):
+                continue
+            layer = data.decode(errors="surrogateescape")
 
-            def place(a: int, b: int, layer: str = layer, s: int = start, e: int = end) -> tuple[int, int]:
-                first, last = len(layer[:a].encode()), len(layer[:b].encode())
-                return s + first * 4 // 3, e if b == len(layer) else s - (-last * 4 // 3)
+            def place(a: int, b: int, layer: str = layer, at: list = at, k: int = k, e: int = m.end()) -> tuple[int, int]:
+                first, last = (len(layer[:x].encode(errors="surrogateescape")) for x in (a, b))
+                return at[k + first * 4 // 3], e if b == len(layer) else at[k - (-last * 4 // 3) - 1] + 1
 
             yield layer, place
+        for start in _MAGIC.finditer(run):
+            data = _bytes_of(run[start.start() :])
+            got = _inflate(data, most)
+            if got is None:
+                continue
+            data, used = got
+            last = start.start() - (-used * 4 // 3)
+            span = at[start.start()], m.end() if last >= len(run) - 1 else at[last - 1] + 1
+            while (more := _inflate(data, most)) is not None and more[0] != data:  # compressed layers may nest
+                data = more[0]
+            if _HOLDS.search(data):
+                yield data.decode(errors="surrogateescape"), lambda a, b, span=span: span
 
 
 def layers(text: str, most: int) -> Iterator[tuple[str, Place]]:
