@@ -210,3 +210,10 @@ def test_tables(spark, tmp_path):
 @pytest.mark.parametrize("kind,pattern,name,hit", [("exact", "free", "free", True), ("prefix", "k", "kfree", True), ("suffix", "free", "kfree", True), ("glob", "k*e", "kfree", True), ("glob", "k.e", "kfe", False), ("regex", "^k.*e$", "kfree", True), ("method", "close", "file.close", True), ("other", "x", "y", False)])
 def test_rule_patterns(spark, kind, pattern, name, hit):
     assert spark.range(1).select(C.rule_matches(F.lit(kind), F.lit(pattern), F.lit(name)).alias("v")).first().v is hit
+
+
+def test_context_slices_query_takes_all_edges(spark):
+    from weftgraph.plans.lens import Lens
+    from weftgraph.plans.more import context_slices
+
+    assert context_slices(Lens(spark, "/root/testdata/sf0.01")).where("node >= 300").limit(1).count() == 1

@@ -227,5 +227,5 @@ def cfg_lifecycle(x):
 
 @query()
 def context_slices(x):
-    flow = x.edges.where("source < 300 AND target < 300").select("source", "target", F.when(F.col("kind") == "calls", "arg_to_param").when(F.col("kind") == "instantiates", "return_to_call").otherwise("assign").alias("kind"), (F.col("source") % 7).cast("string").alias("call_id"))
+    flow = x.edges.select("source", "target", F.when(F.col("kind") == "calls", "arg_to_param").when(F.col("kind") == "instantiates", "return_to_call").otherwise("assign").alias("kind"), (F.col("source") % 7).cast("string").alias("call_id"))
     return trace.context_slices(_seeds(x, 15).select(F.col("symbol_id").alias("sink")), flow, 6, 4)
