@@ -97,6 +97,16 @@ def test_piece_encoder_on_odd_white_space():
     assert enc.encode_many(odd) == [enc._ids(t) for t in odd]
 
 
+def test_piece_encoder_on_added_tokens():
+    from tokenizers import Tokenizer
+
+    path = token_files.default_tokenizer()
+    tok = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y\nz", "<|endoftext |>", "plain words"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in token_files.PieceEncoder(path).encode_many(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in tok.encode(texts[0], add_special_tokens=False).ids
+
+
 def test_bpe_matches_library(texts):
     enc = bpe.encoding(bpe.default_ranks())
     for t in [*texts.values()][:80]:

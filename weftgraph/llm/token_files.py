@@ -49,7 +49,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.room = room
         self.memo: tuple[dict, dict] = ({}, {})  # pieces after a space, pieces without one
         self.line_end = self._ids("\n")
@@ -93,8 +93,8 @@ class PieceEncoder:
             self.memo[spaced][p] = self.memo[spaced][word] + self.memo[0][marks]
 
     def _plain(self, text: str) -> list[list[str]] | None:
-        """Lines split at spaces, if single spaces and line ends are the only white space."""
-        for c in _ODD_SPACES:
+        """Lines split at spaces, if single spaces and line ends are the only white space and no added token is in the text."""
+        for c in (*_ODD_SPACES, *self.added):
             if c in text:
                 return None
         lines = [line.split(" ") for line in text.split("\n")]
