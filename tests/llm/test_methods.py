@@ -2,6 +2,7 @@
 
 import base64
 import gzip
+import hashlib
 import random
 import re
 import zlib
@@ -82,7 +83,6 @@ def test_token_files_match_library(spark, texts):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(token_files.default_tokenizer())
-    tok.encode_special_tokens = True
     got = {r.doc_id: r for r in token_files.op2_token_files(spark, FIXTURE).collect()}
     start = 0
     for i in sorted(texts):
@@ -94,7 +94,25 @@ def test_token_files_match_library(spark, texts):
 def test_piece_encoder_on_odd_white_space():
     enc = token_files.PieceEncoder(token_files.default_tokenizer(), room=10)
     odd = ["", " ", "  a", "a  b", "a \n b", "\n\na", "a\tb c", "don't stop, it's 5%!", "x y z", "a b\n", "é è, ñ. 1a a1 _x", "a\x1cb \x85c", " lead and trail "]
-    assert enc.encode_many(odd) == [enc._ids(t) for t in odd]
+    assert enc.encode_many(odd) == [enc._ids(t).tobytes() for t in odd]
+    rng = random.Random(5)
+    parts = [" ", "  ", "   ", "\n", "\n\n", "\n\n\n", " \n", "\t", "\r\n", "a", "word", "Don't", "it's", "5%", "é", "ñandú.", "日本", "😀", "!!", "'s", "\x1c", "\x85", "<|endoftext|>", "ª", "AbC,", "..."]
+    for _ in range(400):
+        texts = ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(6)]
+        assert enc.encode_many(texts) == [enc._ids(t).tobytes() for t in texts]
+
+
+def test_shards_are_written_again(spark, tmp_path):
+    """A second run over the same folder replaces its files; one id of many rows spreads over tasks."""
+    rows = [(None, f"text {k % 7}") for k in range(400)] + [(3, "same")] * 400 + [(k, "x y") for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    folder = (tmp_path / "files").as_uri()
+    for _ in range(2):
+        manifest = token_files.write_token_files(docs, folder, shard_ids=300)
+    got = token_files.read_token_files(spark, folder, manifest).orderBy("start").collect()
+    ids = [r.doc_id for r in got]
+    assert len(ids) == len(rows) and ids == [None] * 400 + [0, 1, 2] + [3] * 401 + [4]
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:k]) for k in range(len(got))]
 
 
 def test_piece_encoder_on_added_tokens():
@@ -113,6 +131,32 @@ def test_bpe_matches_library(texts):
         assert bpe.encode_text(t, bpe.default_ranks(), limit=100).tolist() == enc.encode_ordinary(t)
 
 
+def test_bpe_query_digests(spark, texts):
+    """The query's digests against the library, for every text of the fixture."""
+    enc = bpe.encoding(bpe.default_ranks())
+    rows = bpe.op6_bpe(spark, FIXTURE).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = np.array(enc.encode_ordinary(texts[r.doc_id]), "<u4")
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_bpe_long_white_space():
+    """Long runs of white space give the ids of each match by itself, and do not stop the library."""
+    import public_tokenizers
+    import regex
+
+    ranks = bpe.default_ranks()
+    enc = bpe.encoding(ranks)
+    pattern = regex.compile(public_tokenizers.PATTERN)
+    for run in (" " * 10_001, "\n" * 10_000, " \n" * 6000, "\t" * 9_999, "\u3000" * 20_000):
+        for text in (run, f"a{run}", f"{run}b", f"a b{run}c d{run}! {run}"):
+            assert bpe.encode_text(text, ranks).tolist() == [i for m in pattern.findall(text) for i in enc.encode_ordinary(m)]
+    for run in (" " * 2_000_000, "\n" * 1_000_000, "ab" + " " * 1_000_000 + "cd", " \n" * 1_000_000 + "x"):
+        assert enc.decode_bytes(bpe.encode_text(run, ranks).tolist()) == run.encode()
+
+
 def test_ppm_base_and_gain(spark, texts):
     rows = {r.doc_id: r for r in ppm.op3_ppm(spark, FIXTURE).collect()}
     held = {i for i in texts if zlib.crc32(str(i).encode()) % 7 == 2}

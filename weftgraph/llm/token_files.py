@@ -13,6 +13,8 @@ control bytes, data bytes.
 from __future__ import annotations
 
 import functools
+import itertools
+import json
 import os
 import re
 import struct
@@ -21,6 +23,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,91 +35,155 @@ _HEAD = struct.Struct("<8sQQIQ")
 #: For each control byte the lengths of its four codes.
 LENGTHS = np.stack([(np.arange(256) >> s & 3) + 1 for s in (0, 2, 4, 6)], 1).astype(np.uint8)
 
-_WORD_MARKS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]+)")
-_ODD_SPACES = [c for c in map(chr, [9, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
+#: White space of the byte-level pattern (Unicode White_Space), a fixed set.
+SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Letters, then marks without an apostrophe: two tokens of the pattern whatever comes before and after.
+_WORD_MARKS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+#: Where the pattern starts a new match whatever surrounds it: an optional space and what is no white space, a run of
+#: white space without the character before the next word, that character.
+_PIECE = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]")
+_UNEVEN = "[\t\x0b\x0c\r\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[ \n]{3}|[ \n]{2}$"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: visible bytes of Latin-1 stand for themselves, the others for the letters from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(256 + hidden.index(b)) for b in hidden}
 
 
 class PieceEncoder:
     """Encodes texts with the tokenizers library, each distinct piece once per worker.
 
-    A piece ends only where the byte-level pre-tokenizer must start a new token
-    (before a single space, around line ends), so joined piece ids equal the ids
-    of the whole text.  The memo is emptied when it holds ``room`` pieces.
+    Texts are cut where the byte-level pattern must start a new match, so joined
+    piece ids equal the ids of the whole text.  Arrow cuts a chunk of texts and
+    finds its distinct pieces, the library's model encodes those not met before,
+    and numpy gathers the ids of all.  Texts with an added token's literal, and
+    all texts of a tokenizer of another kind, are encoded whole by the library.
+    The memo is emptied when it holds over ``room`` pieces or ``8 * room`` ids.
     """
 
-    def __init__(self, path: str, room: int = 1_100_000):
+    def __init__(self, path: str, room: int = 900_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        how = json.loads(self.tok.to_str())
+        before = how["pre_tokenizer"] or {}
+        self.byte_level = how["normalizer"] is None and before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and how["model"]["type"] == "BPE"
+        self.tokenize, self.letters = self.tok.model.tokenize, _byte_letters()
+        self.space = self.letters[ord(" ")]
         self.room = room
-        self.memo: tuple[dict, dict] = ({}, {})  # pieces after a space, pieces without one
-        self.line_end = self._ids("\n")
-        self.raw: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _encode_joined(self, pieces: list[str], spaced: int) -> list[bytes]:
-        """Ids of pieces, encoded as lines of one text; a line end is a token of its own there."""
-        lead, mark = (" " if spaced else ""), np.frombuffer(self.line_end, "<u4")
-        out: list[bytes] = []
-        for at in range(0, len(pieces), 24):  # long lines take the library more time a piece
-            some = pieces[at : at + 24]
-            ids = np.array(self.tok.encode("\n".join([lead + p for p in some]), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(ids == mark[0]) if len(mark) == 1 else np.empty(0, int)
-            if len(ends) == len(some) - 1:
-                data, edges = ids.tobytes(), [-1, *ends.tolist(), len(ids)]
-                out += [data[4 * (a + 1) : 4 * b] for a, b in zip(edges, edges[1:])]
+        self._empty()
+
+    def _empty(self) -> None:
+        """Forget all pieces.  A piece is keyed without the space before it; a line end before it is part of the key."""
+        self.memo: dict[str, int] = {}
+        self.marks: dict[str, list[int]] = {}
+        self.start, self.size, self.pool = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u4")
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _match_ids(self, match: str, lead: str = "") -> list[int]:
+        """Ids of one match of the pattern, after ``lead`` (byte-level letters)."""
+        if not (match.isascii() and match.isalpha()):
+            match = match.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.tokenize(lead + match)]
+
+    def _piece_ids(self, piece: str, spaced: bool) -> list[int]:
+        """Ids of ``piece``, after a space if ``spaced``."""
+        if m := _WORD_MARKS.fullmatch(piece):
+            ids = self._match_ids(m[1], self.space if spaced else "")
+            if m[2]:
+                if (tail := self.marks.get(m[2])) is None:
+                    tail = self.marks[m[2]] = self._match_ids(m[2])
+                ids += tail
+            return ids
+        return [t.id for match, _ in self.tok.pre_tokenizer.pre_tokenize_str(" " + piece if spaced else piece) for t in self.tokenize(match)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        ids, sizes = [], []
+        for p in pieces:
+            if p[:1] == "\n":
+                got = self.line_end + (self._piece_ids(p[1:], False) if len(p) > 1 else [])
             else:
-                out += [self._ids(lead + p) for p in some]
-        return out
-
-    def _learn(self, wanted: tuple[set, set]) -> None:
-        todo: tuple[set, set] = (set(), set())
-        split = []
-        for spaced in (0, 1):
-            for p in wanted[spaced]:
-                if m := _WORD_MARKS.fullmatch(p):  # a letter run and its marks are separate tokens in any case
-                    split.append((spaced, p, m[1], m[2]))
-                    if m[1] not in self.memo[spaced]:
-                        todo[spaced].add(m[1])
-                    if m[2] not in self.memo[0]:
-                        todo[0].add(m[2])
-                else:
-                    todo[spaced].add(p)
-        for spaced in (0, 1):
-            pieces = list(todo[spaced])
-            self.memo[spaced].update(zip(pieces, self._encode_joined(pieces, spaced)))
-        for spaced, p, word, marks in split:
-            self.memo[spaced][p] = self.memo[spaced][word] + self.memo[0][marks]
-
-    def _plain(self, text: str) -> list[list[str]] | None:
-        """Lines split at spaces, if single spaces and line ends are the only white space and no added token is in the text."""
-        for c in (*_ODD_SPACES, *self.added):
-            if c in text:
-                return None
-        lines = [line.split(" ") for line in text.split("\n")]
-        return None if any("" in line for line in lines) else lines
+                got = self._piece_ids(p, True)
+            ids += got
+            sizes.append(len(got))
+        self.memo.update(zip(pieces, range(len(self.size), len(self.size) + len(pieces))))
+        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.pool = np.concatenate([self.pool, np.array(ids, "<u4")])
+
+    @functools.cached_property
+    def line_end(self) -> list[int]:
+        return self._ids("\n").tolist()
+
+    def _slots(self, pieces: list[str]) -> np.ndarray:
+        slots = np.fromiter(map(self.memo.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            self._learn([pieces[k] for k in new.tolist()])
+            slots[new] = np.arange(len(self.size) - len(new), len(self.size))
+        return slots
+
+    def _whole(self, text: str) -> np.ndarray:
+        """Ids of a text that has other white space than single or double spaces and line ends."""
+        if not self.byte_level or any(a in text for a in self.added):
+            return self._ids(text)
+        ids: list[int] = []
+        for p in _PIECE.findall(text):
+            if p.isspace():
+                ids += self._match_ids(p)
+            else:
+                key = p[1:] if p[0] == " " else "\n" + p
+                at = int(self._slots([key])[0])
+                got = self.pool[self.start[at] : self.start[at] + self.size[at]].tolist()
+                ids += got if p[0] == " " else got[len(self.line_end) :]
+        return np.array(ids, "<u4")
+
+    def encode_all(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by ``end``, and how many each text has with it; null texts count as empty."""
+        if len(self.memo) > self.room or len(self.pool) > 8 * self.room:
+            self._empty()
+        texts = pc.fill_null(texts, "")
+        if not self.byte_level or len(self.line_end) != 1:
+            odd = np.ones(len(texts), bool)
+        else:
+            marked = pc.match_substring_regex(texts, _UNEVEN)
+            for literal in self.added:
+                marked = pc.or_(marked, pc.match_substring(texts, literal))
+            odd = marked.to_numpy(zero_copy_only=False)
+        some = texts if not odd.any() else pc.if_else(pa.array(odd), "", texts)
+        # every text gets a line end in front, so its first piece is like that of any other line
+        lists = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\n", texts.type), pc.replace_substring(some, "\n", " \n"), pa.scalar("", texts.type)), " ")
+        first = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        first -= first[0]
+        slot = self._slots(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        sizes = self.size[slot]
+        ends = np.cumsum(sizes)
+        ids = self.pool[np.repeat(self.start[slot] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        edges = np.concatenate([[0], ends])[first]
+        # the line end in front of each text, but for the first, becomes the end of the text before it
+        ids[edges[:-1]] = end
+        ids = np.concatenate([ids[1:], np.array([end], "<u4")]) if len(texts) else ids
+        lengths = np.diff(edges)
+        if odd.any():
+            parts, done = [], 0
+            for k in np.flatnonzero(odd).tolist():
+                got = self._whole(texts[k].as_py())
+                parts += [ids[done : edges[k]], got]
+                done, lengths[k] = edges[k], len(got) + 1
+            ids = np.concatenate([*parts, ids[done:]])
+        return ids.astype("<u4", copy=False), lengths
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo[0]) + len(self.memo[1]) > self.room:
-            self.memo = ({}, {})
-        split = [self._plain(t) for t in texts]
-        firsts = {line[0] for lines in split if lines for line in lines}
-        rest: set[str] = set()
-        for lines in split:
-            for line in lines or ():
-                rest.update(line[1:])
-        self._learn((firsts.difference(self.memo[0]), rest.difference(self.memo[1])))
-        bare, spaced, out = self.memo[0].__getitem__, self.memo[1].__getitem__, []
-        for text, lines in zip(texts, split):
-            if lines is None:
-                out.append(self._ids(text))
-            else:
-                out.append(self.line_end.join([b"".join([bare(line[0]), *map(spaced, line[1:])]) for line in lines]))
-        return out
+        ids, lengths = self.encode_all(pa.array(texts, pa.string()), 0)
+        ends = np.cumsum(lengths)
+        return [ids[b - n : b - 1].tobytes() for n, b in zip(lengths.tolist(), ends.tolist())]
 
 
 @functools.lru_cache(maxsize=2)
@@ -165,7 +232,7 @@ def unpack(table: np.ndarray, control: np.ndarray, data: np.ndarray, n: int) ->
     return table[ranks] if n else np.zeros(0, "<u4")
 
 
-def shard_bytes(doc_ids: list, lengths: list[int], ids: np.ndarray) -> bytes:
+def shard_bytes(doc_ids: list, lengths: list[int] | np.ndarray, ids: np.ndarray) -> bytes:
     table, control, data = pack(ids)
     known = np.array([d is not None for d in doc_ids], np.uint8)
     return b"".join(
@@ -174,7 +241,7 @@ def shard_bytes(doc_ids: list, lengths: list[int], ids: np.ndarray) -> bytes:
             table.tobytes(),
             np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
             known.tobytes(),
-            np.array(lengths, "<u8").tobytes(),
+            np.asarray(lengths, "<u8").tobytes(),
             control.tobytes(),
             data.tobytes(),
         )
@@ -199,15 +266,21 @@ def read_shard(content: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [d if k else None for d, k in zip(docs.tolist(), known.tolist())], lengths.astype(np.int64), unpack(table, control, data, n)
 
 
+#: Shards of one write task at most.
+_PLACES = 1_000_000
+
+
 def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, end_id: int = 0, shard_ids: int = 4_000_000) -> DataFrame:
     """Encode all texts and write shard files to ``folder``; returns the written manifest.
 
     The manifest has a row per shard: ``shard`` (its place in the order), ``file``,
-    ``n_docs``, ``n_ids``.  Documents are range-partitioned and sorted by id (null
-    ids first, equal ids by text), so shards in manifest order hold ascending ids.
-    A null text counts as empty and has the end id only; an empty table writes no
-    shard.  A retried task writes the same bytes under the same name: a file is
-    written under a temporary name and moved into place when whole.
+    ``n_docs``, ``n_ids``.  Documents are range-partitioned and sorted by id (integers;
+    null ids first), equal ids by a hash of the text and equal rows by their place in
+    the input, so that one id of very many rows spreads over tasks; shards in manifest
+    order hold ascending ids.  A null text counts as empty and has the end id only; an
+    empty table writes no shard.  A retried task writes the same bytes under the same
+    name: a file is written under a temporary name, takes the place of an older one
+    and is moved there when whole.
     """
     manifest = T.StructType([T.StructField("shard", T.LongType()), T.StructField("file", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType())])
     out = arrow_schema(manifest)
@@ -218,8 +291,11 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
 
         store, root = fs.FileSystem.from_uri(folder)
         enc = piece_encoder(tokenizer_path or default_tokenizer())
-        end, part, seq = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0
-        docs_, lengths, held, n_held = [], [], [], 0
+        part, seq = TaskContext.get().partitionId(), 0
+        docs_: list = []
+        lengths: list[np.ndarray] = []
+        held: list[np.ndarray] = []
+        n_held = 0
 
         def flush():
             nonlocal docs_, lengths, held, n_held, seq
@@ -227,27 +303,56 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
             store.create_dir(root, recursive=True)
             temporary = f"{root}/_{name}.{uuid.uuid4().hex}"
             with store.open_output_stream(temporary) as sink:
-                sink.write(shard_bytes(docs_, lengths, np.frombuffer(b"".join(held), "<u4")))
+                sink.write(shard_bytes(docs_, np.concatenate(lengths), np.concatenate(held)))
+            if store.get_file_info(f"{root}/{name}").type != fs.FileType.NotFound:
+                store.delete_file(f"{root}/{name}")  # of a lost attempt; some stores do not move onto a file
             store.move(temporary, f"{root}/{name}")
-            row = pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part * 1_000_000 + seq, name, len(docs_), n_held), out)], schema=out)
+            row = pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part * _PLACES + seq, name, len(docs_), n_held), out)], schema=out)
             docs_, lengths, held, n_held, seq = [], [], [], 0, seq + 1
             return row
 
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                for key, ids in zip(keys[at : at + 256], enc.encode_many([t or "" for t in texts[at : at + 256]])):
-                    docs_.append(key)
-                    lengths.append(len(ids) // 4 + 1)
-                    held += (ids, end)
-                    n_held += lengths[-1]
-                    if n_held >= shard_ids:
-                        yield flush()
+        def chunks():
+            """Keys and texts of about 8 MB of text: the more texts, the fewer distinct pieces for each."""
+            keys, texts, size = [], [], 0
+            for batch in batches:
+                ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+                done = 0
+                while done < batch.num_rows:
+                    stop = int(np.searchsorted(ends, (ends[done - 1] if done else 0) + _CHUNK - size)) + 1
+                    part_ = batch.slice(done, stop - done)
+                    keys += part_.column(0).to_pylist()
+                    texts.append(part_.column(1))
+                    size += int(ends[min(stop, batch.num_rows) - 1] - (ends[done - 1] if done else 0))
+                    done = stop
+                    if size >= _CHUNK:
+                        yield keys, pa.concat_arrays(texts)
+                        keys, texts, size = [], [], 0
+            if keys:
+                yield keys, pa.concat_arrays(texts)
+
+        for keys, texts in chunks():
+            ids, sizes = enc.encode_all(texts, end_id)
+            ends, done = np.cumsum(sizes), 0
+            while done < len(keys):  # a shard ends with the document that fills it
+                before = int(ends[done - 1]) if done else 0
+                stop = min(int(np.searchsorted(ends, before + shard_ids - n_held)) + 1, len(keys))
+                docs_ += keys[done:stop]
+                lengths.append(sizes[done:stop])
+                held.append(ids[before : ends[stop - 1]])
+                n_held += int(ends[stop - 1]) - before
+                done = stop
+                if n_held >= shard_ids:
+                    yield flush()
         if docs_:
             yield flush()
 
-    some = docs.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{text_col}`").alias("t"))
-    return cut(some.repartitionByRange("k").sortWithinPartitions("k", "t").mapInArrow(run, manifest), "token-manifest")
+    some = docs.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{text_col}`").alias("t"), F.xxhash64(f"`{text_col}`").alias("h"), F.monotonically_increasing_id().alias("r"))
+    some = some.repartitionByRange("k", "h", "r").sortWithinPartitions("k", "h", "r")
+    return cut(some.select("k", "t").mapInArrow(run, manifest), "token-manifest")
+
+
+#: Bytes of text that are encoded at once.
+_CHUNK = 8_000_000
 
 
 def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
@@ -282,8 +387,12 @@ def _read(spark: SparkSession, folder: str, manifest: DataFrame, column: str, ma
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wgt").load(folder)
     rows = map_rows(files, ["path", "content"], f"file string, doc_id long, at long, n_tokens long, {column}", make)
-    order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = manifest.select("file", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("before"))
+    # prefix sums in two steps: over write tasks (a row each reaches the driver, which ran them), then within each
+    task = manifest.withColumn("task", F.expr(f"shard div {_PLACES}"))
+    sums = sorted(map(tuple, task.groupBy("task").agg(F.sum("n_ids")).collect()))
+    firsts = spark.createDataFrame([(t, sum_ - n) for (t, n), sum_ in zip(sums, itertools.accumulate(n for _, n in sums))], "task long, first long")
+    order = Window.partitionBy("task").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    starts = task.join(firsts, "task").select("file", (F.col("first") + F.coalesce(F.sum("n_ids").over(order), F.lit(0))).alias("before"))
     return rows.join(starts, "file").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", column.split()[0])
 
 
