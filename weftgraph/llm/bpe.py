@@ -2,7 +2,9 @@
 
 The tiktoken library does the merges.  Texts beyond ``limit`` characters are
 split first, only where the pattern must start a new match (a space between two
-characters that are not white space), so pieces encode as the whole would.
+characters that are not white space), so pieces encode as the whole would.  Long
+runs of white space, beyond which the library's regular expression fails, are
+matches by the pattern's own rule and are encoded without it.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import base64
 import functools
 import re
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +23,8 @@ from weftgraph.llm.common import map_rows, read_table
 #: White space of the pattern (Unicode White_Space), a fixed set.
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _SAFE = re.compile(f"[^{SPACES}] (?=[^{SPACES}])")
+#: Runs of white space that the library's regular expression does not see.
+_LONG_RUN = re.compile(f"[{SPACES}]{{10000,}}")
 
 
 def default_ranks() -> str:
@@ -55,10 +60,30 @@ def safe_pieces(text: str, limit: int) -> list[str]:
     return pieces
 
 
+def matches_and_rest(text: str) -> Iterator[tuple[bool, str]]:
+    """Parts of ``text``, each with whether it is one match of the pattern (a long run of white space) or a text to split.
+
+    A run at the end is a match as it is; before a word its last character is none of it
+    (that one belongs to the word or is a match of its own).
+    """
+    done = 0
+    for m in _LONG_RUN.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        yield False, text[done : m.start()]
+        yield True, text[m.start() : end]
+        done = end
+    yield False, text[done:]
+
+
 def encode_text(text: str, rank_path: str, limit: int = 1 << 16) -> np.ndarray:
     """Token ids of one text as unsigned 32-bit integers."""
     enc = encoding(rank_path)
-    parts = [enc.encode_to_numpy(p, disallowed_special=()) for p in safe_pieces(text, limit) if p]
+    parts = []
+    for whole, part in matches_and_rest(text):
+        if whole:
+            parts.append(np.array(enc._encode_single_piece(part), "<u4"))
+        else:
+            parts += [enc.encode_to_numpy(p, disallowed_special=()) for p in safe_pieces(part, limit) if p]
     return np.concatenate(parts).astype("<u4", copy=False) if parts else np.empty(0, "<u4")
 
 
