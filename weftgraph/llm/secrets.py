@@ -4,6 +4,10 @@ Each text is scanned, then its URL, Unicode-escape, base64 and compressed parts
 are unwrapped into new layers, which are scanned and unwrapped in turn until no
 new layer appears.  A layer that repeats one of its ancestors is not followed
 (cycle detection).  Every layer maps its spans back to the original text.
+
+Compressed data unpack as a stream, whose windows overlap and end outside of
+encoded runs: nothing is cut off, and memory follows the window and the longest
+encoded run, not the size of what is unpacked.
 """
 
 from __future__ import annotations
@@ -17,8 +21,9 @@ import itertools
 import lzma
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.llm.common import map_rows, read_table
@@ -89,7 +94,10 @@ def _inline(text: str, pattern: re.Pattern, units: Callable[[str], list[tuple[st
                 return source + i - at[k] + last
             i -= at[k]
             if last:  # the end of the unit that made this character
-                return source + next(o for o in offsets[i + 1 :] if o > offsets[i])
+                following = i + 1
+                while offsets[following] == offsets[i]:
+                    following += 1
+                return source + offsets[following]
             return source + offsets[i]
 
         return edge(start, False), edge(end - 1, True)
@@ -124,46 +132,136 @@ def _escape_units(run: str) -> list[tuple[str, int]]:
     return out
 
 
-def _inflate(data: bytes, most: int) -> tuple[bytes, int] | None:
-    """Decompress the gzip, zlib, bzip2, xz or zstd members at the start of ``data`` up to ``most`` bytes.
+#: Bytes that go into and come out of a decompressor at once, and those of a window.
+_IN, _OUT, WINDOW, OVERLAP = 1 << 16, 1 << 20, 1 << 24, 1 << 16
 
-    Returns the result and how many bytes of ``data`` it took; None if there is no such member.
-    """
-    out, left = [], data
-    while left and most > 0:
-        if left[:2] == b"\x1f\x8b":
-            one = zlib.decompressobj(31)
-        elif left[:1] == b"\x78" and len(left) > 2 and int.from_bytes(left[:2]) % 31 == 0:
-            one = zlib.decompressobj()
-        elif left[:3] == b"BZh":
-            one = bz2.BZ2Decompressor()
-        elif left[:6] == b"\xfd7zXZ\x00":
-            one = lzma.LZMADecompressor()
-        elif left[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            try:
-                with zstandard.ZstdDecompressor().stream_reader(left, read_across_frames=True) as reader:
-                    out.append(reader.read(most))
-                left = b""
-            except zstandard.ZstdError:
-                pass
-            break
-        else:
+
+class _Feed:
+    """Pieces of bytes, read in any portions."""
+
+    def __init__(self, pieces: Iterable[bytes]):
+        self.pieces, self.held, self.taken = iter(pieces), b"", 0
+
+    def peek(self, n: int) -> bytes:
+        while len(self.held) < n and (more := next(self.pieces, None)) is not None:
+            self.held += more
+        return self.held[:n]
+
+    def read(self, n: int = _IN) -> bytes:
+        self.peek(1)
+        got, self.held = self.held[:n], self.held[n:]
+        self.taken += len(got)
+        return got
+
+    def back(self, data: bytes) -> None:
+        self.held = data + self.held
+        self.taken -= len(data)
+
+
+def _decompressor(head: bytes):
+    """A decompressor for gzip, zlib, bzip2, xz or zstd data that start like ``head``; None for others."""
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:1] == b"\x78" and len(head) > 2 and int.from_bytes(head[:2]) % 31 == 0:
+        return zlib.decompressobj()
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        import zstandard
+
+        return zstandard.ZstdDecompressor()
+    return None
+
+
+def _member(one, feed: _Feed) -> Iterator[bytes]:
+    """What one member of ``feed`` unpacks to, as far as it is whole."""
+    if hasattr(one, "stream_reader"):
+        import zstandard
+
+        try:
+            with one.stream_reader(feed, read_size=_IN, read_across_frames=True) as reader:
+                while got := reader.read(_OUT):
+                    yield got
+        except zstandard.ZstdError:
+            pass
+        return
+    while not one.eof:
+        data = b""
+        if getattr(one, "needs_input", True) and not (data := getattr(one, "unconsumed_tail", b"") or feed.read()):
             break
         try:
-            got = one.decompress(left, most)
+            got = one.decompress(data, _OUT)
         except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-            break
-        out.append(got)
-        most -= len(got)
-        left = one.unused_data if one.eof else b""
-    return (b"".join(out), len(data) - len(left)) if out else None
+            return
+        if got:
+            yield got
+    if one.eof:
+        feed.back(one.unused_data)
+    elif hasattr(one, "flush"):
+        yield one.flush()
+
+
+def _members(feed: _Feed, raw: bool = False) -> Iterator[bytes]:
+    """What all members at the start of ``feed`` unpack to; ``raw`` for deflate data without a header."""
+    if raw:
+        yield from _member(zlib.decompressobj(-15), feed)
+    while (one := _decompressor(feed.peek(6))) is not None:
+        yield from _member(one, feed)
+
+
+def _unpacked(data: bytes, raw: bool = False) -> tuple[_Feed, _Feed]:
+    """The data as they are fed, and what they unpack to through all compressed layers that lie directly in each other."""
+    source = inner = _Feed(data[k : k + _IN] for k in range(0, len(data), _IN))
+    heads = set()
+    while raw or (_decompressor(inner.peek(6)) is not None and inner.peek(4096) not in heads):  # a head that returns is a cycle
+        heads.add(inner.peek(4096))
+        inner, raw = _Feed(_members(inner, raw)), False
+    return source, inner
+
+
+#: A byte that is part of no encoded run, nor of the gap between its lines.
+_APART = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f!\"$'()*,.:<>?@\[\]^`|~\x7f]|(?<=[^\s]) |\n(?=\n)|\x20{512}")
+
+
+def _last_apart(data: bytes) -> int:
+    """Where the last such byte of ``data`` ends, 0 if there is none."""
+    back = 1 << 12
+    while True:
+        start = max(0, len(data) - back)
+        ends = [m.end() for m in _APART.finditer(data, start)]
+        if ends or not start:
+            return ends[-1] if ends else 0
+        back *= 16
+
+
+def _windows(feed: _Feed, size: int = WINDOW) -> Iterator[bytes]:
+    """All of ``feed`` in windows of about ``size`` bytes; an encoded run lies in one window, the ``OVERLAP`` bytes before a window's start are also in the one before it."""
+    held, need = b"", size
+    while True:
+        parts, n = [held], len(held)
+        while n < need and (more := feed.read(_OUT)):
+            parts.append(more)
+            n += len(more)
+        held = b"".join(parts)
+        if n < need:
+            if held:
+                yield held
+            return
+        end = _last_apart(held)
+        start = _last_apart(held[: max(0, end - OVERLAP)])
+        if start:
+            yield held[:end]
+            held, need = held[start:], size
+        else:
+            need = 2 * n  # all one run so far
 
 
 #: Fewer printable characters in a row hold neither a secret nor an encoded one.
 _HOLDS = re.compile(rb"[\t\n\r\x20-\x7e]{12}")
-_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){12}|(?:\x00[\t\n\r\x20-\x7e]){12}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 _BREAK = re.compile(r"\r?\n[ \t]*")
 #: How compressed data starts in base64: gzip, bzip2, xz, zstd, zlib.
 _MAGIC = re.compile(r"H4sI|Qlpo|/Td6WFo|KLUv/|e(?:A[E-H]|F[4-7]|J[w-z]|N[o-r])")
@@ -174,69 +272,114 @@ def _bytes_of(run: str) -> bytes:
     return binascii.a2b_base64(run + "=" * (-len(run) % 4))
 
 
-def _base64_layers(text: str, most: int) -> Iterator[tuple[str, Place]]:
+def _readings(data: bytes) -> Iterator[tuple[str, Callable[[int], int]]]:
+    """Texts that ``data`` may be, each with the map of its places to bytes: UTF-8 with odd bytes, UTF-16 of either order."""
+    if _HOLDS.search(data):
+        text = data.decode(errors="surrogateescape")
+        yield text, _byte_places(text, len(data), 0, False)
+    for order in sorted({("be" if m.group()[0] == 0 else "le", m.start() % 2) for m in _WIDE.finditer(data)}):
+        name, odd = order
+        text = data[odd : len(data) - (len(data) - odd) % 2].decode(f"utf-16-{name}", errors="replace")
+        yield text, _byte_places(text, len(data), odd, True)
+
+
+def _byte_places(text: str, size: int, first: int, wide: bool) -> Callable[[int], int]:
+    """Byte place of each character place of a text that takes ``size`` bytes and starts at byte ``first``."""
+    if not wide and len(text) == size:
+        return lambda x: x
+    places: list[np.ndarray] = []
+
+    def at(x: int) -> int:
+        if not places:
+            code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+            if wide:
+                sizes = 2 + 2 * (code > 0xFFFF)
+            else:
+                sizes = np.where((code >= 0xDC80) & (code <= 0xDCFF), 1, 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
+            places.append(np.concatenate([[first], first + np.cumsum(sizes)]))
+        return int(places[0][x])
+
+    return at
+
+
+def _base64_layers(text: str) -> Iterator[tuple[str, Place]]:
     """Layers of each run, and of runs that go on over line ends, at all four alignments; compressed data wherever it starts."""
     for m in itertools.chain(_BASE64.finditer(text), _WRAPPED.finditer(text)):
-        at = list(range(*m.span()))  # source place of each character of the run
-        for gap in reversed(list(_BREAK.finditer(m.group()))):
-            del at[gap.start() : gap.end()]
+        gaps = list(_BREAK.finditer(m.group()))
+        at: range | np.ndarray = range(*m.span())  # source place of each character of the run
+        if gaps:
+            keep = np.ones(len(m.group()), bool)
+            for gap in gaps:
+                keep[gap.start() : gap.end()] = False
+            at = m.start() + np.flatnonzero(keep)
         run = _BREAK.sub("", m.group()).rstrip("=").translate({45: 43, 95: 47})
-        for k in range(4):
+
+        def unpacked(k: int, raw: bool, at=at, run=run, m=m) -> Iterator[tuple[str, Place]]:
             data = _bytes_of(run[k:])
-            if not _HOLDS.search(data):
-                continue
-            layer = data.decode(errors="surrogateescape")
+            source, inner = _unpacked(data, raw)
+            if raw and not _HOLDS.search(inner.peek(256)):
+                return
+            first = list(itertools.islice(_windows(inner), 2))
+            if len(first) > 1:  # the first pass only finds where the data end
+                for _ in _windows(inner):
+                    pass
+            last = k - (-source.taken * 4 // 3)
+            span = int(at[k]), m.end() if last >= len(run) - 1 or not source.taken else int(at[last - 1]) + 1
+            for window in first if len(first) < 2 else _windows(_unpacked(data, raw)[1]):
+                for layer, _ in _readings(window):
+                    yield layer, lambda a, b, span=span: span
+
+        for k in range(4):
+            for layer, byte in _readings(_bytes_of(run[k:])):
 
-            def place(a: int, b: int, layer: str = layer, at: list = at, k: int = k, e: int = m.end()) -> tuple[int, int]:
-                first, last = (len(layer[:x].encode(errors="surrogateescape")) for x in (a, b))
-                return at[k + first * 4 // 3], e if b == len(layer) else at[k - (-last * 4 // 3) - 1] + 1
+                def place(a: int, b: int, layer: str = layer, byte=byte, at=at, k: int = k, e: int = m.end()) -> tuple[int, int]:
+                    return int(at[k + byte(a) * 4 // 3]), e if b == len(layer) else int(at[k - (-byte(b) * 4 // 3) - 1]) + 1
 
-            yield layer, place
+                yield layer, place
+            if len(run) >= 24:
+                yield from unpacked(k, True)
         for start in _MAGIC.finditer(run):
-            data = _bytes_of(run[start.start() :])
-            got = _inflate(data, most)
-            if got is None:
-                continue
-            data, used = got
-            last = start.start() - (-used * 4 // 3)
-            span = at[start.start()], m.end() if last >= len(run) - 1 else at[last - 1] + 1
-            while (more := _inflate(data, most)) is not None and more[0] != data:  # compressed layers may nest
-                data = more[0]
-            if _HOLDS.search(data):
-                yield data.decode(errors="surrogateescape"), lambda a, b, span=span: span
+            yield from unpacked(start.start(), False)
 
 
-def layers(text: str, most: int) -> Iterator[tuple[str, Place]]:
+def layers(text: str) -> Iterator[tuple[str, Place]]:
     """The layers directly below ``text``, each with the map of its spans to spans of ``text``."""
     if "%" in text and (got := _inline(text, _URL, _url_units)):
         yield got
     if ("\\" in text or "&" in text) and (got := _inline(text, _ESCAPE, _escape_units)):
         yield got
-    yield from _base64_layers(text, most)
+    yield from _base64_layers(text)
 
 
-def find(text: str, max_layer_bytes: int = 1 << 26) -> tuple[list[Span], list[Span]]:
+def find(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans of ``text`` and all spans, those of decoded layers included, both in contract order.
 
-    ``max_layer_bytes`` bounds what one compressed layer may unpack to (a guard
-    against decompression bombs); the text itself is never cut.
+    The worklist goes depth first, so one window of each nested layer is held at a time.
     """
+
+    def mark(layer: str) -> bytes:
+        return hashlib.blake2b(layer.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
     base = scan(text)
     spans = set(base)
-    work: list[tuple[str, Place, frozenset]] = [(text, lambda a, b: (a, b), frozenset([text]))]
-    seen: set[tuple[str, int, int]] = set()
+    work: list[tuple[Iterator[tuple[str, Place]], Place, bytes]] = [(layers(text), lambda a, b: (a, b), b"")]
+    seen: set[tuple[bytes, int, int]] = set()
     while work:
-        outer, where, ancestors = work.pop()
-        for inner, place in layers(outer, max_layer_bytes):
-            if not inner or inner in ancestors:
-                continue
-            origin = where(*place(0, len(inner)))
-            if (key := (inner, *origin)) in seen:
-                continue
-            seen.add(key)
-            to_text = lambda a, b, place=place, where=where: where(*place(a, b))
-            spans.update((kind, *to_text(a, b)) for kind, a, b in scan(inner))
-            work.append((inner, to_text, ancestors | {inner}))
+        below, where, own = work[-1]
+        if (got := next(below, None)) is None:
+            work.pop()
+            continue
+        inner, place = got
+        if not inner or len(inner) == len(text) and inner == text:
+            continue
+        origin = where(*place(0, len(inner)))
+        digest = mark(inner)
+        if any(digest == above for *_, above in work) or (digest, *origin) in seen:
+            continue
+        seen.add((digest, *origin))
+        to_text = lambda a, b, place=place, where=where: where(*place(a, b))
+        spans.update((kind, *to_text(a, b)) for kind, a, b in scan(inner))
+        work.append((layers(inner), to_text, digest))
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     return sorted(base, key=order), sorted(spans, key=order)
 
@@ -245,7 +388,7 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_layer_bytes: int = 1 << 26) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id_col, n_assign, n_access, n_hex, base_sha256, spans``.
 
     Counts and digest are of the text's own (base) spans; ``spans`` has also those
@@ -258,7 +401,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             counts: list[list] = [[], [], []]
             digest, spans = [], []
             for text in cols[1]:
-                base, every = find(text or "", max_layer_bytes)
+                base, every = find(text or "")
                 for n, kind in zip(counts, KINDS):
                     n.append(sum(s[0] == kind for s in base))
                 digest.append(hashlib.sha256(joined(base).encode()).hexdigest())
@@ -271,9 +414,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_rows(docs, [id_col, text_col], f"`{id_col}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string", make)
 
 
-def redact(text: str, mark: str = "[SECRET]", max_layer_bytes: int = 1 << 26) -> str:
+def redact(text: str, mark: str = "[SECRET]") -> str:
     """``text`` with every found span, decoded layers' included, replaced by ``mark``; touching spans become one mark."""
-    spans = sorted((a, b) for _, a, b in find(text, max_layer_bytes)[1])
+    spans = sorted((a, b) for _, a, b in find(text)[1])
     parts, done, last = [], 0, -1
     for a, b in spans:
         if a > last:
