@@ -19,6 +19,7 @@ item word in any case.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import arrow_schema, read_table
+from weftgraph.llm.common import arrow_schema, cut, read_table
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -233,14 +234,21 @@ class Index:
         return sorted((t, i, *m) for (t, i), m in best.items())
 
 
-def _indexes(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int, **how) -> list:
-    """Broadcast indexes, one per block of at most about ``block_bytes`` of item text."""
+def _indexes(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int, **how) -> Iterator[tuple]:
+    """Broadcast index of each block of at most about ``block_bytes`` of item text, and whether it is the only one.
+
+    One block at a time is read and broadcast; it is freed when the next one is asked for.
+    """
     items = benchmark.select(F.col(f"`{item_col}`").alias("i"), F.col(f"`{text_col}`").alias("t"))
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = -(-size // block_bytes)
-    part = F.pmod(F.xxhash64("t"), F.lit(max(1, blocks)))
+    part = F.pmod(F.xxhash64("t", "i"), F.lit(max(1, blocks)))
     spark = benchmark.sparkSession
-    return [spark.sparkContext.broadcast(Index([tuple(r) for r in items.where(part == b).orderBy("i", "t").collect()], **how)) for b in range(blocks)]
+    for b in range(blocks):
+        index = spark.sparkContext.broadcast(Index([tuple(r) for r in items.where(part == b).orderBy("i", "t").collect()], **how))
+        yield index, blocks == 1
+        if blocks > 1:
+            index.destroy()
 
 
 def _chunks(batch: pa.RecordBatch, column: int, most: int = 8_000_000):
@@ -265,14 +273,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     edits per item word.  Ties go to the leftmost end.  Null and wordless texts
     and items match nothing; null ids stay null; repeated rows give repeated
     matches; other columns are not read; an empty table on either side gives no
-    rows.  A benchmark beyond ``block_bytes`` is run in blocks against all rows.
+    rows.  A benchmark beyond ``block_bytes`` is run in blocks against all
+    rows, one broadcast at a time, each block's matches written.
     """
     kinds = [docs.schema[id_col].dataType, benchmark.schema[item_col].dataType]
     schema = T.StructType([T.StructField(id_col, kinds[0]), T.StructField(item_col, kinds[1]), T.StructField("edit_distance", T.LongType()), T.StructField("end_word", T.LongType())])
     out = arrow_schema(schema)
     some = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     result = docs.sparkSession.createDataFrame([], schema)
-    for index in _indexes(benchmark, item_col, item_text_col, block_bytes, **(METHOD | how)):
+    for index, only in _indexes(benchmark, item_col, item_text_col, block_bytes, **(METHOD | how)):
 
         def run(batches, index=index):
             for batch in batches:
@@ -283,7 +292,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                     columns = list(zip(*rows)) or [()] * 4
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
 
-        result = result.unionByName(some.mapInArrow(run, schema))
+        found = some.mapInArrow(run, schema)
+        result = result.unionByName(found if only else cut(found, "leaks"))
     return result
 
 
@@ -293,7 +303,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     Null and wordless texts hold none and stay.
     """
     at = docs.columns.index(text_col)
-    for index in _indexes(benchmark, item_col, item_text_col, block_bytes, **(METHOD | how)):
+    for index, only in _indexes(benchmark, item_col, item_text_col, block_bytes, **(METHOD | how)):
 
         def run(batches, index=index):
             for batch in batches:
@@ -302,6 +312,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                     yield part.filter(pa.array([k not in held for k in range(part.num_rows)]))
 
         docs = docs.mapInArrow(run, docs.schema)
+        docs = docs if only else cut(docs, "clean")
     return docs
 
 

@@ -78,17 +78,22 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     The target model is fitted on the documents of at most ``max_target`` labelled
     good ids, the ones with the least id hash (the only bound; its id list is what
-    is broadcast).  k is ``share`` of all rows, by default the labels' share of good
+    is broadcast; ids that tie at the last hash are all taken).  k is ``share`` of all rows, by default the labels' share of good
     ones (all rows without labels).  Rows that tie at the k-th key are all kept.
     A null text counts as empty with log ratio 0; null ids and repeated rows are
-    kept as rows; a null label is not good; other columns are not read.
+    kept as rows, and equal rows share one draw; a null label is not good; other columns are not read.
     """
     good = F.coalesce(F.col(f"`{quality_col}`") == 1, F.lit(False))
     if share is None:
         share = labels.agg(F.avg(good.cast("double"))).first()[0]
         share = 1.0 if share is None else share
-    ids = labels.where(good & F.col(f"`{label_id}`").isNotNull()).select(F.col(f"`{label_id}`").alias(id_col)).distinct().orderBy(F.xxhash64(id_col), id_col).limit(max_target)
-    some = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    place = F.shiftrightunsigned(F.xxhash64(F.col(f"`{id_col}`")), 11).cast("double")  # 53 bits: exact
+    ids = cut(labels.where(good & F.col(f"`{label_id}`").isNotNull()).select(F.col(f"`{label_id}`").alias(id_col)).distinct().withColumn("__weft_place", -place), "importance-ids")
+    last = kth_largest(ids, "__weft_place", max_target)
+    ids = (ids if last is None else ids.where(F.col("__weft_place") >= F.lit(last))).drop("__weft_place")
+    # rows of one id, or of none, draw by their text too
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), 11).cast("double") + 0.5) / float(1 << 53)
+    some = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), uniform.alias("__weft_uniform"))
     target = _counts(some.join(F.broadcast(ids), id_col, "left_semi"), text_col, n_buckets)
     raw = _counts(some, text_col, n_buckets)
     weights = np.log((target + 1) / (target.sum() + n_buckets)) - np.log((raw + 1) / (raw.sum() + n_buckets))
@@ -98,14 +103,13 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             at, sizes = buckets_of([t or "" for t in cols[1]], n_buckets)
             sums = np.concatenate([[0.0], np.cumsum(weights[at])])
             ends = np.cumsum(sizes)
-            return [cols[0], pa.array(sums[ends] - sums[ends - sizes])]
+            return [cols[0], pa.array(sums[ends] - sums[ends - sizes]), cols[2]]
 
         return work
 
     kind = docs.schema[id_col].dataType.simpleString()
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(f"`{id_col}`")), 11).cast("double") + 0.5) / float(1 << 53)
-    scored = map_rows(some, [id_col, text_col], f"`{id_col}` {kind}, log_ratio double", make)
-    scored = cut(scored.withColumn("gumbel_key", F.col("log_ratio") - F.log(-F.log(uniform))), "importance")
+    scored = map_rows(some, [id_col, text_col, "__weft_uniform"], f"`{id_col}` {kind}, log_ratio double, u double", make)
+    scored = cut(scored.select(F.col(f"`{id_col}`"), "log_ratio", (F.col("log_ratio") - F.log(-F.log("u"))).alias("gumbel_key")), "importance")
     k = round(share * scored.count())
     least = kth_largest(scored, "gumbel_key", k) if k else None
     return scored.withColumn("kept", F.col("gumbel_key") >= F.lit(least) if least is not None else F.lit(False))

@@ -255,11 +255,28 @@ def links(distinct: DataFrame, radius: int = 4, blocks: int | None = None, chunk
     return rows.repartition("t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b", "side").mapInArrow(run, schema)
 
 
+#: Most keys that :func:`spread_join` broadcasts.
+HOT_KEYS = 50_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, total: int, n: str = "n") -> DataFrame:
+    """``left`` joined with ``right``, which has a row for each key with the number of its rows in ``left`` (column ``n``, left out).
+
+    Keys of over ``total / HOT_KEYS`` rows (256 at least) would gather in a task: there are
+    ``HOT_KEYS`` of them at most, so they are broadcast and their rows stay where they are.
+    """
+    most = max(256, -(-total // HOT_KEYS))
+    hot = F.broadcast(right.where(F.col(n) > most).drop(n))
+    rest = left.join(hot.select(key), key, "left_anti").join(right.where(F.col(n) <= most).drop(n), key)
+    return left.join(hot, key).unionByName(rest)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``edges (u, v)`` that is not the least of its component.
 
     Alternating star contraction: each round joins neighbours to the least one
-    they know; every round is written, so a lost executor costs one round.
+    they know; every round is written, so a lost executor costs one round.  A hub's
+    edges stay spread over tasks.
     """
 
     def signature(df: DataFrame) -> tuple:
@@ -269,10 +286,11 @@ def components(edges: DataFrame) -> DataFrame:
     mark = signature(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "star")
+        large = cut(spread_join(both, least, "u", 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "star")
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "star")
+        small = spread_join(large, least, "u", 2 * mark[0])
+        least = least.drop("n")
         now = cut(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "star")
         if (new := signature(now)) == mark:
             break
@@ -290,16 +308,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     has no other); repeated rows are kept; an empty table gives no rows.
     """
     own = cut(fingerprints(docs, id_col, text_col, words).select(F.col(f"`{id_col}`").alias("id"), "fp"), "simhash")
-    return own.join(_classes(own, radius, blocks), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    distinct = cut(own.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
+    known = cut(_rooted(distinct, radius, blocks), "simhash-rooted")
+    roots = cut(known.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m")), "simhash-roots")
+    classes = cut(spread_join(known, roots, "root", known.count(), "m").select("fp", "component_id", "n"), "simhash-classes")
+    return spread_join(own, classes, "fp", own.count()).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def _classes(own: DataFrame, radius: int, blocks: int | None) -> DataFrame:
-    """``fp, root, component_id`` per distinct fingerprint of ``own (id, fp)``: its class and the class's least id."""
-    distinct = cut(own.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
+def _rooted(distinct: DataFrame, radius: int, blocks: int | None) -> DataFrame:
+    """The rows of ``distinct``, one per fingerprint, with the ``root`` of its class."""
     stars = components(links(distinct, radius, blocks))
-    known = distinct.join(stars, distinct.fp == stars.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    roots = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    return cut(known.join(roots, "root").select("fp", "root", "component_id"), "simhash-classes")
+    return distinct.join(stars, distinct.fp == stars.node, "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root"))
 
 
 def _free(docs: DataFrame, name: str) -> str:
@@ -319,9 +338,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     mark = _free(docs, "__weft_row")
     numbered = cut(docs.withColumn(mark, F.monotonically_increasing_id()), "simhash-rows")
     rows = numbered.select(F.col(mark).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    own = cut(fingerprints(rows, "id", "text", words, also=("row",)), "simhash")
-    classes = _classes(own, radius, blocks)
-    chosen = own.join(classes, "fp").groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias(mark))
+    own = fingerprints(rows, "id", "text", words, also=("row",))
+    # the choice within equal fingerprints is made before anything is joined
+    first = F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best")
+    distinct = cut(own.groupBy("fp").agg(first), "simhash-distinct")
+    chosen = _rooted(distinct, radius, blocks).groupBy("root").agg(F.min("best")["row"].alias(mark))
     # the numbers grow with the corpus, so the join is a sort-merge at every size and never a broadcast
     return numbered.join(cut(chosen.select(mark), "simhash-kept").hint("merge"), mark, "left_semi").select([F.col(f"`{c}`") for c in docs.columns])
 
