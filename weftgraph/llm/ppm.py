@@ -11,10 +11,16 @@ corpus.  It is never in one place: a code's cost needs only the n-grams whose
 context ends in the same bytes, so the distinct codes of each block are dealt out
 by the last ``LOW + 1`` bytes of their context, counted and costed there, and sent
 back.  Only orders up to ``LOW``, at most 256 ** (LOW + 1) n-grams, are broadcast.
+
+Very common words and context ends would gather in one task.  A few blocks tell
+which they are (:class:`Hot`); their exact counts over all blocks are summed in
+each task first and broadcast, and the codes of such an end are dealt out by one
+byte more.  The sample decides only the route: any choice gives the same scores.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
 
@@ -229,8 +235,48 @@ def tokens_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-def word_counts(blocks: DataFrame) -> DataFrame:
-    """``block, idx, n, c, first`` per distinct word of a block.
+#: Blocks that are looked at for common words and context ends, and the most of each that are broadcast.
+SAMPLE_BLOCKS, HOT_WORDS, HOT_ENDS = 8, 20_000, 2_000
+
+
+class Hot:
+    """Common words (in at least half of a few blocks) and context ends (over a quarter of 1 / ``HOT_ENDS`` of their places)."""
+
+    def __init__(self, blocks: DataFrame):
+        n = blocks.count()
+        share = F.pmod(F.xxhash64("block"), F.lit(1_000_000)) < (1_000_000 * SAMPLE_BLOCKS) // max(n, 1)
+        some = blocks.where(share)
+        schema = T._parse_datatype_string("word binary, ending long, n long")
+        out = arrow_schema(schema)
+
+        def run(batches):
+            for batch in batches:
+                for _, _, texts in _rows(batch):
+                    count = Counter(w for t in texts for w in tokens_of(t) if len(w) <= 64)
+                    ends = np.zeros(1 << 8 * (LOW + 1), np.int64)
+                    for part in _runs([t.encode() for t in texts]):
+                        np.add.at(ends, (codes_of(part, LOW + 1)[0] >> np.uint64(8)).astype(np.int64), 1)
+                    found = np.flatnonzero(ends * (4 * HOT_ENDS) > ends.sum())
+                    none = lambda k, kind: pa.nulls(k, kind)
+                    yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), none(len(count), pa.int64()), pa.array(list(count.values()), pa.int64())], schema=out)
+                    yield pa.RecordBatch.from_arrays([none(len(found), pa.binary()), pa.array(found), pa.array(ends[found])], schema=out)
+
+        rows = some.mapInArrow(run, schema)
+        words = rows.where("word is not null").groupBy("word").agg(F.count("*").alias("b"), F.sum("n").alias("n"))
+        words = words.where(F.col("b") * 2 >= max(2, min(n, SAMPLE_BLOCKS))).orderBy(F.desc("n"), "word").limit(HOT_WORDS)
+        self.words = frozenset(bytes(r[0]) for r in words.select("word").collect())
+        ends = rows.where("ending is not null").groupBy("ending").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "ending").limit(HOT_ENDS)
+        self.ends = np.array(sorted(r[0] for r in ends.collect()), np.uint64)
+
+    def has(self, ends: np.ndarray) -> np.ndarray:
+        if not len(self.ends):
+            return np.zeros(len(ends), bool)
+        at = np.minimum(np.searchsorted(self.ends, ends), len(self.ends) - 1)
+        return self.ends[at] == ends
+
+
+def word_counts(blocks: DataFrame, hot: frozenset = frozenset()) -> tuple[DataFrame, dict[bytes, int]]:
+    """``block, idx, n, c, first`` per distinct word of a block, and the training counts of the words in ``hot``, which have no rows.
 
     ``idx`` is the word's order of first use in the block, ``n`` its count in the
     block's training documents, ``c`` in all; ``first`` marks one row of each word.
@@ -239,6 +285,7 @@ def word_counts(blocks: DataFrame) -> DataFrame:
     out = arrow_schema(schema)
 
     def run(batches):
+        common: Counter = Counter()
         for batch in batches:
             for block, ids, texts in _rows(batch):
                 count: Counter = Counter()
@@ -248,14 +295,25 @@ def word_counts(blocks: DataFrame) -> DataFrame:
                     order.update(dict.fromkeys(words))
                     if not _held_out(i):
                         count.update(words)
-                words = list(order)
-                arrays = [pa.array(words, pa.binary()), pa.array(np.full(len(words), block)), pa.array(np.arange(len(words), dtype=np.int32)), pa.array([count[w] for w in words], pa.int64())]
+                words, idx = [], []
+                for k, w in enumerate(order):
+                    if w in hot:
+                        common[w] += count[w]
+                    else:
+                        words.append(w)
+                        idx.append(k)
+                arrays = [pa.array(words, pa.binary()), pa.array(np.full(len(words), block)), pa.array(idx, pa.int32()), pa.array([count[w] for w in words], pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, schema=out)
+        yield pa.RecordBatch.from_arrays([pa.array(list(common), pa.binary()), pa.nulls(len(common), pa.int64()), pa.nulls(len(common), pa.int32()), pa.array(list(common.values()), pa.int64())], schema=out)
 
-    per_word = Window.partitionBy("word")
     rows = blocks.mapInArrow(run, schema)
-    rows = rows.select("block", "idx", "n", F.sum("n").over(per_word).alias("c"), (F.row_number().over(per_word.orderBy("block")) == 1).alias("first"))
-    return cut(rows, "ppm-words")
+    # a common word's rows, one for each task, are given to a task each: their window is theirs alone
+    salt = F.when(F.col("block").isNull(), F.spark_partition_id()).otherwise(F.lit(-1))
+    per_word = Window.partitionBy("word", "salt")
+    rows = rows.withColumn("salt", salt).select("word", "block", "idx", "n", F.sum("n").over(per_word).alias("c"), (F.row_number().over(per_word.orderBy("block")) == 1).alias("first"))
+    rows = cut(rows.withColumn("word", F.when(F.col("block").isNull(), F.col("word"))), "ppm-words")
+    totals = rows.where("block is null").groupBy("word").agg(F.sum("n")).collect() if hot else []
+    return rows.where("block is not null").drop("word"), {bytes(w): n for w, n in totals}
 
 
 def _summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,22 +335,36 @@ def grams_of(code: np.ndarray, n: np.ndarray, order: int, least_order: int = 0)
     return grams[::-1], totals[::-1]
 
 
-def low_grams(blocks: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of all n-grams of ``order`` (at most ``LOW``) in the training documents, counted in each task first."""
+def low_grams(blocks: DataFrame, order: int, hot: Hot | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of the training documents' n-grams of ``order`` (at most ``LOW``), then those of order ``LOW + 1`` after the ends in ``hot``.
+
+    They are summed in each task first; at most 256 ** (order + 1) + 256 * ``HOT_ENDS`` rows reach the driver.
+    """
     schema = T._parse_datatype_string("code long, n long")
     out = arrow_schema(schema)
+    more = hot is not None and len(hot.ends) > 0
 
     def run(batches):
         count = np.zeros(1 << 8 * (order + 1), np.int64)
+        after = np.zeros(256 * len(hot.ends) if more else 0, np.int64)
         for batch in batches:
             for _, ids, texts in _rows(batch):
                 for some in _runs([t.encode() for i, t in zip(ids, texts) if not _held_out(i)]):
-                    np.add.at(count, codes_of(some, order)[0].astype(np.int64), 1)
-        code = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(count[code], pa.int64())], schema=out)
+                    codes = codes_of(some, LOW + 1 if more else order)[0]
+                    np.add.at(count, (codes & np.uint64((1 << 8 * (order + 1)) - 1)).astype(np.int64), 1)
+                    if more:
+                        end = codes >> np.uint64(8)
+                        mine = hot.has(end)
+                        at = np.searchsorted(hot.ends, end[mine]) * 256 + (codes[mine] & np.uint64(255)).astype(np.int64)
+                        after += np.bincount(at, minlength=len(after))
+        code, tail = np.flatnonzero(count), np.flatnonzero(after)
+        tail_code = (hot.ends[tail // 256].astype(np.int64) << 8 | tail % 256 | 1 << 40) if more else tail  # marked by a bit above any code
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([code, tail_code]), pa.int64()), pa.array(np.concatenate([count[code], after[tail]]), pa.int64())], schema=out)
 
     got = blocks.mapInArrow(run, schema).groupBy("code").agg(F.sum("n").alias("n")).toPandas().sort_values("code")
-    return got["code"].to_numpy(np.uint64), got["n"].to_numpy(np.int64)
+    code, n = got["code"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
+    low = code < 1 << 40
+    return code[low].astype(np.uint64), n[low], (code[~low] & (1 << 40) - 1).astype(np.uint64), n[~low]
 
 
 def _distinct(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -303,9 +375,12 @@ def _distinct(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return _summed(np.concatenate([np.empty(0, np.uint64), *[c for c, _ in parts]]), np.concatenate([np.empty(0, np.int64), *[n for _, n in parts]]))
 
 
-def _dealt(code: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+def _dealt(code: np.ndarray, parts: int, hot: Hot) -> tuple[np.ndarray, np.ndarray]:
     """The order of codes by part and the first of each part; codes whose contexts end alike share one."""
-    end = code >> np.uint64(8) & np.uint64((1 << 8 * (LOW + 1)) - 1)
+    context = code >> np.uint64(8)
+    end = context & np.uint64((1 << 8 * (LOW + 1)) - 1)
+    longer = context & np.uint64((1 << 8 * (LOW + 2)) - 1) | np.uint64(1 << 48)
+    end = np.where(hot.has(end), longer, end)
     part = ((end * _MIX >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
     return np.argsort(part, kind="stable"), np.cumsum([0, *np.bincount(part, minlength=parts)])
 
@@ -320,7 +395,7 @@ def _unplanes(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(_unpacked(data), np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
-def code_bits(blocks: DataFrame, order: int, parts: int) -> DataFrame:
+def code_bits(blocks: DataFrame, order: int, parts: int, hot: Hot) -> DataFrame:
     """``block, part, bits``: code lengths (32-bit floats) of a block's distinct codes of a part, ascending by code."""
     dealt_schema = T._parse_datatype_string("block long, part int, codes binary, counts binary")
     dealt = arrow_schema(dealt_schema)
@@ -331,7 +406,7 @@ def code_bits(blocks: DataFrame, order: int, parts: int) -> DataFrame:
                 train, n = _distinct([t.encode() for i, t in zip(ids, texts) if not _held_out(i)], order)
                 held, _ = _distinct([t.encode() for i, t in zip(ids, texts) if _held_out(i)], order)
                 code, n = _summed(np.concatenate([train, held]), np.concatenate([n, np.zeros(len(held), np.int64)]))
-                by, first = _dealt(code, parts)
+                by, first = _dealt(code, parts, hot)
                 code, n = code[by].astype("<u8"), n[by].astype("<u4")
                 some = np.flatnonzero(np.diff(first)).tolist()
                 cuts = [(first[p], first[p + 1]) for p in some]
@@ -339,7 +414,7 @@ def code_bits(blocks: DataFrame, order: int, parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, schema=dealt)
 
     low = min(order, LOW)
-    whole = blocks.sparkSession.sparkContext.broadcast(low_grams(blocks, low))
+    whole = blocks.sparkSession.sparkContext.broadcast(low_grams(blocks, low, hot if order > LOW else None))
     schema = T._parse_datatype_string("block long, part int, bits binary")
     out = arrow_schema(schema)
 
@@ -348,8 +423,14 @@ def code_bits(blocks: DataFrame, order: int, parts: int) -> DataFrame:
         n = np.concatenate([_unplanes(c.as_py(), "<u4") for c in table.column("counts")]).astype(np.int64)
         code, place = np.unique(np.concatenate(each), return_inverse=True)
         n = np.bincount(place, weights=n, minlength=len(code)).astype(np.int64)
-        grams, totals = grams_of(*whole.value, low)
+        low_code, low_n, after, after_n = whole.value
+        grams, totals = grams_of(low_code, low_n, low)
         more = grams_of(code[n > 0], n[n > 0], order, low + 1)
+        if len(after):  # what follows a common end is counted over all parts
+            part_code, part_n = more[0][0]
+            own = ~hot.has(part_code >> np.uint64(8))
+            more[0][0] = np.concatenate([part_code[own], after]), np.concatenate([part_n[own], after_n])
+            more[1][0] = _summed(more[0][0][0] >> np.uint64(8), more[0][0][1])
         model = Model(grams + more[0], totals + more[1])
         bits = np.concatenate([model.bits(code[a : a + 250_000]) for a in range(0, len(code), 250_000)]).astype("<f4")[place]
         ends = np.cumsum([len(c) for c in each])
@@ -369,7 +450,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     """
     schema = T._parse_datatype_string("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     blocks = _in_blocks(docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")), block_bytes)
-    counts = word_counts(blocks)
+    hot = Hot(blocks)
+    counts, common = word_counts(blocks, hot.words)
+    shared = blocks.sparkSession.sparkContext.broadcast(common)
     ends_schema = T._parse_datatype_string("n long")
 
     def ends(batches):
@@ -378,10 +461,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
 
     n_ends = blocks.select("ids").mapInArrow(ends, ends_schema).agg(F.sum("n")).first()[0] or 0
     words, vocabulary = counts.agg(F.sum("n"), F.sum(F.when(F.col("first") & (F.col("c") > 0), 1))).first()
-    total, distinct = (words or 0) + n_ends, (vocabulary or 0) + (n_ends > 0)
+    total = (words or 0) + sum(common.values()) + n_ends
+    distinct = (vocabulary or 0) + sum(n > 0 for n in common.values()) + (n_ends > 0)
     size = blocks.agg(F.sum(F.expr("aggregate(sizes, 0L, (a, n) -> a + n)"))).first()[0] or 0
     parts = -(-size // part_bytes) or 1
-    bits = code_bits(blocks, order, parts)
+    bits = code_bits(blocks, order, parts, hot)
     # a block's rows beside its texts: the counts of its words and the code lengths of its codes
     beside = counts.select("block", "idx", "c", F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("bits"))
     beside = beside.unionByName(bits.select("block", F.lit(None).cast("int").alias("idx"), F.lit(None).cast("long").alias("c"), "part", "bits"))
@@ -389,9 +473,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
 
     def of_block(texts: pa.Table, known: pa.Table) -> pa.Table:
         words = known.filter(pc.is_valid(known.column("idx")))
-        count = np.zeros(words.num_rows + 1, np.int64)
-        count[words.column("idx").to_numpy()] = words.column("c").to_numpy()
-        gain = np.log10(count + 1.0)
         rest = np.log10(total + distinct + 1.0)
         costed = known.filter(pc.is_valid(known.column("part"))).sort_by("part")
         cost = np.concatenate([_unplanes(b, "<f4") for b in costed.column("bits").to_pylist()])
@@ -399,14 +480,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         for ids, sizes, packed in zip(*[texts.column(c).to_pylist() for c in ("ids", "sizes", "texts")]):
             each = _texts(sizes, packed)
             place: dict = {}
-            for i, t in zip(ids, each):
-                at = np.array([place.setdefault(w, len(place)) for w in tokens_of(t)], np.int64)
+            places = [np.array([place.setdefault(w, len(place)) for w in tokens_of(t)], np.int64) for t in each]
+            count = np.fromiter(map(shared.value.get, place, itertools.repeat(0)), np.int64, len(place))
+            count[words.column("idx").to_numpy()] = words.column("c").to_numpy()
+            gain = np.log10(count + 1.0)
+            for i, at in zip(ids, places):
                 base = gain[at].sum() + np.log10(n_ends + 1.0) - (len(at) + 1) * rest
                 for c, v in zip(columns, (i, _held_out(i), len(at) + 1, int((count[at] > 0).sum()) + (n_ends > 0), total, base)):
                     c.append(v)
             runs = [codes_of(some, order) for some in _runs([t.encode() for t in each])]
             code, place_of = np.unique(np.concatenate([c for c, _ in runs]), return_inverse=True)
-            by = _dealt(code, parts)[0]
+            by = _dealt(code, parts, hot)[0]
             of_code = np.empty(len(code))
             of_code[by] = cost
             done = 0
