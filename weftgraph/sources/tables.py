@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -41,21 +42,84 @@ def schema(name: str) -> T.StructType:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset (local sessions) a temporary folder."""
+    """``spark.checkpoint.dir``; where it is unset, a temporary folder of a local session, an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftgraph-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
+#: Intermediate tables that this driver has written.
+_WRITTEN: list[str] = []
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that nothing has used yet."""
+    _WRITTEN.append(f"{shared_dir(spark)}/weftgraph/{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` below the shared folder and read it back, so loops keep short plans and survive lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/weftgraph/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = fresh_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_intermediate(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this driver, once the results that read them are stored; returns how many there were."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        _file_system(spark, path := _WRITTEN.pop()).delete(_hadoop_path(spark, path), True)
+    return n
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    return _hadoop_path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def publish(spark: SparkSession, folder: str, name: str, content: str) -> bool:
+    """Make a small file ``name`` visible in ``folder``, whole or not at all; False if there is one of that name.
+
+    The file is written elsewhere and renamed, which fails onto an existing file.
+    """
+    jvm, fs, hadoop = spark.sparkContext._jvm, _file_system(spark, folder), spark.sparkContext._jsc.hadoopConfiguration()
+    target = fs.makeQualified(_hadoop_path(spark, f"{folder}/{name}"))
+    temporary = fs.makeQualified(_hadoop_path(spark, f"{folder}.temporary/{uuid.uuid4().hex}"))
+    out = fs.create(temporary, True)
+    out.write(bytearray(content.encode()))
+    out.close()
+    fs.mkdirs(target.getParent())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), hadoop).rename(temporary, target, options)
+    except Exception:
+        fs.delete(temporary, False)
+        if not fs.exists(target):
+            raise
+        return False
+    return True
+
+
+def published(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the visible files of ``folder``, in order."""
+    fs, where = _file_system(spark, folder), _hadoop_path(spark, folder)
+    return sorted(n for s in fs.listStatus(where) if not (n := s.getPath().getName()).startswith(".")) if fs.exists(where) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    _file_system(spark, path).delete(_hadoop_path(spark, path), True)
+
+
 def enforce(df: DataFrame, name: str) -> DataFrame:
     """``df`` in the column order and types of fact table ``name``; missing columns become null."""
     have = set(df.columns)
@@ -99,29 +163,52 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-        self._fs = self._hadoop.Path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def generations(self, name: str) -> list[int]:
-        where = self._hadoop.Path(f"{self.folder}/visible/{name}")
-        return sorted(int(s.getPath().getName()) for s in self._fs.listStatus(where)) if self._fs.exists(where) else []
+        return [int(g) for g in published(self.spark, f"{self.folder}/visible/{name}")]
+
+    def _place(self, name: str, generation: int) -> str:
+        return self.spark.read.text(f"{self.folder}/visible/{name}/{generation:09d}", wholetext=True).first()[0]
 
     def read(self, name: str, generation: int | None = None) -> DataFrame:
         """The newest visible generation, or the one named; an empty table before the first."""
         known = self.generations(name)
         if generation is None and not known:
             return self.spark.createDataFrame([], schema(name))
-        return self.spark.read.schema(schema(name)).parquet(f"{self.folder}/{name}/{generation or known[-1]}")
+        return self.spark.read.schema(schema(name)).parquet(self._place(name, generation or known[-1]))
 
     def write(self, name: str, df: DataFrame) -> int:
-        """Stage a new generation, then make it visible by creating its pointer file; returns the generation."""
+        """Stage a new generation under a name of its own, then publish its pointer; returns the generation.
+
+        Of writers at the same time each gets a generation; none overwrites another's.
+        """
+        place = f"{self.folder}/{name}/{uuid.uuid4().hex}"
+        enforce(df, name).write.parquet(place)
         generation = (self.generations(name) or [0])[-1] + 1
-        enforce(df, name).write.mode("overwrite").parquet(f"{self.folder}/{name}/{generation}")
-        self._fs.create(self._hadoop.Path(f"{self.folder}/visible/{name}/{generation}"), False).close()
+        while not publish(self.spark, f"{self.folder}/visible/{name}", f"{generation:09d}", place):
+            generation += 1
         return generation
 
     def keep(self, name: str, newest: int) -> None:
         """Prune all but the ``newest`` visible generations."""
         for g in self.generations(name)[:-newest]:
-            self._fs.delete(self._hadoop.Path(f"{self.folder}/visible/{name}/{g}"), False)
-            self._fs.delete(self._hadoop.Path(f"{self.folder}/{name}/{g}"), True)
+            place = self._place(name, g)
+            remove(self.spark, f"{self.folder}/visible/{name}/{g:09d}")
+            remove(self.spark, place)
+
+    def set_metadata(self, key: str, value: str) -> None:
+        """Key-value sink: the newest value of a key is the visible one."""
+        folder = f"{self.folder}/metadata/{short_name(key)}"
+        n = len(published(self.spark, folder))
+        while not publish(self.spark, folder, f"{n:09d}", value):
+            n += 1
+
+    def metadata(self, key: str) -> str | None:
+        folder = f"{self.folder}/metadata/{short_name(key)}"
+        names = published(self.spark, folder)
+        return self.spark.read.text(f"{folder}/{names[-1]}", wholetext=True).first()[0] if names else None
+
+
+def short_name(key: str) -> str:
+    """A file name that only this key has."""
+    return hashlib.sha256(key.encode()).hexdigest()
