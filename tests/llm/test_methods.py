@@ -279,6 +279,117 @@ def test_rollup_is_idempotent(spark):
     assert r.batches() == ["b1", "b2", "b3", "b4"]
 
 
+def test_rollup_survives_lost_writers_and_compacts(spark, monkeypatch):
+    """A writer lost before or after its commit file is seen leaves all or nothing; snapshots give the totals of all batches."""
+    r = token_rollups.Rollup(spark, fresh_path(spark, "rollup"), compact_every=3)
+    one = spark.createDataFrame([("s", "en", "v1", 5)], "source string, lang string, tokenizer_version string, n_tokens long")
+    total = lambda: [(x.n_docs, x.n_tokens) for x in r.totals().collect()]
+
+    def lost(*_):
+        raise RuntimeError("driver lost")
+
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(token_rollups, "publish", lost)
+        r.commit("b0", token_rollups.inserts(one))
+    assert r.batches() == [] and r.totals().collect() == []
+    assert r.commit("b0", token_rollups.inserts(one)) and not r.commit("b0", token_rollups.inserts(one))
+    # a second writer that had looked before the first one's commit
+    with monkeypatch.context() as m:
+        m.setattr(r, "committed", lambda _: False)
+        assert not r.commit("b0", token_rollups.inserts(one))
+    assert total() == [(1, 5)]
+    for k in range(1, 8):
+        assert r.commit(f"b{k}", token_rollups.inserts(one))
+        assert total() == [(k + 1, 5 * k + 5)]
+    where, pending = r._pending()
+    assert where and len(pending) < 3 and len(r.batches()) == 8
+    assert not r.commit("b3", token_rollups.inserts(one)) and total() == [(8, 40)]
+    assert r.compact() and not r.compact() and total() == [(8, 40)]
+
+
+def test_counts_by_tokenizers(spark, texts):
+    """Rollups of two tokenizers' counts against the library."""
+    import public_tokenizers
+
+    paths = {"v1": bpe.default_ranks(), "v2": public_tokenizers.path("byte_bpe_multi_50k.tiktoken")}
+    docs = spark.read.parquet(f"{FIXTURE}/documents.parquet").limit(40)
+    for r in token_rollups.counted_by_tokenizers(docs, paths).collect():
+        for v, path in paths.items():
+            assert r[v] == len(bpe.encoding(path).encode_ordinary(texts[r.doc_id]))
+
+
+def test_importance_against_plain_version(spark, texts):
+    """Ratios, keys and the choice against a plain computation over the fixture."""
+    labels = spark.read.parquet(f"{FIXTURE}/labels.parquet")
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    n_buckets = 1000
+    counts = {i: np.bincount(importance.buckets_of([t], n_buckets)[0], minlength=n_buckets) for i, t in texts.items()}
+    target, raw = sum(counts[i] for i in good), sum(counts.values())
+    weight = np.log((target + 1) / (target.sum() + n_buckets)) - np.log((raw + 1) / (raw.sum() + n_buckets))
+    docs = spark.read.parquet(f"{FIXTURE}/documents.parquet")
+    draw = {r.doc_id: (r.x + 0.5) / 2**53 for r in docs.selectExpr("doc_id", "shiftrightunsigned(xxhash64(20240501, doc_id, text), 11) AS x").collect()}
+    rows = importance.resample(docs, labels, n_buckets=n_buckets).collect()
+    key = {}
+    for r in rows:
+        want = float(counts[r.doc_id] @ weight)
+        key[r.doc_id] = want - np.log(-np.log(draw[r.doc_id]))
+        assert abs(r.log_ratio - want) < 1e-6 and abs(r.gumbel_key - key[r.doc_id]) < 1e-6
+    k = round(labels.selectExpr("avg(if(quality = 1, 1D, 0D))").first()[0] * len(rows))
+    assert {r.doc_id for r in rows if r.kept} == set(sorted(key, key=key.get)[-k:])
+    few = importance.resample(docs, labels, n_buckets=n_buckets, max_target=5)
+    assert few.count() == len(rows)
+
+
+def test_pseudonyms_of_all_texts(spark, texts):
+    """Over the fixture: text outside the spans stays, each value has one pseudonym and each pseudonym one value, cards stay valid and none is left."""
+    rows = pseudonyms.op8_pseudonyms(spark, FIXTURE).collect()
+    assert len(rows) == len(texts)
+    new_of: dict = {}
+    for r in rows:
+        old, new, at, shift = texts[r.doc_id], r.text, 0, 0
+        spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in r.spans.split(",") if s)]
+        assert len(spans) == r.n_replaced
+        make = {k: f for k, _, f in pseudonyms.KINDS}
+        done, place = 0, 0
+        for kind, a, b in spans:
+            assert new[place : place + a - done] == old[done:a]
+            value = make[kind](old[a:b], b"weftgraph query key")
+            place += a - done
+            assert value is not None and new[place : place + len(value)] == value
+            place, done = place + len(value), b
+            if kind in ("card", "ssn", "phone", "ipv4", "iban"):
+                digits = lambda x: re.sub("[ ().-]", "", x)
+                assert new_of.setdefault((kind, digits(old[a:b])), digits(value)) == digits(value)
+            if kind == "card":
+                d = re.sub("[ -]", "", value)
+                assert pseudonyms.luhn_digit(d[:-1]) == d[-1]
+        assert new[place:] == old[done:]
+    assert len(new_of) > 5 and len(set((k, v) for (k, _), v in new_of.items())) == len(new_of)
+
+
+def test_pseudonyms_link_layouts():
+    """A day has one pseudonym in all layouts, an address one in all cases; hidden cards are found."""
+    import datetime
+
+    key = b"k"
+    one = lambda t: pseudonyms.pseudonymize(t, key)[0]
+    for y, m, d in ((2021, 3, 9), (2021, 3, 25), (1999, 12, 31), (2000, 2, 29), (2040, 11, 12)):
+        new = datetime.date.fromisoformat(one(f"{y}-{m:02d}-{d:02d}"))
+        assert one(f"{d:02d}.{m:02d}.{y}") == f"{new.day:02d}.{new.month:02d}.{new.year}"
+        assert one(f"{m}/{d}/{y}") in (f"{new.month}/{new.day}/{new.year}", f"{new.month:02d}/{new.day:02d}/{new.year}")
+        assert new != datetime.date(y, m, d)
+    days = [datetime.date(2020, 1, 1) + datetime.timedelta(k) for k in range(400)]
+    assert len({one(str(d)) for d in days}) == 400
+    assert one("Ann.B7@x.org").lower() == one("ann.b7@x.org") != "ann.b7@x.org"
+    for text in ("order 12 4111 1111 1111 1111 ok", "4111 1111 1111 1111 12 items", "+1 415 555 0134 4111 1111 1111 1111", "4041894974608795 123"):
+        assert not re.search("4111 1111 1111 1111|4041894974608795", one(text))
+    import time
+
+    began = time.process_time()
+    assert len(pseudonyms.pseudonymize(" 4111 1111 1111 1111, a@b.org" * 6000, key)[1]) == 12000
+    assert time.process_time() - began < 30
+
+
 def test_edit_distance_and_recall():
     def brute(item, window):
         row = [0] * (len(window) + 1)

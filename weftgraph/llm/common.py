@@ -6,8 +6,7 @@ written below the folder that the session names in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,39 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftgraph.sources.tables import cut, fresh_path, shared_dir  # noqa: F401
+
 #: The ASCII white space of the contracts: words are maximal runs of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share.
-
-    It is ``spark.checkpoint.dir`` where the cluster sets it.  Only where that
-    setting is absent (a local session, as in tests) a temporary one is set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    own = spark.sparkContext.getCheckpointDir()
-    if own is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftgraph-"))
-        own = spark.sparkContext.getCheckpointDir()
-    return own.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/weftgraph/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

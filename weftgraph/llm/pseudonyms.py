@@ -3,11 +3,14 @@
 A validated value is an index into the set of all valid values of its format; a
 keyed Feistel network permutes that set.  Equal values therefore get equal
 pseudonyms in every document, different values stay different, checksums hold
-and the layout (separators, digit counts, date order) stays as it was.
+and the layout (separators, digit counts, date order) stays as it was.  A day has
+one pseudonym in all date layouts, an e-mail address one in all letter cases; the
+domain of an address and the bank letters of an IBAN name no person and stay.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import math
@@ -131,41 +134,41 @@ _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 3
 
 
 def _date(text: str, key: bytes) -> str | None:
-    mark = re.search(r"\D", text).group()
-    a, b, c = (int(x) for x in text.split(mark))
-    year_first = len(text.split(mark)[0]) == 4
-
-    def parts(day: datetime.date, order: str) -> tuple[int, int, int]:
-        return {"ymd": (day.year, day.month, day.day), "mdy": (day.month, day.day, day.year), "dmy": (day.day, day.month, day.year)}[order]
-
-    order = "ymd" if year_first else "mdy" if a <= 12 else "dmy"
-    try:
-        day = datetime.date(a, b, c) if order == "ymd" else datetime.date(c, a, b) if order == "mdy" else datetime.date(c, b, a)
-    except ValueError:
-        return None
-    if not _FIRST <= day.toordinal() <= _LAST:
-        return None
-    widths = [len(x) for x in text.split(mark)]
-
-    def layout(p: tuple[int, int, int]) -> str:
-        return mark.join(_digits(x, w) for x, w in zip(p, widths))
-
-    def ok(x: int) -> bool:  # the pseudonym must read as the same layout and order
-        p = parts(datetime.date.fromordinal(_FIRST + x), order)
-        return len(layout(p)) == len(text) and (order != "dmy" or p[0] > 12)
+    """A day of the same class: as many digits of month and day, and a day of month that may be a month or not.
 
-    x = _walk(day.toordinal() - _FIRST, _LAST - _FIRST + 1, key, f"date{order}{mark}{widths}", ok)
-    return layout(parts(datetime.date.fromordinal(_FIRST + x), order))
-
-
-_ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")
+    Dots mean day, month, year; other marks month, day, year; the other order is taken where only it is a date.
+    Within a class the widths and the order that a layout is read in stay, so equal days have equal pseudonyms in all layouts.
+    """
+    mark = re.search(r"\D", text).group()
+    fields = text.split(mark)
+    a, b, c = map(int, fields)
+    orders = ("ymd",) if len(fields[0]) == 4 else ("dmy", "mdy") if mark == "." else ("mdy", "dmy")
+    for order in orders:
+        try:
+            day = datetime.date(a, b, c) if order == "ymd" else datetime.date(c, a, b) if order == "mdy" else datetime.date(c, b, a)
+        except ValueError:
+            continue
+        if not _FIRST <= day.toordinal() <= _LAST:
+            return None
+        kind = lambda x: (x.month > 9, x.day > 9, x.day > 12)
+        own = kind(day)
+        x = _walk(day.toordinal() - _FIRST, _LAST - _FIRST + 1, key, "date", lambda x: kind(datetime.date.fromordinal(_FIRST + x)) == own)
+        new = datetime.date.fromordinal(_FIRST + x)
+        parts = {"y": new.year, "m": new.month, "d": new.day}
+        return mark.join(_digits(parts[k], len(f)) for k, f in zip(order, fields))
+    return None
+
+
+_ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "0123456789")
 
 
 def _email(text: str, key: bytes) -> str | None:
+    """The local part permuted within its shape of letters and digits, its case put back; the domain stays."""
     local, _, domain = text.rpartition("@")
-    kinds = [next((a for a in _ALPHABETS if c in a), None) for c in local]
+    low = local.lower()
+    kinds = [next((a for a in _ALPHABETS if c in a), None) for c in low]
     index, size = 0, 1
-    for c, a in zip(local, kinds):
+    for c, a in zip(low, kinds):
         if a:
             index, size = index * len(a) + a.index(c), size * len(a)
     shape = "".join("x" if a is None else str(_ALPHABETS.index(a)) for a in kinds)
@@ -173,7 +176,7 @@ def _email(text: str, key: bytes) -> str | None:
     for c, a in zip(reversed(local), reversed(kinds)):
         if a:
             index, k = divmod(index, len(a))
-            c = a[k]
+            c = a[k].upper() if c.isupper() else a[k]
         out.append(c)
     return "".join(reversed(out)) + "@" + domain
 
@@ -209,21 +212,26 @@ def pseudonymize(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]
     """The text with pseudonyms, and ``(kind, start, end)`` of the values replaced (in the given text)."""
     if not _ANY.search(text):
         return text, []
-    found: list[tuple[int, int, str, str]] = []
+    found: list[tuple[int, int, str, str]] = []  # apart from each other, in order
+
+    def free(a: int, b: int) -> bool:
+        k = bisect.bisect_left(found, (a,))
+        return (k == len(found) or b <= found[k][0]) and (k == 0 or found[k - 1][1] <= a)
+
     for kind, pattern, make in KINDS:
         at = 0
         while m := pattern.search(text, at):
             at = m.start() + 1 if kind in _SHORTEST else m.end()  # a value may start within a match that is none
             for end in _ends(kind, m):
-                if not any(m.start() < b and a < end for a, b, _, _ in found) and (new := make(text[m.start() : end], key)) is not None:
-                    found.append((m.start(), end, kind, new))
+                if free(m.start(), end) and (new := make(text[m.start() : end], key)) is not None:
+                    bisect.insort(found, (m.start(), end, kind, new))
                     at = end  # what a shorter value leaves is searched again
                     break
     parts, done = [], 0
-    for a, b, _, new in sorted(found):
+    for a, b, _, new in found:
         parts += [text[done:a], new]
         done = b
-    return "".join([*parts, text[done:]]), [(kind, a, b) for a, b, kind, _ in sorted(found)]
+    return "".join([*parts, text[done:]]), [(kind, a, b) for a, b, kind, _ in found]
 
 
 def protect(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

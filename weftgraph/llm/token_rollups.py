@@ -5,9 +5,13 @@ tokenizer version): an insert adds a document and its tokens, a delete takes
 them away, a revision takes away the old figures and adds the new ones.  Totals
 are sums of committed deltas, so no batch reads earlier documents again.
 
-A batch is staged under a name of its own and becomes visible by the creation of
-its commit file, which a file system does for one writer only.  A batch id that
-has been committed is not applied again, whoever retries it.
+A batch is staged under a name of its own.  It becomes visible when its commit
+file, written whole under another name, is renamed to the batch's id, which the
+file system does for one writer only: a writer lost at any point leaves either
+nothing visible or the whole batch.  A batch id that has been committed is not
+applied again, whoever retries it.  Compaction folds committed batches into a
+snapshot of the totals, made visible in the same way, so reading costs the last
+snapshot and the few batches after it.
 """
 
 from __future__ import annotations
@@ -17,7 +21,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import WORD, cut, fresh_path, read_table
+from weftgraph.llm import bpe
+from weftgraph.llm.common import WORD, cut, fresh_path, map_rows, read_table
+from weftgraph.sources.tables import publish, published, remove
 
 KEYS = ("source", "lang", "tokenizer_version")
 _SCHEMA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
@@ -46,18 +52,16 @@ def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
 class Rollup:
     """A rollup below ``folder``, any path that Spark's file systems reach."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    def __init__(self, spark: SparkSession, folder: str, compact_every: int = 100):
+        self.spark, self.folder, self.compact_every = spark, folder.rstrip("/"), compact_every
 
-    def _commit_file(self, batch_id: str):
-        if not batch_id or not all(c.isalnum() or c in "-_." for c in batch_id):
-            raise ValueError("a batch id has letters, digits, '-', '_' and '.' only")
-        return self._path(f"{self.folder}/commits/{batch_id}")
+    def _checked(self, batch_id: str) -> str:
+        if not batch_id or not all(c.isalnum() or c in "-_." for c in batch_id) or batch_id.startswith((".", "_")):
+            raise ValueError("a batch id has letters, digits, '-', '_' and '.' only and starts with none of the marks")
+        return batch_id
 
     def committed(self, batch_id: str) -> bool:
-        return self._fs.exists(self._commit_file(batch_id))
+        return self._checked(batch_id) in self.batches()
 
     def commit(self, batch_id: str, deltas: DataFrame) -> bool:
         """Apply ``deltas`` once; False if the batch had been committed (nothing is then computed or changed).
@@ -70,30 +74,71 @@ class Rollup:
         stage = f"{self.folder}/staged/{batch_id}-{uuid.uuid4().hex}"
         sums = deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         sums.select(*KEYS, "n_docs", "n_tokens").write.parquet(stage)
-        try:
-            out = self._fs.create(self._commit_file(batch_id), False)
-        except Exception:
-            if not self.committed(batch_id):
-                raise
-            self._fs.delete(self._path(stage), True)  # another writer was first
+        if not publish(self.spark, f"{self.folder}/commits", batch_id, stage):
+            remove(self.spark, stage)  # another writer was first
             return False
-        out.write(bytearray(stage.encode()))
-        out.close()
+        if len(self._pending()[1]) >= self.compact_every:
+            self.compact()
         return True
 
     def batches(self) -> list[str]:
-        where = self._path(f"{self.folder}/commits")
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(where) if not s.getPath().getName().startswith(".")) if self._fs.exists(where) else []
+        return published(self.spark, f"{self.folder}/commits")
+
+    def _read(self, path: str) -> str:
+        return self.spark.read.text(path, wholetext=True).first()[0]
+
+    def _pending(self) -> tuple[str | None, list[str]]:
+        """The folder of the last snapshot, if any, and the batches committed after it (names only reach the driver)."""
+        snapshots = published(self.spark, f"{self.folder}/snapshots")
+        if not snapshots:
+            return None, self.batches()
+        where = self._read(f"{self.folder}/snapshots/{snapshots[-1]}")
+        folded = {r[0] for r in self.spark.read.text(f"{where}/folded").collect()}
+        return where, [b for b in self.batches() if b not in folded]
+
+    def compact(self) -> bool:
+        """Fold the batches after the last snapshot into a new one; False if there are none or another writer was first."""
+        where, pending = self._pending()
+        if not pending:
+            return False
+        new = f"{self.folder}/folds/{uuid.uuid4().hex}"
+        self._sums(where, pending).write.parquet(f"{new}/totals")
+        folded = self.spark.createDataFrame([(b,) for b in pending], "value string")
+        if where:
+            folded = folded.unionByName(self.spark.read.text(f"{where}/folded"))
+        folded.coalesce(1).write.text(f"{new}/folded")
+        number = len(published(self.spark, f"{self.folder}/snapshots"))
+        done = publish(self.spark, f"{self.folder}/snapshots", f"{number:08d}", new)
+        if not done:
+            remove(self.spark, new)
+        return done
+
+    def _sums(self, where: str | None, pending: list[str]) -> DataFrame:
+        stages = [r[0] for r in self.spark.read.text([f"{self.folder}/commits/{b}" for b in pending], wholetext=True).collect()] if pending else []  # one short row per batch
+        rows = self.spark.read.schema(_SCHEMA).parquet(*stages, *([f"{where}/totals"] if where else []))
+        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
     def totals(self) -> DataFrame:
         """Current totals per key; keys without documents and tokens are left out."""
-        commits = f"{self.folder}/commits"
-        if not self.batches():
+        where, pending = self._pending()
+        if not where and not pending:
             return self.spark.createDataFrame([], _SCHEMA)
-        stages = [r[0] for r in self.spark.read.text(commits, wholetext=True).collect()]  # one short row per batch
-        rows = self.spark.read.schema(_SCHEMA).parquet(*stages)
-        sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return sums.where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
+        return self._sums(where, pending).where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
+
+
+def counted_by_tokenizers(docs: DataFrame, versions: dict[str, str], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+    """As :func:`counted`, each version given as the rank file of a byte-level BPE tokenizer (a path on every executor)."""
+
+    def make():
+        def work(cols):
+            counts = [[len(bpe.encode_text(t or "", path)) for t in cols[-1]] for path in versions.values()]
+            return [*cols[:-1], *counts]
+
+        return work
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    some = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
+    return map_rows(some, ["doc_id", "source", "lang", "text"], f"doc_id {kind}, source string, lang string, " + ", ".join(f"`{v}` long" for v in versions), make, sized=3)
 
 
 def counted(docs: DataFrame, versions: dict[str, str], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
