@@ -260,11 +260,48 @@ def test_ppm_keeps_every_gram(spark):
         totals.append((context, np.bincount(at, weights=m).astype(np.int64)))
     model = ppm.Model(grams, totals)
     docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
-    rows = {r.doc_id: r.score for r in ppm.score(docs, block_bytes=400_000, part_bytes=500_000).collect()}
-    assert len(rows) == len(texts) and n.sum() > 2_000_000
-    for i in texts:
-        want = -model.bits(ppm.codes_of([texts[i].encode()], 5)[0]).sum() * np.log10(2.0)
-        assert abs(rows[i] - want) < 1e-6 * abs(want)
+    assert n.sum() > 2_000_000
+    for end_parts in (ppm.END_PARTS, 0.0005):  # no end and many ends dealt out by a byte more
+        rows = {r.doc_id: r.score for r in ppm.score(docs, block_bytes=400_000, part_bytes=500_000, end_parts=end_parts).collect()}
+        assert len(rows) == len(texts)
+        for i in texts:
+            want = -model.bits(ppm.codes_of([texts[i].encode()], 5)[0]).sum() * np.log10(2.0)
+            assert abs(rows[i] - want) < 1e-6 * abs(want)
+
+
+def test_ppm_scores_by_plain_computation(spark):
+    """Scores against method C with exclusion, written out symbol by symbol."""
+    rng = random.Random(9)
+    texts = {k: "".join(rng.choices("abc de", k=rng.randrange(0, 60))) for k in range(30)}
+    order = 3
+    follow: dict = {}
+    for i, t in texts.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            data = bytes(order) + t.encode() + b"\0"
+            for at in range(order, len(data)):
+                for k in range(order + 1):
+                    follow.setdefault(data[at - k : at], Counter())[data[at]] += 1
+
+    def bits(context, byte):
+        out, excluded = 0.0, set()
+        for k in range(order, -1, -1):
+            seen = follow.get(context[order - k :])
+            if not seen:
+                continue
+            left = {b: c for b, c in seen.items() if b not in excluded}
+            total, escape = sum(left.values()), len(left)
+            if byte in left:
+                return out - np.log2(left[byte] / (total + escape))
+            if left:
+                out -= np.log2(escape / (total + escape))
+            excluded = set(seen)
+        return out + np.log2(max(1, 256 - len(excluded)))
+
+    rows = {r.doc_id: r.score for r in ppm.score(spark.createDataFrame([*texts.items()], "doc_id long, text string"), order=order).collect()}
+    for i, t in texts.items():
+        data = bytes(order) + t.encode() + b"\0"
+        want = -sum(bits(data[at - order : at], data[at]) for at in range(order, len(data))) * np.log10(2)
+        assert abs(rows[i] - want) < 1e-5 * max(1, abs(want)), (i, rows[i], want)
 
 
 def test_rollup_is_idempotent(spark):

@@ -14,8 +14,9 @@ back.  Only orders up to ``LOW``, at most 256 ** (LOW + 1) n-grams, are broadcas
 
 Very common words and context ends would gather in one task.  A few blocks tell
 which they are (:class:`Hot`); their exact counts over all blocks are summed in
-each task first and broadcast, and the codes of such an end are dealt out by one
-byte more.  The sample decides only the route: any choice gives the same scores.
+each task first and broadcast, and the codes of an end with more than ``END_PARTS``
+parts' share of the text are dealt out by one byte more.  The sample decides only
+the route: any choice gives the same scores.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -235,14 +236,14 @@ def tokens_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-#: Blocks that are looked at for common words and context ends, and the most of each that are broadcast.
-SAMPLE_BLOCKS, HOT_WORDS, HOT_ENDS = 8, 20_000, 2_000
+#: Blocks that are looked at for common words and context ends, the most of each that are broadcast, and the parts that an end may fill.
+SAMPLE_BLOCKS, HOT_WORDS, HOT_ENDS, END_PARTS = 8, 20_000, 2_000, 4
 
 
 class Hot:
-    """Common words (in at least half of a few blocks) and context ends (over a quarter of 1 / ``HOT_ENDS`` of their places)."""
+    """Common words (in at least half of a few blocks) and context ends (with over ``END_PARTS / parts`` of their places)."""
 
-    def __init__(self, blocks: DataFrame):
+    def __init__(self, blocks: DataFrame, parts: int, end_parts: float = END_PARTS):
         n = blocks.count()
         share = F.pmod(F.xxhash64("block"), F.lit(1_000_000)) < (1_000_000 * SAMPLE_BLOCKS) // max(n, 1)
         some = blocks.where(share)
@@ -256,7 +257,7 @@ class Hot:
                     ends = np.zeros(1 << 8 * (LOW + 1), np.int64)
                     for part in _runs([t.encode() for t in texts]):
                         np.add.at(ends, (codes_of(part, LOW + 1)[0] >> np.uint64(8)).astype(np.int64), 1)
-                    found = np.flatnonzero(ends * (4 * HOT_ENDS) > ends.sum())
+                    found = np.flatnonzero(ends * float(parts) > end_parts * ends.sum())
                     none = lambda k, kind: pa.nulls(k, kind)
                     yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), none(len(count), pa.int64()), pa.array(list(count.values()), pa.int64())], schema=out)
                     yield pa.RecordBatch.from_arrays([none(len(found), pa.binary()), pa.array(found), pa.array(ends[found])], schema=out)
@@ -268,6 +269,12 @@ class Hot:
         ends = rows.where("ending is not null").groupBy("ending").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "ending").limit(HOT_ENDS)
         self.ends = np.array(sorted(r[0] for r in ends.collect()), np.uint64)
 
+    def table(self) -> np.ndarray:
+        """For every possible end its place among the common ones, -1 if it is none."""
+        out = np.full(1 << 8 * (LOW + 1), -1, np.int16)
+        out[self.ends.astype(np.int64)] = np.arange(len(self.ends))
+        return out
+
     def has(self, ends: np.ndarray) -> np.ndarray:
         if not len(self.ends):
             return np.zeros(len(ends), bool)
@@ -275,17 +282,36 @@ class Hot:
         return self.ends[at] == ends
 
 
-def word_counts(blocks: DataFrame, hot: frozenset = frozenset()) -> tuple[DataFrame, dict[bytes, int]]:
-    """``block, idx, n, c, first`` per distinct word of a block, and the training counts of the words in ``hot``, which have no rows.
+def _words_dealt(words: list[bytes], parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of words by part and the first of each part."""
+    part = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % parts
+    return np.argsort(part, kind="stable"), np.cumsum([0, *np.bincount(part, minlength=parts)])
+
+
+def word_counts(blocks: DataFrame, parts: int, hot: frozenset = frozenset()) -> tuple[DataFrame, dict[bytes, int]]:
+    """``block, part, counts, n, vocabulary`` and the training counts of the words in ``hot``.
 
-    ``idx`` is the word's order of first use in the block, ``n`` its count in the
-    block's training documents, ``c`` in all; ``first`` marks one row of each word.
+    ``counts`` holds the training counts of the block's distinct other words of a
+    part, in order of first use; ``n`` and ``vocabulary`` add up to the training
+    words and to the distinct ones among them.
     """
-    schema = T._parse_datatype_string("word binary, block long, idx int, n long")
-    out = arrow_schema(schema)
+    dealt_schema = T._parse_datatype_string("block long, part int, words binary, sizes binary, counts binary")
+    dealt = arrow_schema(dealt_schema)
+
+    def deal(batches):
+        from pyspark import TaskContext
 
-    def run(batches):
         common: Counter = Counter()
+
+        def rows(block, words, n, by, first, part_of):
+            sizes = np.fromiter(map(len, words), "<u4", len(words))
+            for p in np.flatnonzero(np.diff(first)).tolist():
+                mine = by[first[p] : first[p + 1]]
+                yield block, part_of(p), _packed(b"".join([words[k] for k in mine.tolist()])), _planes(sizes[mine]), _planes(n[mine])
+
+        def batch_of(rows_):
+            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows_), dealt)] or [pa.array([], f.type) for f in dealt], schema=dealt)
+
         for batch in batches:
             for block, ids, texts in _rows(batch):
                 count: Counter = Counter()
@@ -295,25 +321,38 @@ def word_counts(blocks: DataFrame, hot: frozenset = frozenset()) -> tuple[DataFr
                     order.update(dict.fromkeys(words))
                     if not _held_out(i):
                         count.update(words)
-                words, idx = [], []
-                for k, w in enumerate(order):
-                    if w in hot:
-                        common[w] += count[w]
-                    else:
-                        words.append(w)
-                        idx.append(k)
-                arrays = [pa.array(words, pa.binary()), pa.array(np.full(len(words), block)), pa.array(idx, pa.int32()), pa.array([count[w] for w in words], pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, schema=out)
-        yield pa.RecordBatch.from_arrays([pa.array(list(common), pa.binary()), pa.nulls(len(common), pa.int64()), pa.nulls(len(common), pa.int32()), pa.array(list(common.values()), pa.int64())], schema=out)
-
-    rows = blocks.mapInArrow(run, schema)
-    # a common word's rows, one for each task, are given to a task each: their window is theirs alone
-    salt = F.when(F.col("block").isNull(), F.spark_partition_id()).otherwise(F.lit(-1))
-    per_word = Window.partitionBy("word", "salt")
-    rows = rows.withColumn("salt", salt).select("word", "block", "idx", "n", F.sum("n").over(per_word).alias("c"), (F.row_number().over(per_word.orderBy("block")) == 1).alias("first"))
-    rows = cut(rows.withColumn("word", F.when(F.col("block").isNull(), F.col("word"))), "ppm-words")
-    totals = rows.where("block is null").groupBy("word").agg(F.sum("n")).collect() if hot else []
-    return rows.where("block is not null").drop("word"), {bytes(w): n for w, n in totals}
+                for w in hot.intersection(order):
+                    common[w] += count[w]
+                words = [w for w in order if w not in hot]
+                n = np.fromiter(map(count.__getitem__, words), "<u4", len(words))
+                if words:
+                    yield batch_of(rows(block, words, n, *_words_dealt(words, parts), int))
+        if common:  # of a task, in a part of its own
+            words, n = list(common), np.fromiter(common.values(), "<u4", len(common))
+            yield batch_of(rows(-1, words, n, np.arange(len(words)), np.array([0, len(words)]), lambda _, own=-1 - TaskContext.get().partitionId(): own))
+
+    schema = T._parse_datatype_string("block long, part int, counts binary, n long, vocabulary long, hot array<struct<word:binary,n:long>>")
+    out = arrow_schema(schema)
+
+    def add(table: pa.Table) -> pa.Table:
+        sizes = [_unplanes(x.as_py(), "<u4") for x in table.column("sizes")]
+        n = np.concatenate([_unplanes(x.as_py(), "<u4") for x in table.column("counts")]).astype(np.int64)
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes), dtype=np.int64)])
+        data = b"".join(_unpacked(x.as_py()) for x in table.column("words"))
+        words = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        none = [None] * len(sizes)
+        if table.column("part")[0].as_py() < 0:
+            found = [{"word": w, "n": c} for w, c in zip(words.to_pylist(), n.tolist())]
+            return pa.table([table.column("block"), table.column("part"), pa.array(none, pa.binary()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([found], out.field("hot").type)], schema=out)
+        at = words.dictionary_encode().indices.to_numpy()
+        c = np.bincount(at, weights=n).astype("<u8")
+        every, ends = c[at], np.cumsum([len(x) for x in sizes])
+        sums = [[int(x)] + [0] * (len(sizes) - 1) for x in (n.sum(), (c > 0).sum())]
+        return pa.table([table.column("block"), table.column("part"), pa.array([_planes(every[b - len(x) : b]) for x, b in zip(sizes, ends)], pa.binary()), *[pa.array(x, pa.int64()) for x in sums], pa.array(none, out.field("hot").type)], schema=out)
+
+    rows = cut(blocks.mapInArrow(deal, dealt_schema).groupBy("part").applyInArrow(add, schema), "ppm-words")
+    totals = rows.where("block = -1").select(F.explode("hot").alias("h")).groupBy("h.word").agg(F.sum("h.n")).collect() if hot else []
+    return rows.where("block >= 0").drop("hot"), {bytes(w): n for w, n in totals}
 
 
 def _summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -347,16 +386,16 @@ def low_grams(blocks: DataFrame, order: int, hot: Hot | None = None) -> tuple[np
     def run(batches):
         count = np.zeros(1 << 8 * (order + 1), np.int64)
         after = np.zeros(256 * len(hot.ends) if more else 0, np.int64)
+        place = hot.table() if more else None
         for batch in batches:
             for _, ids, texts in _rows(batch):
                 for some in _runs([t.encode() for i, t in zip(ids, texts) if not _held_out(i)]):
                     codes = codes_of(some, LOW + 1 if more else order)[0]
                     np.add.at(count, (codes & np.uint64((1 << 8 * (order + 1)) - 1)).astype(np.int64), 1)
                     if more:
-                        end = codes >> np.uint64(8)
-                        mine = hot.has(end)
-                        at = np.searchsorted(hot.ends, end[mine]) * 256 + (codes[mine] & np.uint64(255)).astype(np.int64)
-                        after += np.bincount(at, minlength=len(after))
+                        at = place[(codes >> np.uint64(8)).astype(np.int64)]
+                        mine = np.flatnonzero(at >= 0)
+                        after += np.bincount(at[mine].astype(np.int64) << 8 | (codes[mine] & np.uint64(255)).astype(np.int64), minlength=len(after))
         code, tail = np.flatnonzero(count), np.flatnonzero(after)
         tail_code = (hot.ends[tail // 256].astype(np.int64) << 8 | tail % 256 | 1 << 40) if more else tail  # marked by a bit above any code
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([code, tail_code]), pa.int64()), pa.array(np.concatenate([count[code], after[tail]]), pa.int64())], schema=out)
@@ -439,7 +478,7 @@ def code_bits(blocks: DataFrame, order: int, parts: int, hot: Hot) -> DataFrame:
     return blocks.mapInArrow(deal, dealt_schema).groupBy("part").applyInArrow(cost, schema)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 5, block_bytes: int = 3_000_000, part_bytes: int = 8_000_000) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 5, block_bytes: int = 3_000_000, part_bytes: int = 8_000_000, end_parts: float = END_PARTS) -> DataFrame:
     """One row per document: id, ``held_out``, token figures, add-one unigram ``base_score`` and the model's ``score``.
 
     Documents whose crc32(id as text) modulo 7 is 2 are held out of all training.
@@ -450,8 +489,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     """
     schema = T._parse_datatype_string("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     blocks = _in_blocks(docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")), block_bytes)
-    hot = Hot(blocks)
-    counts, common = word_counts(blocks, hot.words)
+    size = blocks.agg(F.sum(F.expr("aggregate(sizes, 0L, (a, n) -> a + n)"))).first()[0] or 0
+    parts = -(-size // part_bytes) or 1
+    word_parts = -(-parts // 4)
+    hot = Hot(blocks, parts, end_parts)
+    counts, common = word_counts(blocks, word_parts, hot.words)
     shared = blocks.sparkSession.sparkContext.broadcast(common)
     ends_schema = T._parse_datatype_string("n long")
 
@@ -460,29 +502,31 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
             yield pa.RecordBatch.from_arrays([pa.array([sum(not _held_out(i) for i in ids) for ids in batch.column(0).to_pylist()], pa.int64())], names=["n"])
 
     n_ends = blocks.select("ids").mapInArrow(ends, ends_schema).agg(F.sum("n")).first()[0] or 0
-    words, vocabulary = counts.agg(F.sum("n"), F.sum(F.when(F.col("first") & (F.col("c") > 0), 1))).first()
+    words, vocabulary = counts.agg(F.sum("n"), F.sum("vocabulary")).first()
     total = (words or 0) + sum(common.values()) + n_ends
     distinct = (vocabulary or 0) + sum(n > 0 for n in common.values()) + (n_ends > 0)
-    size = blocks.agg(F.sum(F.expr("aggregate(sizes, 0L, (a, n) -> a + n)"))).first()[0] or 0
-    parts = -(-size // part_bytes) or 1
     bits = code_bits(blocks, order, parts, hot)
-    # a block's rows beside its texts: the counts of its words and the code lengths of its codes
-    beside = counts.select("block", "idx", "c", F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("bits"))
-    beside = beside.unionByName(bits.select("block", F.lit(None).cast("int").alias("idx"), F.lit(None).cast("long").alias("c"), "part", "bits"))
+    # a block's rows beside its texts: the counts of its words and the code lengths of its codes, by part
+    beside = counts.select("block", F.lit(True).alias("words"), "part", F.col("counts").alias("data"))
+    beside = beside.unionByName(bits.select("block", F.lit(False).alias("words"), "part", F.col("bits").alias("data")))
     out = arrow_schema(schema)
 
     def of_block(texts: pa.Table, known: pa.Table) -> pa.Table:
-        words = known.filter(pc.is_valid(known.column("idx")))
         rest = np.log10(total + distinct + 1.0)
-        costed = known.filter(pc.is_valid(known.column("part"))).sort_by("part")
-        cost = np.concatenate([_unplanes(b, "<f4") for b in costed.column("bits").to_pylist()])
+        known = known.sort_by("part")
+        cost, word_count = (
+            np.concatenate([np.empty(0, kind), *[_unplanes(b, kind) for b in known.filter(pc.equal(known.column("words"), of_words)).column("data").to_pylist()]])
+            for of_words, kind in ((False, "<f4"), (True, "<u8"))
+        )
         columns: list[list] = [[] for _ in out]
         for ids, sizes, packed in zip(*[texts.column(c).to_pylist() for c in ("ids", "sizes", "texts")]):
             each = _texts(sizes, packed)
             place: dict = {}
             places = [np.array([place.setdefault(w, len(place)) for w in tokens_of(t)], np.int64) for t in each]
-            count = np.fromiter(map(shared.value.get, place, itertools.repeat(0)), np.int64, len(place))
-            count[words.column("idx").to_numpy()] = words.column("c").to_numpy()
+            count = np.fromiter(map(shared.value.get, place, itertools.repeat(-1)), np.int64, len(place))
+            rare = np.flatnonzero(count < 0)
+            listed = list(place)
+            count[rare[_words_dealt([listed[k] for k in rare.tolist()], word_parts)[0]]] = word_count
             gain = np.log10(count + 1.0)
             for i, at in zip(ids, places):
                 base = gain[at].sum() + np.log10(n_ends + 1.0) - (len(at) + 1) * rest
