@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.functions.columns import CALL, IMPACT, PATH, edge_weight
+from weftgraph.functions.columns import CALL, IMPACT, PATH, edge_weight, is_test_path
 from weftgraph.sources.tables import cut
 
 
@@ -122,24 +122,72 @@ def shortest_costs(edges: DataFrame, seeds: DataFrame, max_depth: int, kinds: tu
     return best
 
 
-def simple_paths(edges: DataFrame, pairs: DataFrame, max_depth: int, kinds: tuple[str, ...] | None = None) -> DataFrame:
-    """All cycle-free paths of at most ``max_depth`` hops between ``pairs (source_id, target_id)``.
+def _remaining(steps: DataFrame, pairs: DataFrame, max_depth: int) -> DataFrame:
+    """``target_id, node, hops, least``: the least cost from a node to each target within so many hops, for every number of hops where it falls."""
+    best = cut(pairs.select("target_id", F.col("target_id").alias("node"), F.lit(0).alias("hops"), F.lit(0.0).alias("least")).distinct(), "bounds")
+    hops = cut(steps.groupBy("s", "t").agg(F.min("hop.weight").alias("w")), "bounds")
+    parts, frontier, known = [best], best, best.select("target_id", "node", "least")
+    for depth in range(1, max_depth):
+        grown = frontier.join(hops, frontier.node == hops.t).groupBy("target_id", F.col("s").alias("node")).agg(F.min(F.col("least") + F.col("w")).alias("least"))
+        better = grown.join(known.withColumnRenamed("least", "__old"), ["target_id", "node"], "left").where("__old IS NULL OR least < __old")
+        frontier = cut(better.select("target_id", "node", F.lit(depth).alias("hops"), "least"), "bounds")
+        if frontier.isEmpty():
+            break
+        parts.append(frontier)
+        known = cut(known.unionByName(frontier.select(*known.columns)).groupBy("target_id", "node").agg(F.min("least").alias("least")), "bounds")
+    return cut(reduce(DataFrame.unionByName, parts), "bounds")
+
 
-    ``nodes`` and ``hops`` (struct kind, confidence, provenance, weight) of each path.
+def simple_paths(edges: DataFrame, pairs: DataFrame, max_depth: int, kinds: tuple[str, ...] | None = None, k: int | None = None, width: int = 64) -> DataFrame:
+    """Cycle-free paths of at most ``max_depth`` hops between ``pairs (source_id, target_id)``: all, or with ``k`` those that may be among the ``k`` cheapest of their pair.
+
+    ``nodes``, ``hops`` (struct kind, confidence, provenance, weight) and ``cost`` of each path.  A path
+    grows only where the target is within the hops that are left.  With ``k``, a first pass that keeps the
+    ``width`` cheapest open paths of a pair at each depth finds some ``k`` paths; the second one leaves open
+    paths whose cost and least remaining cost exceed the worst of those, which none of the ``k`` cheapest does.
     """
     hop = F.struct("kind", "confidence", "provenance", "weight")
     steps = cut(kinds_filter(edges, kinds, PATH).select(F.col("source").alias("s"), F.col("target").alias("t"), hop.alias("hop")), "steps")
-    now = pairs.select("source_id", "target_id", F.array("source_id").alias("nodes"), F.array().cast(f"array<{steps.schema['hop'].dataType.simpleString()}>").alias("hops"))
-    done = [now.where("source_id = target_id")]
-    now = cut(now.where("source_id <> target_id"), "paths")
-    for _ in range(max_depth):
-        grown = now.join(steps, F.element_at("nodes", -1) == F.col("s")).where(~F.array_contains("nodes", F.col("t")))
-        grown = cut(grown.select("source_id", "target_id", F.array_append("nodes", F.col("t")).alias("nodes"), F.array_append("hops", F.col("hop")).alias("hops")), "paths")
-        if grown.isEmpty():
-            break
-        done.append(grown.where(F.element_at("nodes", -1) == F.col("target_id")))
-        now = grown.where(F.element_at("nodes", -1) != F.col("target_id"))
-    return reduce(DataFrame.unionByName, done)
+    bounds = _remaining(steps, pairs, max_depth)
+    hops_type = f"array<{steps.schema['hop'].dataType.simpleString()}>"
+    start = pairs.select("source_id", "target_id", F.array("source_id").alias("nodes"), F.array().cast(hops_type).alias("hops"), F.lit(0.0).alias("cost")).distinct()
+    key = ["source_id", "target_id"]
+
+    def walk(worst: DataFrame | None, most: int | None) -> DataFrame:
+        done, now = [start.where("source_id = target_id")], start.where("source_id <> target_id")
+        for depth in range(1, max_depth + 1):
+            grown = now.join(steps, F.element_at("nodes", -1) == F.col("s")).where(~F.array_contains("nodes", F.col("t")))
+            left = bounds.where(F.col("hops") <= max_depth - depth).groupBy("target_id", F.col("node").alias("t")).agg(F.min("least").alias("least"))
+            grown = grown.join(left, ["target_id", "t"]).withColumn("cost", F.col("cost") + F.col("hop.weight"))
+            if worst is not None:
+                grown = grown.join(worst, key, "left").where(F.col("__worst").isNull() | (F.col("cost") + F.col("least") <= F.col("__worst") + 1e-9))
+            grown = grown.select(*key, F.array_append("nodes", F.col("t")).alias("nodes"), F.array_append("hops", F.col("hop")).alias("hops"), "cost", "least")
+            if most is not None:
+                order = Window.partitionBy(*key).orderBy(F.col("cost") + F.col("least"), "nodes", "hops")
+                grown = grown.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).drop("__n")
+            grown = cut(grown.drop("least"), "paths")
+            if grown.isEmpty():
+                break
+            done.append(grown.where(F.element_at("nodes", -1) == F.col("target_id")))
+            now = grown.where(F.element_at("nodes", -1) != F.col("target_id"))
+        return reduce(DataFrame.unionByName, done)
+
+    if k is None:
+        return walk(None, None)
+    some = walk(None, max(width, 2 * k)).withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy("cost")))
+    return walk(cut(some.where(F.col("__n") == k).select(*key, F.col("cost").alias("__worst")), "paths"), None)
+
+
+def production_edges(edges: DataFrame, nodes: DataFrame, penalty: float = 5.0) -> DataFrame:
+    """``weighted`` edges whose weight grows by ``penalty`` where they enter a test node, so paths prefer production code."""
+    tests = nodes.where(is_test_path(F.col("path"))).select(F.col("symbol_id").alias("target"), F.lit(penalty).alias("__more"))
+    dearer = edges.join(tests, "target", "left")
+    return dearer.select(*[(F.col("weight") + F.coalesce("__more", F.lit(0.0))).alias("weight") if c == "weight" else F.col(c) for c in edges.columns])
+
+
+def without_edges(edges: DataFrame, excluded: DataFrame) -> DataFrame:
+    """Edges but for those of ``excluded (source, target[, kind])``."""
+    return edges.join(excluded.distinct(), [c for c in ("source", "target", "kind") if c in excluded.columns], "left_anti")
 
 
 def path_scores(paths: DataFrame, degrees: DataFrame, penalties: DataFrame) -> DataFrame:
@@ -167,8 +215,8 @@ def path_scores(paths: DataFrame, degrees: DataFrame, penalties: DataFrame) -> D
 
 def ranked_paths(edges: DataFrame, pairs: DataFrame, max_depth: int, k: int, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """The ``k`` cheapest cycle-free paths of each pair: ``rank`` by cost, hops, nodes."""
-    paths = simple_paths(edges, pairs, max_depth, kinds)
-    cost = F.round(F.aggregate("hops", F.lit(0.0), lambda a, h: a + h["weight"]), 9)
+    paths = simple_paths(edges, pairs, max_depth, kinds, k)
+    cost = F.round("cost", 9)
     order = Window.partitionBy("source_id", "target_id").orderBy("cost", F.size("nodes"), "nodes", "hops")
     return paths.withColumn("cost", cost).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,23 +76,66 @@ def prune(rows: DataFrame, keep: int, *order: Column) -> DataFrame:
 
 
 def greedy_chunks(rows: DataFrame, key: str, weight: str, budget: int) -> DataFrame:
-    """Rows with a ``chunk`` so that chunks of consecutive keys weigh about ``budget``.
+    """Rows with the ``chunk`` that a greedy pass in ``key`` order puts them in: a chunk ends before the row that would pass ``budget``.
 
-    A prefix sum in two levels: within range partitions of the key, and over one row
-    per partition.
+    A row heavier than the budget is a chunk of its own; null weights count as zero; keys are unique.
+    Rows are range-partitioned.  What a partition does depends on the weight that the last chunk before it
+    has: each partition tells, for every row at which that chunk may end, how many chunks follow and what
+    is left at its end (as many rows as a chunk has).  The driver strings these together, a second pass numbers the rows.
     """
-    placed = cut(rows.repartitionByRange(key).withColumn("__p", F.spark_partition_id()), "chunks")
-    ahead = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    sums = placed.groupBy("__p").agg(F.sum(weight).alias("s")).select("__p", F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("__ahead"))
-    inside = Window.partitionBy("__p").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    total = F.col("__ahead") + F.coalesce(F.sum(weight).over(inside), F.lit(0))
-    return placed.join(sums, "__p").select(*rows.columns, F.floor(total / budget).alias("chunk"))
-
-
-def fixed_point(seed: DataFrame, plan: Callable[[DataFrame], DataFrame], keys: list[str], max_rounds: int = 20) -> DataFrame:
-    """Close ``seed`` under ``plan``, which gives the additions of the newest rows; ends when nothing is new or at the bound."""
+    placed = cut(rows.withColumn("__w", F.coalesce(F.col(weight), F.lit(0)).cast("long")).repartitionByRange(key).withColumn("__p", F.spark_partition_id()), "chunks")
+
+    def starts(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums before each row, and for each row where the chunk after the one that starts there starts."""
+        before = np.concatenate([[0], np.cumsum(w)])
+        return before, np.maximum(np.searchsorted(before, before[:-1] + budget, "right") - 1, np.arange(1, len(w) + 1))
+
+    def tell(pdf: pd.DataFrame) -> pd.DataFrame:
+        w = pdf.sort_values(key)["__w"].to_numpy()
+        before, following = starts(w)
+        n = len(w)
+        count, last = np.zeros(n + 1, np.int64), np.full(n + 1, -1, np.int64)
+        for k in range(n - 1, -1, -1):
+            f = following[k]
+            count[k], last[k] = count[f] + 1, last[f] if f < n else k
+        some = int(np.searchsorted(before, budget, "right"))  # the chunk before may end at rows 0 to some - 1, or 1 if nothing is before
+        k = np.arange(min(max(some, 2), n + 1))
+        left = np.where(last[k] >= 0, before[n] - before[last[k]], 0)
+        return pd.DataFrame({"p": pdf["__p"].iloc[0], "row": k, "before": before[k], "count": count[k], "rest": left, "total": before[n], "rows": n})
+
+    told = placed.select(key, "__w", "__p").groupBy("__p").applyInPandas(tell, "p int, row long, before long, count long, rest long, total long, rows long").toPandas()
+    held, chunk, opening = None, 0, []
+    for p, table in told.sort_values(["p", "row"]).groupby("p"):
+        fits = table[table["before"] <= budget - (held or 0)] if held is None or held <= budget else table.iloc[:0]
+        end = int(fits["row"].max()) if len(fits) else 0
+        end = max(end, 1) if held is None else end
+        opening.append((int(p), end, chunk))
+        row = table[table["row"] == end].iloc[0]
+        if end == row["rows"]:
+            held = (held or 0) + int(row["total"])
+        else:
+            chunk, held = chunk + int(row["count"]), int(row["rest"])
+    known = {p: (end, first) for p, end, first in opening}
+
+    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key)
+        end, first = known[int(pdf["__p"].iloc[0])]
+        _, following = starts(pdf["__w"].to_numpy())
+        new = np.zeros(len(pdf), np.int64)
+        while end < len(pdf):
+            new[end] = 1
+            end = following[end]
+        return pd.DataFrame({key: pdf[key], "chunk": first + np.cumsum(new)})
+
+    kind = rows.schema[key].dataType.simpleString()
+    numbered = placed.select(key, "__w", "__p").groupBy("__p").applyInPandas(number, f"`{key}` {kind}, chunk long")
+    return rows.join(numbered, key).select(*rows.columns, "chunk")
+
+
+def fixed_point(seed: DataFrame, plan: Callable[[DataFrame], DataFrame], keys: list[str], max_rounds: int | None = None) -> DataFrame:
+    """Close ``seed`` under ``plan``, which gives the additions of the newest rows; ends when nothing is new, or after ``max_rounds`` where the caller sets them."""
     known = new = cut(seed.select(*keys).distinct(), "closure")
-    for _ in range(max_rounds):
+    for _ in itertools.count() if max_rounds is None else range(max_rounds):
         new = cut(plan(new).select(*keys).distinct().join(known, keys, "left_anti"), "closure")
         if new.isEmpty():
             break

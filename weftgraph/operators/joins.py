@@ -1,7 +1,7 @@
 """Joins that Spark has no operator for: containment, as-of, scope chain, fuzzy, import and path joins.
 
 Every one has an equi-join key, so none is a cross join: ranges are blocked by
-file (and byte bucket), names by trigram, scopes by their ancestor closure.
+file (and byte bucket), names by pieces, scopes by their ancestor closure.
 """
 
 from __future__ import annotations
@@ -23,12 +23,30 @@ def innermost(points: DataFrame, ranges: DataFrame, by: list[str], pos: str = "p
     span, then the order of the range's other columns.
     """
     spread = ranges.withColumn("__b", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket))))
-    placed = points.withColumn("__b", F.floor(F.col(pos) / bucket))
+    # equal points are looked up once and come back as often as they were
+    placed = points.groupBy(*points.columns).agg(F.count("*").cast("int").alias("__m")).withColumn("__b", F.floor(F.col(pos) / bucket))
     own = [c for c in ranges.columns if c not in by]
     joined = placed.join(spread, [*by, "__b"]).where(F.col(pos).between(F.col(start), F.col(end)))
     choice = F.struct(priority if priority is not None else F.lit(0), F.col(end) - F.col(start), *own)
-    best = joined.groupBy(*points.columns).agg(F.min_by(F.struct(*own), choice).alias("__r"))
-    return best.select(*points.columns, "__r.*")
+    best = joined.groupBy(*points.columns, "__m").agg(F.min_by(F.struct(*own), choice).alias("__r"))
+    return best.withColumn("__m", F.explode(F.array_repeat(F.lit(0), F.col("__m")))).select(*points.columns, "__r.*")
+
+
+#: Most keys that :func:`spread_join` broadcasts.
+HOT_KEYS = 50_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, by: str | list[str], total: int, n: str = "n") -> DataFrame:
+    """``left`` joined with ``right``, which has a row for each key with the number of its rows in ``left`` (column ``n``, left out).
+
+    Keys of over ``total / HOT_KEYS`` rows (256 at least) would gather in a task: there are
+    ``HOT_KEYS`` of them at most, so they are broadcast and their rows stay where they are.
+    """
+    keys = [by] if isinstance(by, str) else by
+    most = max(256, -(-total // HOT_KEYS))
+    hot = F.broadcast(right.where(F.col(n) > most).drop(n))
+    rest = left.join(hot.select(*keys), keys, "left_anti").join(right.where(F.col(n) <= most).drop(n), keys)
+    return left.join(hot, keys).unionByName(rest)
 
 
 def overlapping(left: DataFrame, right: DataFrame, by: list[str], bucket: int = 1024) -> DataFrame:
@@ -70,17 +88,18 @@ def asof(uses: DataFrame, bindings: DataFrame, by: list[str], at: str = "pos", s
     return seen.select(*by, "__use.*", *[F.col("__last")[c].alias(c) for c in own])
 
 
-def scope_closure(scopes: DataFrame, max_depth: int = 64) -> DataFrame:
-    """``scope_id, ancestor, depth``: every scope with itself and its ancestors; a cycle stops at the first repeat."""
+def scope_closure(scopes: DataFrame) -> DataFrame:
+    """``scope_id, ancestor, depth``: every scope with itself and all its ancestors, however deep; a cycle ends where it repeats."""
     level = scopes.select("scope_id", F.col("scope_id").alias("ancestor"), F.lit(0).alias("depth"), "parent_id")
-    levels, parents = [level], scopes.select(F.col("scope_id").alias("p"), F.col("parent_id").alias("pp"))
-    for depth in range(1, max_depth):
+    parents = scopes.select(F.col("scope_id").alias("p"), F.col("parent_id").alias("pp"))
+    known, depth = cut(level.drop("parent_id"), "scopes"), 0
+    while True:
+        depth += 1
         level = level.where("parent_id IS NOT NULL").join(parents, F.col("parent_id") == F.col("p")).select("scope_id", F.col("p").alias("ancestor"), F.lit(depth).alias("depth"), F.col("pp").alias("parent_id"))
-        level = cut(level.where("ancestor <> scope_id"), "scopes")
+        level = cut(level.join(known.select("scope_id", "ancestor"), ["scope_id", "ancestor"], "left_anti").distinct(), "scopes")
         if level.isEmpty():
-            break
-        levels.append(level)
-    return reduce(DataFrame.unionByName, levels).groupBy("scope_id", "ancestor").agg(F.min("depth").alias("depth"))
+            return known.groupBy("scope_id", "ancestor").agg(F.min("depth").alias("depth"))
+        known = cut(known.unionByName(level.drop("parent_id")), "scopes")
 
 
 def lookup_in_scopes(uses: DataFrame, declarations: DataFrame, closure: DataFrame) -> DataFrame:
@@ -98,20 +117,138 @@ def trigrams(name: Column) -> Column:
     return F.when(F.length(low) < 3, F.array(low)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, 3))))
 
 
-def fuzzy_names(queries: DataFrame, names: DataFrame, max_distance: int = 2, most: int = 20) -> DataFrame:
-    """``query, name, distance``: close names of each query, nearest first, at most ``most``.
+def piece_keys(low: Column, size: Column, pieces: int, shifts: int) -> Column:
+    """Keys of ``pieces`` equal parts of a name of ``size`` characters, cut out of ``low`` at up to ``shifts`` places beside their own."""
+    keys = []
+    for i in range(pieces):
+        at, end = F.floor(size * i / pieces), F.floor(size * (i + 1) / pieces)
+        for shift in range(-shifts, shifts + 1):
+            place = at + shift
+            fits = (place >= 0) & (place + end - at <= F.length(low))
+            keys.append(F.when(fits, F.concat_ws(":", size.cast("string"), F.lit(str(i)), low.substr((place + 1).cast("int"), (end - at).cast("int")))))
+    return F.array_distinct(F.array_compact(F.array(*keys)))
+
 
-    Distinct names are blocked by shared trigram and byte-length band before the
-    bounded distance is taken; names shorter than three characters meet all names
-    of the band only through a shared name.
+def fuzzy_names(queries: DataFrame, names: DataFrame, max_distance: int = 2, most: int = 20, shared_trigram: bool = False) -> DataFrame:
+    """``query, name, distance``: all names within ``max_distance`` edits of each query, ignoring case, nearest first, at most ``most``.
+
+    Of a name in ``max_distance + 1`` pieces, so many edits leave one piece as it is, moved by as many
+    places at most: names enter by their pieces, queries by what stands there for each length that a
+    match may have.  No pair is lost, however short.  ``shared_trigram`` also asks for a common trigram
+    of names of three characters and more.
     """
-    side = lambda df, c: df.select(F.col(c).alias(c)).where(F.col(c).isNotNull()).distinct().withColumn("g", F.explode(trigrams(F.col(c))))
-    pairs = side(queries, "query").join(side(names, "name"), "g").where(F.abs(F.octet_length("query") - F.octet_length("name")) <= max_distance).select("query", "name").distinct()
-    near = pairs.withColumn("distance", F.levenshtein(F.lower("query"), F.lower("name"), max_distance)).where("distance >= 0")
+    k = max_distance
+    side = lambda df, c: df.select(F.col(c).alias(c)).where(F.col(c).isNotNull()).distinct()
+    low_q, low_n = F.lower("query"), F.lower("name")
+    asked = side(queries, "query").withColumn("__l", F.explode(F.sequence(F.greatest(F.lit(0), F.length("query") - k), F.length("query") + k)))
+    asked = asked.select("query", F.explode(piece_keys(low_q, F.col("__l"), k + 1, k)).alias("g"))
+    given = side(names, "name").select("name", F.explode(piece_keys(low_n, F.length("name"), k + 1, 0)).alias("g"))
+    pairs = asked.join(given, "g").select("query", "name").distinct()
+    near = pairs.withColumn("distance", F.levenshtein(low_q, low_n, k)).where("distance >= 0")
+    if shared_trigram:
+        near = near.where((F.length("query") < 3) | (F.length("name") < 3) | F.arrays_overlap(trigrams(F.col("query")), trigrams(F.col("name"))))
     order = Window.partitionBy("query").orderBy("distance", "name")
     return near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).drop("n")
 
 
+def fuzzy_nearby(queries: DataFrame, names: DataFrame, max_distance: int = 2, most: int = 20) -> DataFrame:
+    """``query, folder, name, name_folder, distance, nearby``: close names in the same, an enclosing or an inner folder; all of them where there is none.
+
+    ``queries (query, folder)``, ``names (name, folder)``; nearest first, at most ``most`` of a query.
+    """
+    near = fuzzy_names(queries, names, max_distance, 1 << 30)
+    asked = queries.select("query", "folder").dropna().distinct()
+    pairs = asked.join(near, "query").join(names.select("name", F.col("folder").alias("name_folder")).dropna().distinct(), "name")
+    inside = lambda a, b: (F.col(a) == F.col(b)) | F.col(a).startswith(F.concat(F.col(b), F.lit("/"))) | (F.col(b) == "")
+    pairs = pairs.withColumn("nearby", inside("folder", "name_folder") | inside("name_folder", "folder"))
+    key = Window.partitionBy("query", "folder")
+    pairs = pairs.withColumn("__any", F.max("nearby").over(key)).where(F.col("nearby") == F.col("__any")).drop("__any")
+    order = key.orderBy("distance", "name", "name_folder")
+    return pairs.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).drop("__n")
+
+
+def enclosing_definition(decorations: DataFrame, symbols: DataFrame, kinds: tuple[str, ...] = ("function", "method", "class")) -> DataFrame:
+    """Each decoration with the tightest definition around it: ``decorations (file_id, pos, …)``, ``symbols (file_id, symbol_id, kind, start_byte, end_byte, …)``."""
+    some = symbols.where(F.col("kind").isin(*kinds)).select("file_id", "symbol_id", "start_byte", "end_byte")
+    return innermost(decorations, some, ["file_id"])
+
+
+def decorator_edges(decorations: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``source, target, kind, confidence, provenance``: the decorator registers the definition that it stands on."""
+    held = enclosing_definition(decorations, symbols).where("symbol_id <> decorator")
+    return held.select(F.col("decorator").alias("source"), F.col("symbol_id").alias("target"), F.lit("registers_callback").alias("kind"), F.lit(0.75).alias("confidence"), F.lit("heuristic").alias("provenance")).distinct()
+
+
+def decorated_symbols(decorations: DataFrame, symbols: DataFrame, name: str, kind: str | None = None, language: str | None = None, kinds: tuple[str, ...] = ("function", "method", "class")) -> DataFrame:
+    """``symbol_id`` of the definitions under a decorator of ``name`` (a leading ``@`` is left out): the ``@name`` search."""
+    asked = decorations.where(F.col("name") == name.removeprefix("@")).select("file_id", "pos")
+    found = enclosing_definition(asked, symbols, kinds).select("symbol_id").distinct()
+    out = symbols.join(found, "symbol_id", "left_semi")
+    out = out if kind is None else out.where(F.col("kind") == kind)
+    return (out if language is None else out.where(F.col("language") == language)).select("symbol_id")
+
+
+def extended_ranges(symbols: DataFrame, decorations: DataFrame, gap: int = 0) -> DataFrame:
+    """``symbols`` whose ``start_byte`` is moved to the first of the decorations right before them: ``decorations (symbol_id, start_byte)``."""
+    first = decorations.groupBy("symbol_id").agg(F.min("start_byte").alias("__first"))
+    return symbols.join(first, "symbol_id", "left").select(*[F.least("start_byte", F.col("__first") - gap).alias(c) if c == "start_byte" else F.col(c) for c in symbols.columns])
+
+
+def call_results(results: DataFrame, calls: DataFrame, returns: DataFrame) -> DataFrame:
+    """``source, target, call_id``: what a callee returns flows to the result of its call.
+
+    ``results (node_id, call_id)``, ``calls (call_id, callee)``, ``returns (node_id, function_id)``.
+    """
+    called = results.select(F.col("node_id").alias("target"), "call_id").join(calls, "call_id")
+    back = returns.select(F.col("node_id").alias("source"), F.col("function_id").alias("callee"))
+    return called.join(back, "callee").select("source", "target", "call_id").distinct()
+
+
+def function_pointers(targets: DataFrame, flow: DataFrame, nodes: DataFrame, functions: DataFrame, max_depth: int = 4) -> DataFrame:
+    """``node_id, symbol_id, depth``: the function of the same file that a call target's value names, the nearest one back along assignments.
+
+    ``targets (node_id)``, ``flow (source, target, kind)`` of kinds assign, read, field_load and phi,
+    ``nodes (node_id, file_id, name)``, ``functions (symbol_id, file_id, name)``; ties go to the least id.
+    """
+    back = cut(flow.where(F.col("kind").isin("assign", "read", "field_load", "phi")).select(F.col("target").alias("t"), F.col("source").alias("s")).distinct(), "pointers")
+    named = nodes.join(functions, ["file_id", "name"]).select(F.col("node_id").alias("at"), "symbol_id")
+    level = cut(targets.select("node_id", F.col("node_id").alias("at")).distinct(), "pointers")
+    seen, found = level, []
+    for depth in range(1, max_depth + 1):
+        level = cut(level.join(back, F.col("at") == F.col("t")).select("node_id", F.col("s").alias("at")).distinct().join(seen, ["node_id", "at"], "left_anti"), "pointers")
+        if level.isEmpty():
+            break
+        found.append(level.join(named, "at").select("node_id", "symbol_id", F.lit(depth).alias("depth")))
+        seen = cut(seen.unionByName(level), "pointers")
+    if not found:
+        return targets.join(functions.select("symbol_id"), F.lit(False)).select("node_id", "symbol_id", F.lit(0).alias("depth"))
+    return reduce(DataFrame.unionByName, found).groupBy("node_id").agg(F.min(F.struct("depth", "symbol_id")).alias("m")).select("node_id", "m.symbol_id", "m.depth")
+
+
+def state_channels(readers: DataFrame, writers: DataFrame) -> DataFrame:
+    """``source, target, key``: what is written under a shared-state key reaches the fields linked to it, keys compared without quotes and blanks.
+
+    ``readers (node_id, key)``, ``writers (node_id, key)``.
+    """
+    key = F.regexp_replace(F.trim("key"), "^['\"`]|['\"`]$", "")
+    left = readers.select(F.col("node_id").alias("target"), key.alias("key")).where("key <> ''").distinct()
+    return left.join(writers.select(F.col("node_id").alias("source"), key.alias("key")).distinct(), "key").select("source", "target", "key")
+
+
+def observed_calls(observations: DataFrame, references: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``reference_id, symbol_id``: calls that a compiler saw, tied to the reference at the same place and the symbol declared at the named one.
+
+    ``observations (path, start_byte, end_byte, callee_path, callee_start)``, ``references (reference_id, path,
+    start_byte, end_byte, kind)``, ``symbols (symbol_id, path, start_byte)``.  Places with several references or
+    symbols, and references with several answers, are left out.
+    """
+    place = ["path", "start_byte", "end_byte"]
+    single = references.where("kind = 'call'").groupBy(*place).agg(F.min("reference_id").alias("reference_id"), F.count("*").alias("n")).where("n = 1").drop("n")
+    declared = symbols.groupBy(F.col("path").alias("callee_path"), F.col("start_byte").alias("callee_start")).agg(F.min("symbol_id").alias("symbol_id"), F.count("*").alias("n")).where("n = 1").drop("n")
+    hit = observations.join(single, place).join(declared, ["callee_path", "callee_start"]).select("reference_id", "symbol_id").distinct()
+    return hit.groupBy("reference_id").agg(F.min("symbol_id").alias("symbol_id"), F.count("*").alias("n")).where("n = 1").drop("n")
+
+
 def place_columns(path: Column) -> dict[str, Column]:
     """Folder and top folder of a path."""
     return {"folder": F.regexp_replace(path, "/[^/]*$", ""), "top": F.substring_index(path, "/", 1)}

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.columns import is_test_path, name_similarity
-from weftgraph.operators.joins import fuzzy_names, nearest_by_key, place_columns
+from weftgraph.operators.joins import fuzzy_names, nearest_by_key, place_columns, spread_join
 from weftgraph.sources.tables import cut
 
 CALLABLE = ("function", "method", "constructor", "class", "struct", "interface", "trait", "variable")
@@ -74,7 +74,12 @@ def resolve(references: DataFrame, symbols: DataFrame, imports: DataFrame | None
         choice = F.when(F.col("kind") == "call", F.when(tested, "call").otherwise("main_call")).otherwise(F.when(tested, "any").otherwise("main"))
         left = todo.select("reference_id", key.alias("k"), choice.alias("choice"), *[c.alias(n) for n, c in place_columns(F.col("path")).items()])
         right = own.select("symbol_id", key.alias("k"), "folder", "top", "callable", "test")
-        settle(nearest_by_key(left, right, choices, F.col("choice")), F.lit(confidence), "exact_name")
+        # each name and place is looked up once; a common one's references stay spread when the answer comes back
+        place = ["k", "choice", "folder", "top"]
+        left = cut(left, "refs")
+        asked = cut(left.groupBy(*place).agg(F.count("*").alias("n")), "places")
+        answers = nearest_by_key(asked, right, choices, F.col("choice")).select(*place, "n", "symbol_id")
+        settle(spread_join(left, cut(answers, "answers"), place, left.count()), F.lit(confidence), "exact_name")
     left = fuzzy_eligible(todo).withColumn("tested", is_test_path(F.col("path")))
     near = fuzzy_names(left.select(F.col("name").alias("query")), own.select("name"))
     near = near.withColumn("similarity", name_similarity(F.col("query"), F.col("name"))).where(F.col("similarity") >= min_similarity)

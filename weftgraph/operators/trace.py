@@ -12,7 +12,7 @@ from weftgraph.operators.graph import kinds_filter
 from weftgraph.sources.tables import cut
 
 
-def parameter_summaries(nodes: DataFrame, edges: DataFrame, max_rounds: int = 32) -> DataFrame:
+def parameter_summaries(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``parameter, sink, sink_kind, confidence``: return, call-argument and field nodes that each parameter reaches in its function.
 
     ``nodes (node_id, function_id, kind)``, ``edges (source, target)``; confidence
@@ -22,7 +22,7 @@ def parameter_summaries(nodes: DataFrame, edges: DataFrame, max_rounds: int = 32
     inside = cut(inside.select(F.col("source").alias("s"), "target", "kind").distinct(), "flow")
     seen = frontier = cut(nodes.where("kind = 'parameter'").select(F.col("node_id").alias("parameter"), F.col("node_id").alias("at"), F.lit("parameter").alias("kind")), "reach")
     parts = [seen]
-    for _ in range(max_rounds):
+    while True:
         step = frontier.select("parameter", "at").join(inside, F.col("at") == F.col("s")).select("parameter", F.col("target").alias("at"), "kind").distinct()
         for part in parts:
             step = step.join(part.select("parameter", "at"), ["parameter", "at"], "left_anti")

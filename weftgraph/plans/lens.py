@@ -24,7 +24,7 @@ FROM part CROSS JOIN (SELECT count(*) AS n_sup FROM supplier) c JOIN cg_files f
 SELECT source, target, kind, max(confidence) AS confidence, max(provenance) AS provenance FROM (
  SELECT l_partkey AS source, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS target,
   CASE l_returnflag WHEN 'A' THEN 'calls' WHEN 'N' THEN 'references' ELSE 'instantiates' END AS kind, 1.0 - l_discount AS confidence,
-  CASE l_linestatus WHEN 'O' THEN 'tree_sitter' ELSE 'heuristic' END AS provenance FROM lineitem WHERE l_orderkey % 10 = 0) t
+  CASE l_linestatus WHEN 'O' THEN 'tree_sitter' ELSE 'heuristic' END AS provenance FROM lineitem) t
 WHERE target IS NOT NULL AND source <> target GROUP BY source, target, kind""",
     "cg_refs": """
 SELECT o_orderkey AS reference_id, o_orderkey % n_sup AS file_id, s.name AS name, CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'call' WHEN '2' THEN 'instantiation' WHEN '3' THEN 'inheritance' WHEN '4' THEN 'type' ELSE 'call' END AS kind,
@@ -47,7 +47,7 @@ SELECT d.doc_id AS file_id, CASE WHEN l.doc_id IS NULL THEN 'manifest' WHEN l.to
  CASE WHEN l.doc_id IS NULL THEN 1 WHEN l.toxic = 1 THEN 23 ELSE 3 END AS mask, CASE WHEN l.quality = 0 THEN 'stale' ELSE 'fresh' END AS status, d.source AS scope
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "cg_resolutions": """
-SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS reference_id, l_partkey AS target, CASE WHEN l_linestatus = 'O' THEN true ELSE false END AS is_visible, l_suppkey AS closure_id, 1.0 - l_discount AS confidence FROM lineitem WHERE l_orderkey % 5 = 0""",
+SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS reference_id, l_partkey AS target, CASE WHEN l_linestatus = 'O' THEN true ELSE false END AS is_visible, l_suppkey AS closure_id, 1.0 - l_discount AS confidence FROM lineitem""",
 }
 
 #: What each view reads, so an oracle inlines only what it needs.

@@ -95,15 +95,15 @@ def canonical_places(x):
 
 @query(
     "cg_files",
-    """SELECT i.file_id * 1000 + t.file_id AS import_id, t.file_id FROM cg_files i JOIN cg_files t ON i.file_id % 10 = t.file_id % 10 AND split_part(i.path, '/', 1) = split_part(t.path, '/', 1)
-WHERE NOT contains(i.path, '/tests/') AND NOT contains(t.path, '/tests/') AND i.file_id < 100 AND t.file_id < 100""",
+    """SELECT i.file_id * 1000000 + t.file_id AS import_id, t.file_id FROM cg_files i JOIN cg_files t ON i.file_id % 10 = t.file_id % 10 AND split_part(i.path, '/', 1) = split_part(t.path, '/', 1)
+WHERE NOT contains(i.path, '/tests/') AND NOT contains(t.path, '/tests/')""",
 )
 def relative_imports(x):
-    left = x.files.where("file_id < 100").select("file_id", F.col("path").alias("importer_path"), (F.col("file_id") % 10).alias("k"))
-    right = x.files.where("file_id < 100").select(F.col("file_id").alias("t"), F.substring_index("path", "/", -2).alias("tail"), (F.col("file_id") % 10).alias("k"))
+    left = x.files.select("file_id", F.col("path").alias("importer_path"), (F.col("file_id") % 10).alias("k"))
+    right = x.files.select(F.col("file_id").alias("t"), F.substring_index("path", "/", -2).alias("tail"), (F.col("file_id") % 10).alias("k"))
     pairs = left.join(right, "k").where(~F.col("tail").startswith("tests/"))
     # named from the importer's nation folder, so only targets of its region are there
-    imports = pairs.select((F.col("file_id") * 1000 + F.col("t")).alias("import_id"), "importer_path", F.concat(F.lit("./../"), F.col("tail")).alias("module"))
+    imports = pairs.select((F.col("file_id") * 1000000 + F.col("t")).alias("import_id"), "importer_path", F.concat(F.lit("./../"), F.col("tail")).alias("module"))
     return joins.relative_modules(imports, x.files.select("file_id", "path")).select("import_id", "file_id")
 
 
@@ -132,9 +132,16 @@ def resolved_scopes(x):
     return incremental.resolved_scopes(x.state.select("scope", "file_id"), x.state.where("mask >= 3"), fingerprints, "now")
 
 
-@query("", "SELECT c_custkey, CAST((SELECT sum(c_nationkey) FROM customer b WHERE b.c_custkey < a.c_custkey) AS BIGINT) // 500 AS chunk FROM customer a WHERE c_custkey > 0 UNION ALL SELECT 0, 0")
+@query(
+    "",
+    """WITH o AS (SELECT row_number() OVER (ORDER BY c_custkey) AS rn, c_custkey, c_nationkey * 30 AS w FROM customer),
+g AS (SELECT rn, c_custkey, w AS held, CAST(0 AS BIGINT) AS chunk FROM o WHERE rn = 1
+ UNION ALL SELECT o.rn, o.c_custkey, CASE WHEN held + w > 500 THEN w ELSE held + w END, chunk + CASE WHEN held + w > 500 THEN 1 ELSE 0 END FROM g JOIN o ON o.rn = g.rn + 1)
+SELECT c_custkey, chunk FROM g""",
+    recursive=True,
+)
 def weight_chunks(x):
-    chunks = incremental.greedy_chunks(x.table("customer").select("c_custkey", "c_nationkey"), "c_custkey", "c_nationkey", 500)
+    chunks = incremental.greedy_chunks(x.table("customer").select("c_custkey", (F.col("c_nationkey") * 30).alias("w")), "c_custkey", "w", 500)
     return chunks.select("c_custkey", "chunk")
 
 
@@ -225,7 +232,16 @@ def cfg_lifecycle(x):
     return semantic.cfg_lifecycle(nodes, flow)
 
 
-@query()
+@query(
+    "cg_edges",
+    """WITH f AS (SELECT source AS s, target AS t, CASE kind WHEN 'calls' THEN 'arg' WHEN 'instantiates' THEN 'ret' ELSE 'assign' END AS k, CAST(source % 2 AS VARCHAR) AS c FROM cg_edges),
+w AS (SELECT sink, sink AS node, 0 AS step, CAST([] AS VARCHAR[]) AS st FROM (SELECT unnest([0, 1, 2, 3]) AS sink) x
+ UNION SELECT sink, s, step + 1, CASE WHEN k = 'ret' THEN list_append(st, c)[-3:] WHEN k = 'arg' AND len(st) > 0 THEN st[:len(st) - 1] ELSE st END
+ FROM w JOIN f ON f.t = node WHERE step < 4 AND (k <> 'arg' OR len(st) = 0 OR st[-1] = c))
+SELECT sink, node, min(step) AS step FROM w GROUP BY sink, node""",
+    recursive=True,
+)
 def context_slices(x):
-    flow = x.edges.select("source", "target", F.when(F.col("kind") == "calls", "arg_to_param").when(F.col("kind") == "instantiates", "return_to_call").otherwise("assign").alias("kind"), (F.col("source") % 7).cast("string").alias("call_id"))
-    return trace.context_slices(_seeds(x, 15).select(F.col("symbol_id").alias("sink")), flow, 6, 4)
+    flow = x.edges.select("source", "target", F.when(F.col("kind") == "calls", "arg_to_param").when(F.col("kind") == "instantiates", "return_to_call").otherwise("assign").alias("kind"), (F.col("source") % 2).cast("string").alias("call_id"))
+    sinks = x.spark.createDataFrame([(k,) for k in range(4)], "sink long")
+    return trace.context_slices(sinks, flow, 4, 3)

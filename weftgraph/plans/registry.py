@@ -206,11 +206,15 @@ def resolve_proximity(x):
 
 @query(
     "cg_files cg_symbols",
-    """SELECT a AS query, b AS name, levenshtein(lower(a), lower(b)) AS distance FROM (SELECT DISTINCT substring(name, 2, 100) AS a FROM cg_symbols) q JOIN (SELECT DISTINCT name AS b FROM cg_symbols) n
- ON levenshtein(lower(a), lower(b)) <= 2 AND abs(strlen(a) - strlen(b)) <= 2""",
+    """SELECT query, name, distance FROM (SELECT a AS query, b AS name, levenshtein(lower(a), lower(b)) AS distance, row_number() OVER (PARTITION BY a ORDER BY levenshtein(lower(a), lower(b)), b) AS n
+ FROM (SELECT DISTINCT substring(name, 2, 100) AS a FROM cg_symbols UNION SELECT DISTINCT event_type FROM events UNION SELECT DISTINCT substring(n_name, 1, 4) FROM nation) q
+ JOIN (SELECT DISTINCT name AS b FROM cg_symbols UNION SELECT DISTINCT substring(n_name, 2, 3) FROM nation UNION SELECT DISTINCT substring(r_name, 1, 5) FROM region UNION SELECT n_name FROM nation) n ON levenshtein(lower(a), lower(b)) <= 2) x WHERE n <= 20""",
 )
 def fuzzy_names(x):
-    return joins.fuzzy_names(x.symbols.select(F.substring("name", 2, 100).alias("query")), x.symbols.select("name")).select("query", "name", "distance")
+    nations, regions, events = x.table("nation"), x.table("region"), x.table("events")
+    queries = x.symbols.select(F.substring("name", 2, 100).alias("query")).unionByName(events.select(F.col("event_type").alias("query"))).unionByName(nations.select(F.substring("n_name", 1, 4).alias("query")))
+    names = x.symbols.select("name").unionByName(nations.select(F.substring("n_name", 2, 3).alias("name"))).unionByName(regions.select(F.substring("r_name", 1, 5).alias("name"))).unionByName(nations.select(F.col("n_name").alias("name")))
+    return joins.fuzzy_names(queries, names).select("query", "name", "distance")
 
 
 @query("cg_imports", "SELECT module, count(DISTINCT file_id) AS n FROM cg_imports WHERE module <> '' GROUP BY module")
@@ -229,11 +233,11 @@ def callback_edges(x):
 
 @query(
     "cg_files cg_symbols",
-    "SELECT e.l_orderkey * 100 + e.n AS callsite_id, e.l_partkey AS argument, p.symbol_id AS parameter FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem WHERE l_orderkey % 50 = 0) e JOIN (SELECT symbol_id, row_number() OVER (PARTITION BY file_id ORDER BY start_byte) - 1 AS i, file_id FROM cg_symbols) p ON p.file_id = e.l_orderkey % 10 AND p.i = 0",
+    "SELECT e.l_orderkey * 100 + e.n AS callsite_id, e.l_partkey AS argument, p.symbol_id AS parameter FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem) e JOIN (SELECT symbol_id, row_number() OVER (PARTITION BY file_id ORDER BY start_byte) - 1 AS i, file_id FROM cg_symbols) p ON p.file_id = e.l_orderkey % 10 AND p.i = 0",
 )
 def arguments_to_parameters(x):
     order = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_extendedprice")
-    calls = x.table("lineitem").where("l_orderkey % 50 = 0").withColumn("n", F.row_number().over(order)).select((F.col("l_orderkey") * 100 + F.col("n")).alias("callsite_id"), (F.col("l_orderkey") % 10).alias("callee"), F.array("l_partkey").alias("args"))
+    calls = x.table("lineitem").withColumn("n", F.row_number().over(order)).select((F.col("l_orderkey") * 100 + F.col("n")).alias("callsite_id"), (F.col("l_orderkey") % 10).alias("callee"), F.array("l_partkey").alias("args"))
     params = x.symbols.select(F.col("file_id").alias("function_id"), F.col("symbol_id").alias("node_id"), F.lit(None).cast("int").alias("arg_index"), "start_byte")
     return joins.arguments_to_parameters(calls, params).select("callsite_id", "argument", "parameter")
 
@@ -468,15 +472,15 @@ def edges_derived(x):
 
 @query(
     "cg_edges",
-    """SELECT i.source, i.target, i.kind, CASE WHEN fan > 2 THEN 'candidate' WHEN o.source IS NULL THEN CASE WHEN i.confidence >= 0.95 THEN 'canonical' ELSE 'candidate' END WHEN o.confidence >= 0.95 THEN 'keep' ELSE 'replace' END AS decision
-FROM (SELECT source, target, kind, confidence FROM cg_edges WHERE target % 2 = 0) i JOIN (SELECT source, kind, count(DISTINCT target) AS fan FROM cg_edges WHERE target % 2 = 0 GROUP BY 1, 2) f ON i.source = f.source AND i.kind = f.kind
-LEFT JOIN (SELECT source, target, kind, confidence FROM cg_edges WHERE target % 3 = 0) o ON i.source = o.source AND i.target = o.target AND i.kind = o.kind""",
+    """SELECT i.source, i.target, i.kind, CASE WHEN fan > 12 THEN 'candidate' WHEN o.source IS NULL THEN CASE WHEN i.confidence >= 0.95 THEN 'canonical' ELSE 'candidate' END WHEN o.confidence >= 0.95 THEN 'keep' ELSE 'replace' END AS decision
+FROM (SELECT source, target, kind, confidence FROM cg_edges) i JOIN (SELECT source, kind, count(DISTINCT target) AS fan FROM cg_edges GROUP BY 1, 2) f ON i.source = f.source AND i.kind = f.kind
+LEFT JOIN (SELECT source, target, kind, confidence FROM cg_edges WHERE provenance = 'heuristic') o ON i.source = o.source AND i.target = o.target AND i.kind = o.kind""",
 )
 def edge_policy(x):
     band = F.when(F.col("confidence") >= 0.95, "certain").otherwise("medium")
-    old = x.edges.where("target % 3 = 0").select("source", "target", "kind", "confidence", band.alias("band"), F.lit("closure").alias("coverage"))
-    new = x.edges.where("target % 2 = 0").select("source", "target", "kind", "confidence", band.alias("band"), F.lit("repo").alias("coverage"))
-    return graph.edge_policy(old, new, max_fan_out=2).select("source", "target", "kind", "decision")
+    old = x.edges.where("provenance = 'heuristic'").select("source", "target", "kind", "confidence", band.alias("band"), F.lit("closure").alias("coverage"))
+    new = x.edges.select("source", "target", "kind", "confidence", band.alias("band"), F.lit("repo").alias("coverage"))
+    return graph.edge_policy(old, new, max_fan_out=12).select("source", "target", "kind", "decision")
 
 
 # --- resolution, trace, semantics, streaming -------------------------------------------------
@@ -494,11 +498,11 @@ def resolve_strategies(x):
 
 @query(
     "",
-    """WITH flow AS (SELECT DISTINCT l_orderkey * 2 AS s, l_partkey * 2 + 1 AS t FROM lineitem WHERE l_orderkey % 40 = 0)
+    """WITH flow AS (SELECT DISTINCT l_orderkey * 2 AS s, l_partkey * 2 + 1 AS t FROM lineitem)
 SELECT s AS parameter, t AS sink, CAST(CASE WHEN count(*) OVER (PARTITION BY s) > 1 THEN 0.85 ELSE 1.0 END AS DOUBLE) AS confidence FROM flow""",
 )
 def param_reaches(x):
-    flow = x.table("lineitem").where("l_orderkey % 40 = 0").select((F.col("l_orderkey") * 2).alias("source"), (F.col("l_partkey") * 2 + 1).alias("target")).distinct()
+    flow = x.table("lineitem").select((F.col("l_orderkey") * 2).alias("source"), (F.col("l_partkey") * 2 + 1).alias("target")).distinct()
     nodes = flow.select(F.col("source").alias("node_id"), F.lit(1).alias("function_id"), F.lit("parameter").alias("kind")).unionByName(flow.select(F.col("target").alias("node_id"), F.lit(1).alias("function_id"), F.lit("call_arg").alias("kind"))).distinct()
     return trace.parameter_summaries(nodes, flow).select("parameter", "sink", "confidence")
 
@@ -506,13 +510,13 @@ def param_reaches(x):
 @query(
     "cg_edges",
     """WITH best AS (SELECT target, max(source) AS source FROM cg_edges WHERE kind = 'references' GROUP BY target),
-walk AS (SELECT DISTINCT target AS sink, target AS node, 0 AS step, [target] AS seen FROM cg_edges WHERE target < 60 UNION ALL SELECT sink, source, step + 1, list_append(seen, source) FROM walk JOIN best ON best.target = node WHERE step < 12 AND NOT list_contains(seen, source))
+walk AS (SELECT DISTINCT target AS sink, target AS node, 0 AS step, [target] AS seen FROM cg_edges UNION ALL SELECT sink, source, step + 1, list_append(seen, source) FROM walk JOIN best ON best.target = node WHERE step < 12 AND NOT list_contains(seen, source))
 SELECT sink, step, node FROM walk""",
     recursive=True,
 )
 def slice_path(x):
     edges = x.edges.where("kind = 'references'").select("source", "target", F.lit(1).alias("priority"))
-    return trace.backward_slices(x.edges.where("target < 60").select(F.col("target").alias("sink")), edges, 12).select("sink", "step", "node")
+    return trace.backward_slices(x.edges.select(F.col("target").alias("sink")), edges, 12).select("sink", "step", "node")
 
 
 @query(
@@ -563,13 +567,13 @@ def windowed_stream(x):
 
 @query(
     "cg_effects",
-    """WITH c AS (SELECT DISTINCT function_id % 20 AS switch_id, ord % 4 AS case_id, effect, function_id % 7 AS resource FROM cg_effects WHERE effect <> 'call' AND ord % 3 = 0),
+    """WITH c AS (SELECT DISTINCT function_id AS switch_id, ord % 6 AS case_id, effect, function_id % 7 AS resource FROM cg_effects WHERE effect <> 'call'),
 n AS (SELECT switch_id, count(DISTINCT case_id) AS n FROM c GROUP BY 1), m AS (SELECT switch_id, resource, effect, count(DISTINCT case_id) AS k FROM c GROUP BY 1, 2, 3)
 SELECT m.switch_id, m.resource, m.effect, e.case_id AS missing_case FROM m JOIN n ON m.switch_id = n.switch_id JOIN (SELECT DISTINCT switch_id, case_id FROM c) e ON e.switch_id = m.switch_id
 WHERE n.n >= 3 AND m.k = n.n - 1 AND NOT EXISTS (SELECT 1 FROM c WHERE c.switch_id = m.switch_id AND c.case_id = e.case_id AND c.resource = m.resource AND c.effect = m.effect)""",
 )
 def all_but_one_outlier(x):
-    cases = x.effects.where("effect <> 'call' AND ord % 3 = 0").select((F.col("function_id") % 20).alias("switch_id"), (F.col("ord") % 4).alias("case_id"), (F.col("function_id") % 7).alias("resource"), "effect")
+    cases = x.effects.where("effect <> 'call'").select(F.col("function_id").alias("switch_id"), (F.col("ord") % 6).alias("case_id"), (F.col("function_id") % 7).alias("resource"), "effect")
     return semantic.all_but_one(cases)
 
 
