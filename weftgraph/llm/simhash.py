@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.llm.common import arrow_schema, cut, map_rows, read_table
+from weftgraph.operators.joins import spread_join
 
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -255,22 +256,6 @@ def links(distinct: DataFrame, radius: int = 4, blocks: int | None = None, chunk
     return rows.repartition("t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b", "side").mapInArrow(run, schema)
 
 
-#: Most keys that :func:`spread_join` broadcasts.
-HOT_KEYS = 50_000
-
-
-def spread_join(left: DataFrame, right: DataFrame, key: str, total: int, n: str = "n") -> DataFrame:
-    """``left`` joined with ``right``, which has a row for each key with the number of its rows in ``left`` (column ``n``, left out).
-
-    Keys of over ``total / HOT_KEYS`` rows (256 at least) would gather in a task: there are
-    ``HOT_KEYS`` of them at most, so they are broadcast and their rows stay where they are.
-    """
-    most = max(256, -(-total // HOT_KEYS))
-    hot = F.broadcast(right.where(F.col(n) > most).drop(n))
-    rest = left.join(hot.select(key), key, "left_anti").join(right.where(F.col(n) <= most).drop(n), key)
-    return left.join(hot, key).unionByName(rest)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``edges (u, v)`` that is not the least of its component.
 
