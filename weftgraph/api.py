@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.functions.columns import in_scope
+from weftgraph.functions.columns import in_scope, language_of
 from weftgraph.operators import graph, incremental, joins, resolve, search, semantic, trace
 from weftgraph.sources import files, tables
 
@@ -18,18 +18,18 @@ class Engine:
 
     @classmethod
     def index(cls, spark, root: str) -> Engine:
-        """Build facts from the Python sources below ``root``: extract, resolve, derive edges."""
+        """Build facts from the sources below ``root``: extract, resolve, derive edges."""
         sources = tables.cut(files.read_sources(spark, root), "sources")
         rows = tables.cut(files.extract(sources), "facts")
         of = lambda fact: rows.where(F.col("fact") == fact)
         listed = sources.select(F.col("path").alias("file_id"), "path", "language", F.col("text_hash").alias("content_hash"))
-        symbols = of("symbol").select(F.col("id").alias("symbol_id"), F.col("path").alias("file_id"), "path", F.lit("python").alias("language"), "kind", "name", "qualified_name", "start_byte", "end_byte", "start_line", "end_line")
+        symbols = of("symbol").select(F.col("id").alias("symbol_id"), F.col("path").alias("file_id"), "path", language_of(F.col("path")).alias("language"), "kind", "name", "qualified_name", "start_byte", "end_byte", "start_line", "end_line")
         holders = symbols.select(F.col("symbol_id").alias("container_id"), F.col("qualified_name").alias("parent"), "file_id")
         symbols = symbols.join(of("symbol").select(F.col("id").alias("symbol_id"), "parent"), "symbol_id", "left").join(holders, ["file_id", "parent"], "left").drop("parent")
         symbols = tables.cut(symbols.dropDuplicates(["symbol_id"]), "symbols")
-        references = of("reference").select(F.col("id").alias("reference_id"), F.col("path").alias("file_id"), "path", F.lit("python").alias("language"), "kind", "name", F.col("start_byte").alias("pos"))
+        references = of("reference").select(F.col("id").alias("reference_id"), F.col("path").alias("file_id"), "path", language_of(F.col("path")).alias("language"), "kind", "name", F.col("start_byte").alias("pos"))
         imports = of("import").select(F.col("path").alias("file_id"), "name", F.regexp_replace(F.regexp_replace(F.substring_index("target", ":", 1), r"^\.+", ""), r"\.", "/").alias("module"))
-        targets = listed.select(F.col("file_id").alias("target_file"), F.regexp_replace(F.regexp_replace("path", r"\.py$", ""), "/__init__$", "").alias("stem"))
+        targets = listed.select(F.col("file_id").alias("target_file"), F.regexp_replace(F.regexp_replace("path", r"\.[^./]+$", ""), "/__init__$", "").alias("stem"))
         found = imports.join(targets, F.col("stem").endswith(F.col("module")) & (F.substring_index("stem", "/", -1) == F.substring_index("module", "/", -1)))
         resolved = tables.cut(resolve.resolve(references, symbols, found.select("file_id", "name", "target_file")), "resolved")
         ranges = symbols.where("kind IN ('function', 'method', 'class')").select("file_id", "start_byte", "end_byte", F.col("symbol_id").alias("source_symbol"))

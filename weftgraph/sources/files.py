@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.columns import LANGUAGES, any_of, glob_regex, language_of
+from weftgraph.sources import scanner
 
 EXTENSIONS = tuple(LANGUAGES)
 
@@ -238,22 +239,24 @@ def extract_python(path: str, text: str) -> list[tuple]:
 def extract(sources: DataFrame, modes: tuple[str, ...] = ("symbol", "scope", "reference", "import", "callsite", "binding", "use", "dataflow", "cfg")) -> DataFrame:
     """Facts of ``sources (path, language, text)``, one row each; a file that cannot be parsed gives one ``diagnostic``.
 
-    Python is the language with an extractor here; other files give no facts.
-    Null texts count as empty.
+    Python is parsed by its own grammar; the languages of ``scanner.SPECS`` are
+    scanned (no control flow and no reads); other files give no facts.  Null texts
+    count as empty.
     """
     names = [c.split()[0] for c in FACT.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows: list[tuple] = []
-            for path, text in zip(frame["path"], frame["text"]):
+            for path, language, text in zip(frame["path"], frame["language"], frame["text"]):
                 try:
-                    rows += [r for r in extract_python(path, text or "") if r[1] in modes]
+                    found = extract_python(path, text or "") if language == "python" else scanner.extract_source(path, language, text or "")
+                    rows += [r for r in found if r[1] in modes]
                 except (SyntaxError, ValueError, RecursionError) as e:
                     rows.append((path, "diagnostic", hashlib.sha256(path.encode()).hexdigest(), None, type(e).__name__, str(e), *[None] * 8))
             yield pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in ("arity", "start_byte", "end_byte", "start_line", "end_line")})
 
-    return sources.where("language = 'python'").select("path", "text").mapInPandas(run, FACT)
+    return sources.where(F.col("language").isin("python", *scanner.SPECS)).select("path", "language", "text").mapInPandas(run, FACT)
 
 
 def excerpt(text, start: int, end: int, most: int = 65_536):
