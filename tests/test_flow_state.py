@@ -171,3 +171,16 @@ def test_catalog_generations_and_metadata(spark, tmp_path, monkeypatch):
     catalog.set_metadata("k", "1")
     catalog.set_metadata("k", "2")
     assert catalog.metadata("k") == "2"
+
+
+def test_search_index_reads_few_files(spark, tmp_path):
+    from weftgraph.operators import search
+
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "alpha betas gamma"), (3, None), (4, "delta")], "id int, text string")
+    index = search.SearchIndex(spark, str(tmp_path / "index")).build(docs, "id", ["text"])
+    postings = search.inverted_index(docs, "id", ["text"])
+    for q in ("alpha beta", "beta", "delta", "", "nothing"):
+        want = {r.id: round(r.score, 9) for r in search.bm25(postings, q, 4, 2.0).collect()}
+        assert {r.id: round(r.score, 9) for r in index.search(q).collect()} == want
+    plan = index.postings().where("token = 'beta'")._jdf.queryExecution().toString()
+    assert "EqualTo(token,beta)" in plan

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.columns import KIND_ALIASES, in_scope, is_test_path, kind_weight, name_similarity, snake
@@ -57,6 +57,33 @@ def bm25(postings: DataFrame, query: str, n_docs: int, avg_len: float) -> DataFr
     return part.join(F.broadcast(df), "term").groupBy("id").agg(F.sum(weight).alias("score"), F.count("*").alias("n")).where(F.col("n") == len(words)).select("id", "score")
 
 
+class SearchIndex:
+    """Postings and document figures below ``folder``, written once and read by every search.
+
+    Postings are range-partitioned and sorted by (token, id): a common token spreads over files, and the
+    statistics of the files leave out those without the tokens of a search.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def build(self, docs: DataFrame, id_col: str, text_cols: list[str]) -> SearchIndex:
+        """Index ``docs`` in place of what was there; null texts have no tokens, ids are unique."""
+        postings = inverted_index(docs, id_col, text_cols)
+        postings.repartitionByRange("token", "id").sortWithinPartitions("token", "id").write.mode("overwrite").parquet(f"{self.folder}/postings")
+        lengths = self.postings().groupBy("id").agg(F.max("len").alias("len")).agg(F.avg("len").alias("avg_len"))
+        docs.agg(F.count("*").alias("n_docs")).crossJoin(lengths).write.mode("overwrite").parquet(f"{self.folder}/figures")
+        return self
+
+    def postings(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/postings")
+
+    def search(self, query: str) -> DataFrame:
+        """``id, score`` as :func:`bm25` gives them."""
+        n_docs, avg_len = self.spark.read.parquet(f"{self.folder}/figures").select("n_docs", "avg_len").first()
+        return bm25(self.postings(), query, n_docs, avg_len or 1.0)
+
+
 def like(symbols: DataFrame, pattern: str) -> DataFrame:
     """Symbols whose name or qualified name holds the pattern, ignoring case; nothing for an empty one."""
     pattern = re.sub("[%_]", "", pattern).lower()
@@ -80,9 +107,10 @@ def scored(symbols: DataFrame, query: str, degrees: DataFrame, fts: DataFrame) -
     """
     q = F.lit(query)
     joined = symbols.join(degrees.withColumnRenamed("node", "symbol_id"), "symbol_id", "left").join(fts.select(F.col("id").alias("symbol_id"), F.col("score").alias("fts")), "symbol_id", "left")
-    joined = cut(joined, "search")
-    top = joined.agg(F.max("fts").alias("max_fts"), F.max("degree").alias("max_degree"))
-    joined = joined.crossJoin(F.broadcast(top))
+    known = symbols.select("symbol_id")
+    best = fts.join(known, F.col("id") == F.col("symbol_id"), "left_semi").agg(F.max("score").alias("max_fts"))
+    top = best.crossJoin(degrees.join(known, F.col("node") == F.col("symbol_id"), "left_semi").agg(F.max("degree").alias("max_degree")))
+    joined = joined.crossJoin(F.broadcast(top))  # one row
     share = lambda x, most: F.when(F.coalesce(most, F.lit(0)) > 0, F.coalesce(x, F.lit(0)) / most).otherwise(0.0)
     qualified = F.when(F.lower("qualified_name") == F.lower(q), 1.0).when(F.lower("qualified_name").contains(query.lower()), 0.7).otherwise(0.0)
     total = (

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions import columns as C
 from weftgraph.operators import graph, incremental, joins, resolve, search, semantic, trace
 from weftgraph.plans.lens import Lens, with_views
+from weftgraph.sources.tables import fresh_path
 from weftgraph.streaming import sync
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -336,14 +337,14 @@ def word_overlap(x):
 # --- search --------------------------------------------------------------------------------
 
 
-@query(
-    "",
-    r"""WITH p AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS token FROM documents),
+_BM25 = r"""WITH p AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS token FROM documents),
 l AS (SELECT id, count(*) AS len FROM p GROUP BY id), st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT avg(len) FROM l) AS avg_len),
 m AS (SELECT id, CASE WHEN token = 'the' THEN 0 ELSE 1 END AS term, count(*) AS tf FROM p WHERE token = 'the' OR starts_with(token, 'thtion') GROUP BY 1, 2),
 d AS (SELECT term, count(*) AS df FROM m GROUP BY term)
-SELECT m.id, round(sum(ln((st.n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score FROM m JOIN d ON m.term = d.term JOIN l ON m.id = l.id CROSS JOIN st GROUP BY m.id HAVING count(*) = 2""",
-)
+SELECT m.id, round(sum(ln((st.n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score FROM m JOIN d ON m.term = d.term JOIN l ON m.id = l.id CROSS JOIN st GROUP BY m.id HAVING count(*) = 2"""
+
+
+@query("", _BM25)
 def bm25_documents(x):
     docs = x.table("documents")
     postings = search.inverted_index(docs, "doc_id", ["text"])
@@ -351,6 +352,12 @@ def bm25_documents(x):
     return search.bm25(postings, "the thtion", n, avg_len).select("id", F.round("score", 6).alias("score"))
 
 
+@query("", _BM25)
+def bm25_indexed(x):
+    index = search.SearchIndex(x.spark, fresh_path(x.spark, "search-index")).build(x.table("documents"), "doc_id", ["text"])
+    return index.search("the thtion").select("id", F.round("score", 6).alias("score"))
+
+
 _SNAKE = "array_to_string(list_transform(regexp_extract_all({0}, '[A-Z]+|[a-z]+|[0-9]+'), lambda w: lower(w)), '_')"
 
 
