@@ -73,3 +73,23 @@ def test_engine_over_languages(spark, tmp_path):
     names = {r.symbol_id: (r.language, r.name) for r in engine.facts["symbols"].collect()}
     calls = {(names[r.source], names[r.target]) for r in engine.facts["edges"].where("kind = 'calls'").collect()}
     assert calls == {(("go", "main"), ("go", "helper")), (("java", "f"), ("java", "g")), (("python", "p"), ("python", "q"))}
+
+
+def test_sync_equals_a_new_index(spark, tmp_path):
+    (tmp_path / "a.py").write_text("def p():\n    return q()\n")
+    (tmp_path / "b.py").write_text("def q():\n    return 1\n")
+    (tmp_path / "c.go").write_text("package main\nfunc main() { q() }\n")
+    (tmp_path / "d.py").write_text("def r():\n    return p()\n")
+    engine = Engine.index(spark, str(tmp_path))
+    (tmp_path / "b.py").write_text("def other():\n    return p()\n\ndef q2():\n    return other()\n")
+    (tmp_path / "d.py").unlink()
+    (tmp_path / "e.go").write_text("package main\nfunc q() int { return 1 }\n")
+    synced, changes = engine.sync(str(tmp_path))
+    short = {r.path.rsplit("/", 1)[-1]: r.change for r in changes.collect()}
+    assert short == {"a.py": "unchanged", "b.py": "modified", "c.go": "unchanged", "d.py": "deleted", "e.go": "new"}
+    fresh = Engine.index(spark, str(tmp_path))
+    for name in fresh.facts:
+        rows = lambda e, n=name: sorted(map(repr, e.facts[n].collect()))
+        assert rows(synced) == rows(fresh), name
+    again, changes = synced.sync(str(tmp_path))
+    assert {r.change for r in changes.collect()} == {"unchanged"} and again.facts["edges"].count() == fresh.facts["edges"].count()

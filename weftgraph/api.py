@@ -20,7 +20,24 @@ class Engine:
     def index(cls, spark, root: str) -> Engine:
         """Build facts from the sources below ``root``: extract, resolve, derive edges."""
         sources = tables.cut(files.read_sources(spark, root), "sources")
-        rows = tables.cut(files.extract(sources), "facts")
+        return cls.built(sources, tables.cut(files.extract(sources), "facts"))
+
+    def sync(self, root: str) -> tuple[Engine, DataFrame]:
+        """The engine of the tree as it is now, and the change of every path; only new and modified files are extracted again.
+
+        What refers to a changed or deleted file may resolve elsewhere now, so resolution and
+        edges follow from all facts: the result equals that of a new index.
+        """
+        sources = tables.cut(files.read_sources(self.facts["files"].sparkSession, root), "sources")
+        known = self.facts["files"].select("path", "content_hash", F.lit(0).alias("capability_mask"))
+        changes = tables.cut(incremental.change_classes(known, sources.select("path", F.col("text_hash").alias("content_hash"))), "changes")
+        kept = self.facts["facts"].join(changes.where("change = 'unchanged'").select("path"), "path", "left_semi")
+        again = files.extract(sources.join(incremental.dirty(changes), "path", "left_semi"))
+        return self.built(sources, tables.cut(kept.select(*again.columns).unionByName(again), "facts")), changes
+
+    @classmethod
+    def built(cls, sources: DataFrame, rows: DataFrame) -> Engine:
+        """The engine of ``sources (path, language, text_hash, …)`` and their fact ``rows``: resolve, derive edges."""
         of = lambda fact: rows.where(F.col("fact") == fact)
         listed = sources.select(F.col("path").alias("file_id"), "path", "language", F.col("text_hash").alias("content_hash"))
         symbols = of("symbol").select(F.col("id").alias("symbol_id"), F.col("path").alias("file_id"), "path", language_of(F.col("path")).alias("language"), "kind", "name", "qualified_name", "start_byte", "end_byte", "start_line", "end_line")
