@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.columns import in_scope, language_of
-from weftgraph.operators import graph, incremental, joins, resolve, search, semantic, trace
+from weftgraph.operators import graph, incremental, joins, resolve, search, semantic, state, trace
 from weftgraph.sources import files, tables
+from weftgraph.streaming.watch import Watcher
 
 
 class Engine:
@@ -35,6 +38,13 @@ class Engine:
         again = files.extract(sources.join(incremental.dirty(changes), "path", "left_semi"))
         return self.built(sources, tables.cut(kept.select(*again.columns).unionByName(again), "facts")), changes
 
+    def watch(self, root: str, seconds: float = 1.0, most: int | None = None) -> Iterator[tuple[Engine, DataFrame]]:
+        """A synced engine and the changed paths, each time that sources below ``root`` change; ends after ``most`` looks where that is set."""
+        engine = self
+        for changes in Watcher(self.facts["files"].sparkSession, root).events(seconds, most):
+            engine, _ = engine.sync(root)
+            yield engine, changes
+
     @classmethod
     def built(cls, sources: DataFrame, rows: DataFrame) -> Engine:
         """The engine of ``sources (path, language, text_hash, …)`` and their fact ``rows``: resolve, derive edges."""
@@ -48,12 +58,13 @@ class Engine:
         imports = of("import").select(F.col("path").alias("file_id"), "name", F.regexp_replace(F.regexp_replace(F.substring_index("target", ":", 1), r"^\.+", ""), r"\.", "/").alias("module"))
         targets = listed.select(F.col("file_id").alias("target_file"), F.regexp_replace(F.regexp_replace("path", r"\.[^./]+$", ""), "/__init__$", "").alias("stem"))
         found = imports.join(targets, F.col("stem").endswith(F.col("module")) & (F.substring_index("stem", "/", -1) == F.substring_index("module", "/", -1)))
-        resolved = tables.cut(resolve.resolve(references, symbols, found.select("file_id", "name", "target_file")), "resolved")
+        found = tables.cut(found.select("file_id", "name", "target_file"), "imported")
+        resolved = tables.cut(resolve.resolve(references, symbols, found), "resolved")
         ranges = symbols.where("kind IN ('function', 'method', 'class')").select("file_id", "start_byte", "end_byte", F.col("symbol_id").alias("source_symbol"))
         owners = joins.innermost(references.select("reference_id", "file_id", "kind", "pos"), ranges, ["file_id"]).select("reference_id", "kind", "source_symbol")
         linked = owners.join(resolved, "reference_id").select("reference_id", "source_symbol", "kind", F.col("symbol_id").alias("target"), "confidence", F.col("strategy").alias("provenance"))
         edges = tables.cut(graph.derive_edges(linked, symbols.select("symbol_id", "kind", "container_id")), "edges")
-        return cls({"files": listed, "symbols": symbols, "references": references, "edges": edges, "resolved": resolved, "imports": imports, "facts": rows})
+        return cls({"files": listed, "symbols": symbols, "references": references, "edges": edges, "resolved": resolved, "imports": imports, "imported_files": found.select("file_id", "target_file").distinct(), "facts": rows})
 
     def status(self) -> DataFrame:
         counts = [df.agg(F.lit(name).alias("table"), F.count("*").alias("n")) for name, df in sorted(self.facts.items())]
@@ -102,9 +113,21 @@ class Engine:
             "relations": counts,
         }
 
-    def file_dependencies(self) -> DataFrame:
-        """``file_id, module`` of imports."""
-        return self.facts["imports"].select("file_id", "module").distinct()
+    def file_dependencies(self, source: str = "both") -> DataFrame:
+        """``file_id, depends_on, source``: files that a file needs, by ``edges`` between symbols, by the ``manifest`` of imports, or both.
+
+        Edges win where both tell of a dependency; imports from outside of the project are none.
+        """
+        holds = self.facts["symbols"].select("symbol_id", "file_id")
+        edges = self.facts["edges"].select("source", "target").join(holds.withColumnRenamed("symbol_id", "source"), "source")
+        edges = edges.join(holds.select(F.col("symbol_id").alias("target"), F.col("file_id").alias("depends_on")), "target")
+        manifest = self.facts["imported_files"].select("file_id", F.col("target_file").alias("depends_on"))
+        parts = [df.where("file_id <> depends_on") if source in (name, "both") else df.limit(0) for name, df in (("edges", edges), ("manifest", manifest))]
+        return state.merged_dependencies(*parts)
+
+    def dependents(self, files: DataFrame, source: str = "both") -> DataFrame:
+        """``file_id, depends_on, source`` of the files that need one of ``files (file_id)``."""
+        return self.file_dependencies(source).join(files.select(F.col("file_id").alias("depends_on")).distinct(), "depends_on", "left_semi")
 
     def trace_callers(self, symbols: DataFrame, depth: int = 5) -> DataFrame:
         return trace.caller_chains(self.facts["edges"], self.facts["symbols"], symbols, depth)

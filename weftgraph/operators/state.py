@@ -18,6 +18,23 @@ from weftgraph.operators.resolve import resolve
 TIERS = ("none", "manifest", "structural", "dataflow", "full")
 #: Where a resolution holds, by its strategy.
 SCOPES = {"compiler": "boundary", "exact_name": "closure_complete", "same_file": "closure_complete", "import": "closure_complete", "implicit_operator": "closure_complete", "name_only": "boundary", "fuzzy": "boundary", "heuristic": "boundary", "builtin": "boundary", "dataflow_pointer": "boundary"}
+#: What a question loads around its subject, in order, and the facts it needs.  Type graphs go one deeper in the background.
+FOCUS = {
+    "semantic_function": ((), "dataflow"),
+    "symbol_detail": (("imports", "same_folder"), "structural"),
+    "calls": (("calls", "imports"), "call_graph"),
+    "context": (("calls", "types", "imports"), "call_graph"),
+    "explore": (("calls", "imports"), "call_graph"),
+    "path": (("calls", "imports"), "call_graph"),
+    "impact": (("calls", "types", "imports"), "call_graph"),
+    "search": (("imports", "same_folder"), "structural"),
+    "trace_point": (("imports", "same_folder"), "structural"),
+    "trace_variable": (("calls", "types", "imports", "same_folder"), "dataflow"),
+}
+#: Least, usual and most rounds of background loading for questions with a depth of their own, else the one number of rounds.
+ROUNDS = {"calls": (1, 1, 5), "path": (1, 5, 10), "impact": (1, 3, 5), "trace_variable": (2, 2, 5), "explore": 2, "context": 2, "search": 1, "symbol_detail": 1, "trace_point": 1, "semantic_function": 0}
+#: States of a job.
+OPEN, CLOSED = ("queued", "building"), ("complete", "failed")
 #: Rule kinds that a rule may have.
 RULE_KINDS = ("alloc", "free", "escape", "callback")
 
@@ -170,6 +187,81 @@ def refresh_plan(dirty: DataFrame, n_files: int, max_files: int = 500) -> str:
     return "none" if n == 0 else "incremental" if n <= max_files and 2 * n <= n_files else "full"
 
 
+def focus_plan(question: str, depth: int | None = None, background: bool = False, language: str = "") -> tuple[list[tuple[str, int]], int]:
+    """Ways to load around a question's subject, each with its depth, and in how many further rounds (none but in the background)."""
+    ways = [(w, 2 if w == "types" and background else 1) for w in FOCUS[question][0]]
+    if question == "trace_variable" and language == "arkts":
+        ways.append(("state_channels", 1))
+    rounds = ROUNDS[question]
+    if not isinstance(rounds, int):
+        least, usual, most = rounds
+        rounds = min(max(usual if depth is None else depth, least), most)
+    return ways, rounds if background else 0
+
+
+def focus_files(edges: DataFrame, symbols: DataFrame, imports: DataFrame, files: DataFrame, seeds: DataFrame, ways: list[tuple[str, int]]) -> DataFrame:
+    """``file_id`` of the files that a plan's ways reach from ``seeds (symbol_id)``, those of the seeds included.
+
+    ``edges (source, target, kind)``, ``symbols (symbol_id, file_id)``, ``imports (file_id, target_file)``, ``files (file_id, path)``.
+    """
+    kinds = {"calls": ("calls", "instantiates", "implements"), "types": ("extends", "implements", "references")}
+    own = seeds.join(symbols.select("symbol_id", "file_id"), "symbol_id").select("file_id").distinct()
+    out = own
+    for way, depth in ways:
+        if way in kinds:
+            near = bfs(edges.where(F.col("kind").isin(*kinds[way])), seeds.select("symbol_id").distinct(), depth).select(F.col("node").alias("symbol_id")).distinct()
+            out = out.unionByName(near.join(symbols.select("symbol_id", "file_id"), "symbol_id").select("file_id"))
+        elif way == "imports":
+            out = out.unionByName(plan_dependencies(imports, own, depth))
+        elif way == "same_folder":
+            placed = files.select("file_id", F.regexp_replace("path", "[^/]*$", "").alias("folder"))
+            out = out.unionByName(placed.join(placed.join(own, "file_id").select("folder").distinct(), "folder", "left_semi").select("file_id"))
+    return out.distinct()
+
+
+def enqueue(jobs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Jobs ``(job_id, file_id, unit_id, layer, priority, depends_on, status, error)`` after a request for more.
+
+    A request for what a queued or building job does already adds none; of equal requests the most urgent is kept.
+    """
+    what = ["file_id", "unit_id", "layer"]
+    new = newest(rows.withColumn("status", F.lit("queued")).withColumn("error", F.lit(None).cast("string")).select(*jobs.columns), what, "priority")
+    busy = jobs.where(F.col("status").isin(*OPEN)).select(*[F.col(c).alias(f"__{c}") for c in what]).distinct()
+    return jobs.unionByName(new.join(busy, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in what], "left_anti"))
+
+
+def runnable(jobs: DataFrame, most: int) -> DataFrame:
+    """The ``most`` queued jobs to build next: greatest priority first, then least id; a job waits until the one it depends on is complete."""
+    done = jobs.where("status = 'complete'").select(F.col("job_id").alias("__d"))
+    queued = jobs.where("status = 'queued'")
+    free = queued.where("depends_on IS NULL").unionByName(queued.join(done, queued["depends_on"] == F.col("__d"), "left_semi"))
+    return free.orderBy(F.desc("priority"), "job_id").limit(most)
+
+
+def advance(jobs: DataFrame, moves: DataFrame) -> DataFrame:
+    """Jobs after ``moves (job_id, status, error)``: queued to building, building to complete or failed; other moves change nothing.
+
+    Moves of one job are taken as one: the last in the order of states.
+    """
+    order = F.array_position(F.array(*[F.lit(s) for s in (*OPEN, *CLOSED)]), F.col("to"))
+    last = moves.select("job_id", F.col("status").alias("to"), F.col("error").alias("why")).groupBy("job_id").agg(F.max_by(F.struct("to", "why"), F.struct(order, "why")).alias("m"))
+    may = ((F.col("status") == "queued") & (F.col("m.to") == "building")) | ((F.col("status") == "building") & F.col("m.to").isin(*CLOSED))
+    joined = jobs.join(last, "job_id", "left").withColumn("__may", F.coalesce(may, F.lit(False)))
+    values = {"status": F.when(F.col("__may"), F.col("m.to")).otherwise(F.col("status")), "error": F.when(F.col("__may") & (F.col("m.to") == "failed"), F.col("m.why")).otherwise(F.col("error"))}
+    return joined.select(*[values.get(c, F.col(c)).alias(c) for c in jobs.columns])
+
+
+def tickets(requests: DataFrame, jobs: DataFrame) -> DataFrame:
+    """``ticket, n_jobs, n_open, n_failed, status``: whether what a question waits for is pending, ready, or partly failed; ``requests (ticket, job_id)``.
+
+    A job that is not known any more is done with.
+    """
+    held = requests.distinct().join(jobs.select("job_id", "status"), "job_id", "left")
+    n = lambda *s: F.count(F.when(F.col("status").isin(*s), 1))
+    counts = held.groupBy("ticket").agg(F.count("*").alias("n_jobs"), n(*OPEN).alias("n_open"), n("failed").alias("n_failed"))
+    return counts.withColumn("status", F.when(F.col("n_open") > 0, "pending").when(F.col("n_failed") > 0, "partial").otherwise("ready"))
+
+
 def guard_precision(current: str, requested: str, force: bool = False) -> None:
     """Refuse an index run that would replace richer facts by poorer ones."""
     if not force and current in TIERS and TIERS.index(requested) < TIERS.index(current):
@@ -210,12 +302,16 @@ def evidence(edges: DataFrame, nodes: DataFrame, subjects: DataFrame, direction:
 
 
 def context_view(edges: DataFrame, nodes: DataFrame, subjects: DataFrame, most: int = 10) -> DataFrame:
-    """``subject, part, other, name``: callers, callees and peers of the same file of each subject, ``most`` of each part."""
+    """``subject, part, other, name``: callers, callees and peers of the same file of each subject, ``most`` of each part.
+
+    Peers are the first symbols of the file but the subject itself, so a file's first ``most + 1`` hold all that any subject has.
+    """
     calls = ("calls", "instantiates", "implements")
     parts = [evidence(edges, nodes, subjects, d, calls, most).select("subject", F.lit(part).alias("part"), "other", "name").distinct() for d, part in (("incoming", "callers"), ("outgoing", "callees"))]
     here = nodes.join(subjects.distinct(), "symbol_id", "left_semi").select(F.col("symbol_id").alias("subject"), "file_id")
     order = Window.partitionBy("subject").orderBy("other")
-    peers = here.join(nodes.select("file_id", F.col("symbol_id").alias("other"), "name"), "file_id").where("other <> subject").withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most)
+    first = nodes.select("file_id", F.col("symbol_id").alias("other"), "name").withColumn("__k", F.row_number().over(Window.partitionBy("file_id").orderBy("other"))).where(F.col("__k") <= most + 1).drop("__k")
+    peers = here.join(first, "file_id").where("other <> subject").withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most)
     return parts[0].unionByName(parts[1]).unionByName(peers.select("subject", F.lit("peers").alias("part"), "other", "name"))
 
 

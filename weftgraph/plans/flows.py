@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from weftgraph.functions import resources
 from weftgraph.operators import flow, graph, joins, resolve, state
 from weftgraph.plans.registry import _CALL_SQL, _TEST_SQL, query
 
@@ -79,14 +80,14 @@ def transfer_graph(x):
 
 @query(
     "cg_effects",
-    """WITH o AS (SELECT DISTINCT function_id, ord % 4 AS place, effect FROM cg_effects WHERE ord % 11 = 0),
+    """WITH o AS (SELECT DISTINCT function_id, ord % 4 AS place, effect FROM cg_effects WHERE effect <> 'call'),
 c AS (SELECT DISTINCT function_id AS caller, function_id * 3 % 150 AS callee, ord % 4 AS param, (ord + 1) % 4 AS arg FROM cg_effects WHERE effect = 'call'),
 w AS (SELECT function_id, place, effect FROM o UNION SELECT c.caller, c.arg, w.effect FROM w JOIN c ON c.callee = w.function_id AND c.param = w.place)
 SELECT w.function_id, w.place, w.effect, o.effect IS NOT NULL AS own FROM w LEFT JOIN o ON o.function_id = w.function_id AND o.place = w.place AND o.effect = w.effect""",
     recursive=True,
 )
 def composed_effects(x):
-    own = x.effects.where("ord % 11 = 0").select("function_id", (F.col("ord") % 4).alias("place"), "effect")
+    own = x.effects.where("effect <> 'call'").select("function_id", (F.col("ord") % 4).alias("place"), "effect")
     calls = x.effects.where("effect = 'call'").select("function_id", (F.col("function_id") * 3 % 150).alias("callee"), (F.col("ord") % 4).alias("parameter"), ((F.col("ord") + 1) % 4).alias("argument"))
     return flow.composed_effects(own, calls)
 
@@ -234,7 +235,7 @@ def fuzzy_nearby(x):
 
 @query(
     "cg_files cg_symbols cg_refs",
-    f"""WITH i AS (SELECT DISTINCT r.file_id, r.name, CASE WHEN r.reference_id % 2 = 0 THEN s.file_id ELSE -1 END AS target_file FROM cg_refs r JOIN cg_symbols s ON s.symbol_id = r.target WHERE r.reference_id % 30 = 0 OR r.reference_id % 30 = 15),
+    f"""WITH i AS (SELECT DISTINCT r.file_id, r.name, CASE WHEN r.reference_id % 2 = 0 THEN s.file_id ELSE -1 END AS target_file FROM cg_refs r JOIN cg_symbols s ON s.symbol_id = r.target WHERE r.kind = 'type'),
 c AS (SELECT r.reference_id, r.file_id, r.name, s.symbol_id, s.file_id AS sf, f.path AS rp, s.path AS sp, CASE WHEN regexp_replace(f.path, '/[^/]*$', '') = regexp_replace(s.path, '/[^/]*$', '') THEN 0 WHEN split_part(f.path, '/', 1) = split_part(s.path, '/', 1) THEN 1 ELSE 2 END AS tier,
  NOT {_TEST_SQL.replace("path", "s.path")} OR {_TEST_SQL.replace("path", "f.path")} AS ok FROM cg_refs r JOIN cg_files f ON f.file_id = r.file_id JOIN cg_symbols s ON s.name = r.name),
 own AS (SELECT reference_id, min(symbol_id) AS symbol_id FROM c WHERE sf = file_id GROUP BY 1),
@@ -244,7 +245,7 @@ SELECT reference_id, symbol_id, 1.0::DOUBLE AS confidence, 'same_file' AS strate
 )
 def resolve_rows(x):
     refs = x.refs.select("reference_id", "file_id", "name", "kind").join(x.files, "file_id")
-    some = x.refs.where("reference_id % 30 = 0 OR reference_id % 30 = 15").join(x.symbols.select(F.col("symbol_id").alias("target"), F.col("file_id").alias("there")), "target")
+    some = x.refs.where("kind = 'type'").join(x.symbols.select(F.col("symbol_id").alias("target"), F.col("file_id").alias("there")), "target")
     imports = some.select("file_id", "name", F.when(F.col("reference_id") % 2 == 0, F.col("there")).otherwise(F.lit(-1)).alias("target_file")).distinct()
     return resolve.resolve(refs, x.symbols, imports)
 
@@ -390,21 +391,21 @@ def unresolved_hints(x):
 
 @query(
     "cg_files cg_symbols cg_edges",
-    "SELECT subject, other, name, kind, confidence FROM (SELECT e.target AS subject, e.source AS other, kind, confidence, row_number() OVER (PARTITION BY e.target ORDER BY confidence DESC, e.source, kind) AS n FROM cg_edges e WHERE e.target < 50 AND e.target IN (SELECT symbol_id FROM cg_symbols)) t JOIN (SELECT symbol_id, name FROM cg_symbols) s ON s.symbol_id = t.other WHERE n <= 10",
+    "SELECT subject, other, name, kind, confidence FROM (SELECT e.target AS subject, e.source AS other, kind, confidence, row_number() OVER (PARTITION BY e.target ORDER BY confidence DESC, e.source, kind) AS n FROM cg_edges e WHERE e.target IN (SELECT symbol_id FROM cg_symbols)) t JOIN (SELECT symbol_id, name FROM cg_symbols) s ON s.symbol_id = t.other WHERE n <= 10",
 )
 def relation_evidence(x):
-    return state.evidence(x.edges, x.symbols, x.symbols.where("symbol_id < 50").select("symbol_id")).drop("path")
+    return state.evidence(x.edges, x.symbols, x.symbols.select("symbol_id")).drop("path")
 
 
 @query(
     "cg_files cg_symbols cg_edges",
     f"""WITH e AS (SELECT target AS subject, source AS other, kind, confidence, 'callers' AS part FROM cg_edges WHERE {_CALL_SQL} UNION ALL SELECT source, target, kind, confidence, 'callees' FROM cg_edges WHERE {_CALL_SQL}),
-t AS (SELECT subject, part, other FROM (SELECT *, row_number() OVER (PARTITION BY subject, part ORDER BY confidence DESC, other, kind) AS n FROM e WHERE subject < 20) x WHERE n <= 10),
-p AS (SELECT subject, 'peers' AS part, other FROM (SELECT a.symbol_id AS subject, b.symbol_id AS other, row_number() OVER (PARTITION BY a.symbol_id ORDER BY b.symbol_id) AS n FROM cg_symbols a JOIN cg_symbols b ON a.file_id = b.file_id AND a.symbol_id <> b.symbol_id WHERE a.symbol_id < 20) x WHERE n <= 10)
+t AS (SELECT subject, part, other FROM (SELECT *, row_number() OVER (PARTITION BY subject, part ORDER BY confidence DESC, other, kind) AS n FROM e WHERE subject IN (SELECT symbol_id FROM cg_symbols)) x WHERE n <= 10),
+p AS (SELECT subject, 'peers' AS part, other FROM (SELECT a.symbol_id AS subject, b.symbol_id AS other, row_number() OVER (PARTITION BY a.symbol_id ORDER BY b.symbol_id) AS n FROM cg_symbols a JOIN cg_symbols b ON a.file_id = b.file_id AND a.symbol_id <> b.symbol_id) x WHERE n <= 10)
 SELECT DISTINCT u.subject, u.part, u.other, s.name FROM (SELECT * FROM t UNION ALL SELECT * FROM p) u JOIN cg_symbols s ON s.symbol_id = u.other""",
 )
 def context_view(x):
-    return state.context_view(x.edges, x.symbols, x.symbols.where("symbol_id < 20").select("symbol_id"))
+    return state.context_view(x.edges, x.symbols, x.symbols.select("symbol_id"))
 
 
 @query("cg_files", "SELECT '{\"file_id\":' || file_id || ',\"path\":\"' || path || '\"}' AS json FROM cg_files")
@@ -436,3 +437,74 @@ def decoded_arguments(x):
     text = F.concat(F.lit('[{"value":"'), F.get_json_object("props", "$.k"), F.lit('","start_byte":7}]'))
     args = state.decoded_arguments(text)
     return x.table("events").select("event_id", args[0]["value"].alias("value"), args[0]["start_byte"].alias("start_byte"))
+
+
+# --- jobs, tickets, focus and resources --------------------------------------------------------
+
+_JOBS_SQL = """j AS (SELECT o_orderkey AS job_id, o_custkey AS file_id, o_orderpriority AS layer, 5 - CAST(substring(o_orderpriority, 1, 1) AS INTEGER) AS priority,
+ CASE WHEN o_orderkey > 100 AND o_orderpriority = '2-HIGH' THEN o_orderkey - o_orderkey % 100 END AS depends_on, CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'P' THEN 'building' ELSE 'complete' END AS status FROM orders)"""
+
+
+def _jobs(x):
+    key, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    waits = F.when((key > 100) & (F.col("o_orderpriority") == "2-HIGH"), key - key % 100)
+    state_ = F.when(status == "O", "queued").when(status == "P", "building").otherwise("complete")
+    return x.table("orders").select(key.alias("job_id"), F.col("o_custkey").alias("file_id"), F.lit(None).cast("string").alias("unit_id"), F.col("o_orderpriority").alias("layer"), (5 - F.substring("o_orderpriority", 1, 1).cast("int")).alias("priority"), waits.alias("depends_on"), state_.alias("status"), F.lit(None).cast("string").alias("error"))
+
+
+@query("", f"WITH {_JOBS_SQL} SELECT job_id, priority FROM j WHERE status = 'queued' AND (depends_on IS NULL OR depends_on IN (SELECT job_id FROM j WHERE status = 'complete')) ORDER BY priority DESC, job_id LIMIT 50")
+def runnable_jobs(x):
+    return state.runnable(_jobs(x), 50).select("job_id", "priority")
+
+
+@query(
+    "",
+    f"""WITH {_JOBS_SQL}, n AS (SELECT 0 - max(event_id) AS job_id, user_id AS file_id, CASE event_type WHEN 'error' THEN '1-URGENT' ELSE '2-HIGH' END AS layer FROM events GROUP BY 2, 3)
+SELECT job_id, file_id, layer, status FROM j UNION ALL SELECT job_id, file_id, layer, 'queued' FROM n WHERE NOT EXISTS (SELECT 1 FROM j WHERE j.file_id = n.file_id AND j.layer = n.layer AND status <> 'complete')""",
+)
+def enqueued_jobs(x):
+    event = F.col("event_id")
+    asked = x.table("events").select((-event).alias("job_id"), F.col("user_id").alias("file_id"), F.lit(None).cast("string").alias("unit_id"), F.when(F.col("event_type") == "error", "1-URGENT").otherwise("2-HIGH").alias("layer"), event.cast("int").alias("priority"), F.lit(None).cast("long").alias("depends_on"))
+    return state.enqueue(_jobs(x), asked).select("job_id", "file_id", "layer", "status")
+
+
+@query(
+    "",
+    f"""WITH {_JOBS_SQL}, m AS (SELECT l_orderkey AS job_id, max(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END) AS s FROM lineitem GROUP BY 1)
+SELECT job_id, CASE WHEN status = 'queued' AND s = 1 THEN 'building' WHEN status = 'building' AND s = 2 THEN 'complete' WHEN status = 'building' AND s = 3 THEN 'failed' ELSE status END AS status,
+ CASE WHEN status = 'building' AND s = 3 THEN 'R' END AS error FROM j LEFT JOIN m USING (job_id)""",
+)
+def advanced_jobs(x):
+    mark = F.col("l_returnflag")
+    moves = x.table("lineitem").select(F.col("l_orderkey").alias("job_id"), F.when(mark == "A", "building").when(mark == "N", "complete").otherwise("failed").alias("status"), mark.alias("error"))
+    return state.advance(_jobs(x), moves).select("job_id", "status", "error")
+
+
+@query(
+    "",
+    f"WITH {_JOBS_SQL} SELECT l_suppkey AS ticket, count(*) AS n_jobs, count(*) FILTER (WHERE status <> 'complete') AS n_open, CASE WHEN count(*) FILTER (WHERE status <> 'complete') > 0 THEN 'pending' ELSE 'ready' END AS status FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem) l LEFT JOIN j ON job_id = l_orderkey GROUP BY 1",
+)
+def ticket_states(x):
+    return state.tickets(x.table("lineitem").select(F.col("l_suppkey").alias("ticket"), F.col("l_orderkey").alias("job_id")), _jobs(x)).drop("n_failed")
+
+
+@query(
+    "cg_files cg_symbols cg_edges",
+    f"""WITH s AS (SELECT symbol_id, file_id FROM cg_symbols WHERE kind = 'class'), own AS (SELECT DISTINCT file_id FROM s),
+e AS (SELECT source, target FROM cg_edges WHERE {_CALL_SQL} UNION SELECT target, source FROM cg_edges WHERE {_CALL_SQL})
+SELECT file_id FROM own UNION SELECT y.file_id FROM e JOIN s ON s.symbol_id = e.source JOIN cg_symbols y ON y.symbol_id = e.target
+UNION SELECT f.file_id + 1 FROM own f JOIN cg_files g ON g.file_id = f.file_id WHERE g.language = 'rust'""",
+)
+def focus_files(x):
+    ways, _ = state.focus_plan("calls")
+    imports = x.files.where("language = 'rust'").select("file_id", (F.col("file_id") + 1).alias("target_file"))
+    return state.focus_files(x.edges, x.symbols, imports, x.files, x.symbols.where("kind = 'class'").select("symbol_id"), ways)
+
+
+@query("cg_refs cg_files", """SELECT r.reference_id, CASE f.language WHEN 'python' THEN CASE WHEN n = 'db.connect' THEN 'new_owned' END WHEN 'go' THEN CASE WHEN n = 'os.open' THEN 'new_owned' END WHEN 'rust' THEN CASE WHEN n = 'box::new' THEN 'new_owned' END WHEN 'c' THEN CASE WHEN n = 'malloc' THEN 'new_owned' END END AS made,
+ CASE WHEN n = 'f.close' AND f.language IN ('python', 'go') THEN 'method' WHEN n = 'buf_free' AND f.language = 'c' THEN 'explicit' END AS ended
+FROM (SELECT reference_id, file_id, CASE reference_id % 6 WHEN 0 THEN 'db.connect' WHEN 1 THEN 'os.open' WHEN 2 THEN 'box::new' WHEN 3 THEN 'malloc' WHEN 4 THEN 'f.close' ELSE 'buf_free' END AS n FROM cg_refs) r JOIN cg_files f USING (file_id)""")
+def resource_calls(x):
+    names = F.array(*[F.lit(n) for n in ("db.connect", "os.Open", "Box::new", "malloc", "f.close", "buf_free")])
+    calls = x.refs.select("reference_id", "file_id", F.get(names, (F.col("reference_id") % 6).cast("int")).alias("callee")).join(x.files, "file_id")
+    return calls.select("reference_id", resources.returned(F.col("callee"), F.col("language")).alias("made"), resources.ended(F.col("callee"), F.col("language")).alias("ended"))

@@ -37,16 +37,16 @@ def nodes_in_range(x):
     return x.symbols.where("file_id = 3 AND kind = 'class' AND start_byte >= 300 AND end_byte <= 199999").select("symbol_id")
 
 
-@query("cg_edges", "SELECT source AS node, target AS neighbour, kind FROM cg_edges WHERE source < 30 UNION SELECT target, source, kind FROM cg_edges WHERE target < 30")
+@query("cg_edges", "SELECT source AS node, target AS neighbour, kind FROM cg_edges UNION SELECT target, source, kind FROM cg_edges")
 def neighbour_kinds(x):
-    out = x.edges.where("source < 30").select(F.col("source").alias("node"), F.col("target").alias("neighbour"), "kind")
-    back = x.edges.where("target < 30").select(F.col("target").alias("node"), F.col("source").alias("neighbour"), "kind")
+    out = x.edges.select(F.col("source").alias("node"), F.col("target").alias("neighbour"), "kind")
+    back = x.edges.select(F.col("target").alias("node"), F.col("source").alias("neighbour"), "kind")
     return out.unionByName(back).distinct()
 
 
-@query("cg_edges", "SELECT target AS symbol_id, source AS used_by FROM cg_edges WHERE target < 50")
+@query("cg_edges", "SELECT target AS symbol_id, source AS used_by FROM cg_edges")
 def usage_symbols(x):
-    return x.edges.where("target < 50").select(F.col("target").alias("symbol_id"), F.col("source").alias("used_by"))
+    return x.edges.select(F.col("target").alias("symbol_id"), F.col("source").alias("used_by"))
 
 
 @query(
