@@ -9,6 +9,7 @@ from weftgraph.api import Engine
 from weftgraph.plans import lookups, more, registry  # noqa: F401
 from weftgraph.plans.lens import TABLES
 from weftgraph.sources import files
+from weftgraph.streaming.watch import Watcher
 
 FIXTURE = "/root/testdata/sf0.001"
 PROJECT = {
@@ -96,3 +97,21 @@ def test_pushdown(spark):
 
     plan = Lens(spark, FIXTURE).table("lineitem").where(F.col("l_orderkey") == 7).select("l_partkey")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(l_orderkey), EqualTo(l_orderkey,7)]" in plan and "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint>" in plan
+
+
+def test_dependencies_between_files_and_watch(spark, tmp_path):
+    (tmp_path / "a.py").write_text("def f():\n    return 1\n")
+    (tmp_path / "b.py").write_text("from a import f\n\ndef g():\n    return f()\n")
+    (tmp_path / "c.py").write_text("import a\nimport os\n")
+    engine = Engine.index(spark, str(tmp_path))
+    rows = lambda df: {tuple(r) for r in df.select("file_id", "depends_on", "source").collect()}
+    assert rows(engine.file_dependencies("edges")) == {("b.py", "a.py", "edges")}
+    assert ("c.py", "a.py", "manifest") in rows(engine.file_dependencies()) and ("b.py", "a.py", "edges") in rows(engine.file_dependencies())
+    assert {r[0] for r in rows(engine.dependents(spark.createDataFrame([("a.py",)], "file_id string")))} == {"b.py", "c.py"}
+    watch = Watcher(spark, str(tmp_path))
+    assert watch.poll().collect() == []
+    (tmp_path / "a.py").write_text("def f():\n    return 22\n")
+    (tmp_path / "c.py").unlink()
+    (tmp_path / "d.py").write_text("x = 1\n")
+    assert {r.path: r.change for r in watch.poll().collect()} == {"a.py": "modified", "c.py": "deleted", "d.py": "new"}
+    assert list(watch.events(0, 2)) == []

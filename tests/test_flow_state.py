@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from weftgraph.functions import resources
 from weftgraph.operators import flow, graph, incremental, joins, state
 from weftgraph.sources import tables
 
@@ -184,3 +185,47 @@ def test_search_index_reads_few_files(spark, tmp_path):
         assert {r.id: round(r.score, 9) for r in index.search(q).collect()} == want
     plan = index.postings().where("token = 'beta'")._jdf.queryExecution().toString()
     assert "EqualTo(token,beta)" in plan
+
+
+def test_jobs_wait_run_and_end(spark):
+    kind = "job_id long, file_id long, unit_id string, layer string, priority int, depends_on long, status string, error string"
+    jobs = spark.createDataFrame([(1, 1, None, "s", 1, None, "queued", None), (2, 1, "u", "s", 9, 1, "queued", None), (3, 2, None, "s", 5, None, "building", None), (4, 3, None, "s", 5, None, "complete", None)], kind)
+    asked = spark.createDataFrame([(10, 1, None, "s", 3, None), (11, 3, None, "s", 2, None), (12, 3, None, "s", 7, None), (13, 1, "v", "s", 1, None)], "job_id long, file_id long, unit_id string, layer string, priority int, depends_on long")
+    assert {r.job_id for r in state.enqueue(jobs, asked).collect()} == {1, 2, 3, 4, 12, 13}
+    assert {r.job_id for r in state.enqueue(jobs.limit(0), asked.limit(0)).collect()} == set()
+    assert [r.job_id for r in state.runnable(jobs, 5).collect()] == [1]
+    moves = lambda *rows: spark.createDataFrame(rows, "job_id long, status string, error string")
+    after = state.advance(jobs, moves((1, "building", None), (2, "complete", None), (3, "building", None), (3, "failed", "why"), (4, "queued", None), (99, "failed", "x")))
+    assert {r.job_id: (r.status, r.error) for r in after.collect()} == {1: ("building", None), 2: ("queued", None), 3: ("failed", "why"), 4: ("complete", None)}
+    done = state.advance(after, moves((1, "complete", None)))
+    assert [r.job_id for r in state.runnable(done, 5).collect()] == [2]
+    asks = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2), ("c", 3), ("c", 4), ("d", 77)], "ticket string, job_id long")
+    assert {r.ticket: (r.n_jobs, r.status) for r in state.tickets(asks, done).collect()} == {"a": (1, "ready"), "b": (1, "pending"), "c": (2, "partial"), "d": (1, "ready")}
+
+
+def test_focus_plans():
+    assert state.focus_plan("calls", 9) == ([("calls", 1), ("imports", 1)], 0)
+    assert state.focus_plan("impact", 9, True) == ([("calls", 1), ("types", 2), ("imports", 1)], 5)
+    assert state.focus_plan("trace_variable", 1, True, "arkts")[0][-1] == ("state_channels", 1) and state.focus_plan("trace_variable", 1, True)[1] == 2
+    assert state.focus_plan("search", None, True)[1] == 1 and state.focus_plan("semantic_function", 3, True) == ([], 0)
+
+
+def test_peers_are_the_first_of_a_file(spark):
+    nodes = spark.createDataFrame([(k, k % 2, f"n{k}", "p") for k in range(40)], "symbol_id long, file_id long, name string, path string")
+    edges = spark.createDataFrame([], "source long, target long, kind string, confidence double")
+    got = {}
+    for r in state.context_view(edges, nodes, nodes.select("symbol_id"), 3).collect():
+        got.setdefault(r.subject, set()).add(r.other)
+    assert got == {k: set([j for j in range(k % 2, 40, 2) if j != k][:3]) for k in range(40)}
+
+
+def test_calls_on_resources(spark):
+    calls = [("malloc", "c"), ("REALLOC", "java"), ("x.connect", "python"), ("os.Open", "go"), ("conn.Close", "go"), ("buf_free", "c"), ("defer free", "c"), ("std::mem::forget", "rust"), ("clearTimeout", "javascript"), ("mine", "c"), ("free", None), (None, "c"), ("open", "cangjie")]
+    df = spark.createDataFrame(calls, "callee string, language string")
+    c, l = df["callee"], df["language"]
+    none = df.select("callee", resources.returned(c, l, {"c": ("mi*",)}).alias("made"), resources.ended(c, l).alias("ended"), resources.escapes(c, l, df["language"]).alias("out"), resources.cleaned_at_exit(c, l).alias("clean")).collect()
+    assert [r.made for r in none] == ["new_owned", "maybe_owned", "new_owned", "new_owned", None, None, None, None, None, "new_owned", None, None, None]
+    assert [r.ended for r in none] == [None, None, None, None, "method", "explicit", None, "explicit", "explicit", None, None, None, None]
+    assert [r.callee for r in none if r.out] == ["std::mem::forget"] and [r.callee for r in none if r.clean] == ["REALLOC", "std::mem::forget"]
+    gone = spark.createDataFrame([("work", "go", "go_goroutine"), ("work", "go", None)], "c string, l string, x string")
+    assert [r[0] for r in gone.select(resources.escapes(gone["c"], gone["l"], gone["x"])).collect()] == [True, False]
