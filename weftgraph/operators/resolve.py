@@ -47,48 +47,57 @@ def resolve(references: DataFrame, symbols: DataFrame, imports: DataFrame | None
     Ties go to the least symbol id; null names never resolve.  Symbols of test
     files serve global stages only for references in test files.  Every stage joins
     references to symbols reduced to one row per name and place, so references are
-    never multiplied by the number of symbols of a common name.
+    never multiplied by the number of symbols of a common name.  It ends where nothing is left.
     """
-    todo = cut(without_builtins(references.where("name IS NOT NULL")), "refs")
+    placed = [c.alias(f"__{n}") for n, c in place_columns(F.col("path")).items()]
+    todo = cut(without_builtins(references.where("name IS NOT NULL")).select("*", is_test_path(F.col("path")).alias("__test"), *placed), "refs")
     own = symbols.where("name IS NOT NULL").select("symbol_id", "file_id", "name", F.col("kind").isin(*CALLABLE).alias("callable"), is_test_path(F.col("path")).alias("test"), *[c.alias(n) for n, c in place_columns(F.col("path")).items()])
     own = cut(own, "symbols")
     done = []
 
-    def settle(found: DataFrame, confidence, strategy: str) -> None:
+    def settle(found: DataFrame, confidence, strategy: str, last: bool = False) -> int:
+        """Take what a stage found and keep the rest, of which it returns the number."""
         nonlocal todo
         found = cut(found.where("symbol_id IS NOT NULL").select("reference_id", "symbol_id", F.round(confidence, 6).alias("confidence"), F.lit(strategy).alias("strategy")), "resolved")
         done.append(found)
-        todo = cut(todo.join(found, "reference_id", "left_anti").select(*references.columns), "refs")
+        if last:
+            return 0
+        todo = cut(todo.join(found, "reference_id", "left_anti").select(*todo.columns), "refs")
+        return todo.count()
 
     in_file = own.groupBy("file_id", "name").agg(F.min("symbol_id").alias("any"), F.min(F.when(F.col("callable"), F.col("symbol_id"))).alias("called"))
     mine = F.when(F.col("kind") == "call", F.col("called")).otherwise(F.col("any")).alias("symbol_id")
-    settle(todo.join(in_file, ["file_id", "name"]).select("reference_id", mine), F.lit(1.0), "same_file")
-    if imports is not None:
+    n = settle(todo.join(in_file, ["file_id", "name"]).select("reference_id", mine), F.lit(1.0), "same_file")
+    if n and imports is not None:
         named = cut(imports.select("file_id", "name", "target_file").distinct(), "imports")
         reach = named.join(in_file.withColumnRenamed("file_id", "target_file"), ["target_file", "name"]).groupBy("file_id", "name").agg(F.min("any").alias("any"), F.min("called").alias("called"))
         settle(todo.join(reach, ["file_id", "name"]).select("reference_id", mine), F.lit(0.8), "import")
-        todo = todo.join(named.select("file_id", "name").distinct(), ["file_id", "name"], "left_anti").select(*references.columns)  # imported but unresolved: no global fallback
+        todo = todo.join(named.select("file_id", "name").distinct(), ["file_id", "name"], "left_anti").select(*todo.columns)  # imported but unresolved: no global fallback
+        todo = cut(todo, "refs")
+        n = todo.count()
     choices = {"any": F.lit(True), "call": F.col("callable"), "main": ~F.col("test"), "main_call": F.col("callable") & ~F.col("test")}
+    choice = F.when(F.col("kind") == "call", F.when(F.col("__test"), "call").otherwise("main_call")).otherwise(F.when(F.col("__test"), "any").otherwise("main"))
     for key, confidence in ((F.col("name"), 1.0), (F.lower("name"), 0.9)):
-        tested = is_test_path(F.col("path"))
-        choice = F.when(F.col("kind") == "call", F.when(tested, "call").otherwise("main_call")).otherwise(F.when(tested, "any").otherwise("main"))
-        left = todo.select("reference_id", key.alias("k"), choice.alias("choice"), *[c.alias(n) for n, c in place_columns(F.col("path")).items()])
+        if not n:
+            break
+        left = todo.select("reference_id", key.alias("k"), choice.alias("choice"), F.col("__folder").alias("folder"), F.col("__top").alias("top"))
         right = own.select("symbol_id", key.alias("k"), "folder", "top", "callable", "test")
         # each name and place is looked up once; a common one's references stay spread when the answer comes back
         place = ["k", "choice", "folder", "top"]
-        left = cut(left, "refs")
         asked = cut(left.groupBy(*place).agg(F.count("*").alias("n")), "places")
         answers = nearest_by_key(asked, right, choices, F.col("choice")).select(*place, "n", "symbol_id")
-        settle(spread_join(left, cut(answers, "answers"), place, left.count()), F.lit(confidence), "exact_name")
-    left = fuzzy_eligible(todo).withColumn("tested", is_test_path(F.col("path")))
+        n = settle(spread_join(left, cut(answers, "answers"), place, n), F.lit(confidence), "exact_name")
+    if not n:
+        return reduce(DataFrame.unionByName, done)
+    left = fuzzy_eligible(todo)
     near = fuzzy_names(left.select(F.col("name").alias("query")), own.select("name"))
     near = near.withColumn("similarity", name_similarity(F.col("query"), F.col("name"))).where(F.col("similarity") >= min_similarity)
     least = own.groupBy("name").agg(F.min("symbol_id").alias("any"), F.min(F.when(~F.col("test"), F.col("symbol_id"))).alias("main"))
     close = near.select(F.col("query"), "name", "similarity").join(least, "name").select(F.col("query").alias("name"), "similarity", "any", "main")
-    pairs = left.join(close, "name").withColumn("symbol_id", F.when(F.col("tested"), F.col("any")).otherwise(F.col("main"))).where("symbol_id IS NOT NULL")
+    pairs = left.join(close, "name").withColumn("symbol_id", F.when(F.col("__test"), F.col("any")).otherwise(F.col("main"))).where("symbol_id IS NOT NULL")
     order = F.struct(-F.col("similarity"), "symbol_id")
     best = pairs.groupBy("reference_id").agg(F.min_by("symbol_id", order).alias("symbol_id"), F.max("similarity").alias("similarity"))
-    settle(best, F.col("similarity"), "fuzzy")
+    settle(best, F.col("similarity"), "fuzzy", last=True)
     return reduce(DataFrame.unionByName, done)
 
 
