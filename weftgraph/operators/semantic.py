@@ -192,7 +192,8 @@ def match_rules(names: DataFrame, rules: DataFrame) -> DataFrame:
     joined by language, so a name meets its language's rules only.
     """
     on = rules.where(F.col("status") == "enabled")
-    some = names.select("name", "language").dropna().distinct()
+    # each column has its own condition: one on both would make Spark pair their tables first, where they come of different ones
+    some = names.select("name", "language").where(F.col("name").isNotNull()).where(F.col("language").isNotNull()).distinct()
     both = some.select("name", "language", F.explode(F.array("language", F.lit("*"))).alias("rule_language"))
     hit = both.join(on.withColumnRenamed("language", "rule_language"), "rule_language").where(rule_matches(F.col("pattern_kind"), F.col("pattern"), F.col("name")))
     order = F.struct((F.col("rule_language") == "*").cast("int"), -F.col("confidence"), "rule_id")
