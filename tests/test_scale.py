@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from weftgraph.operators import joins
+from weftgraph.operators import joins, resolve
 from weftgraph.plans import flows, registry  # noqa: F401  (each adds its queries)
 
 
@@ -62,3 +62,17 @@ def test_relative_modules_are_looked_up_once(spark):
     found = joins.relative_modules(many, files)
     assert sorted(tuple(r) for r in found.collect()) == [(k, 2) for k in range(1000)]
     assert most_rows(found, "Generate") < 100
+
+
+def test_resolution_broadcasts_no_table_of_references_or_symbols(spark):
+    files = spark.range(20).select(F.col("id").alias("file_id"), F.concat(F.lit("a/f"), "id").alias("path"), F.lit("go").alias("language"))
+    symbols = spark.range(60).select(F.col("id").alias("symbol_id"), (F.col("id") % 20).alias("file_id"), F.concat(F.lit("name"), F.col("id") % 30).alias("name"), F.lit("function").alias("kind")).join(files, "file_id")
+    references = spark.range(90).select(F.col("id").alias("reference_id"), (F.col("id") % 20).alias("file_id"), F.concat(F.lit("name"), F.col("id") % 35).alias("name"), F.lit("type").alias("kind")).join(files, "file_id")
+    imports = spark.createDataFrame([(0, "name5", 15)], "file_id long, name string, target_file long")
+    store = spark._jsparkSession.sharedState().statusStore()
+    began = store.executionsCount()
+    assert {r.strategy for r in resolve.resolve(references, symbols, imports).collect()} >= {"same_file", "exact_name", "fuzzy"}
+    plans = [store.executionsList(began, 10_000).apply(i).physicalPlanDescription() for i in range(store.executionsCount() - began)]
+    keys = re.findall(r"BroadcastHashJoin[^\n]*\nLeft keys \[\d+\]: \[([^\]]*)\]", "\n".join(plans))
+    assert any(k.startswith("k#") for k in keys)  # names of very many references still are
+    assert [k for k in keys if re.match("reference_id|file_id#[0-9L]+, name|target_file", k)] == []

@@ -39,6 +39,14 @@ def fuzzy_eligible(references: DataFrame) -> DataFrame:
     return references.where((F.length("name") >= 3) & F.col("name").rlike("^[A-Za-z_$][A-Za-z0-9_$]*$") & (F.col("kind") != "call"))
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``cut`` for tables with a row for each reference or symbol: their joins are shuffled.
+
+    Ids and repeated names compress so well that millions of rows look small enough to broadcast, which the driver's memory would not hold.
+    """
+    return cut(df, name).hint("merge")
+
+
 def resolve(references: DataFrame, symbols: DataFrame, imports: DataFrame | None = None, min_similarity: float = 0.4) -> DataFrame:
     """``reference_id, symbol_id, confidence, strategy`` of every reference that resolves.
 
@@ -50,30 +58,30 @@ def resolve(references: DataFrame, symbols: DataFrame, imports: DataFrame | None
     never multiplied by the number of symbols of a common name.  It ends where nothing is left.
     """
     placed = [c.alias(f"__{n}") for n, c in place_columns(F.col("path")).items()]
-    todo = cut(without_builtins(references.where("name IS NOT NULL")).select("*", is_test_path(F.col("path")).alias("__test"), *placed), "refs")
+    todo = kept(without_builtins(references.where("name IS NOT NULL")).select("*", is_test_path(F.col("path")).alias("__test"), *placed), "refs")
     own = symbols.where("name IS NOT NULL").select("symbol_id", "file_id", "name", F.col("kind").isin(*CALLABLE).alias("callable"), is_test_path(F.col("path")).alias("test"), *[c.alias(n) for n, c in place_columns(F.col("path")).items()])
-    own = cut(own, "symbols")
+    own = kept(own, "symbols")
     done = []
 
     def settle(found: DataFrame, confidence, strategy: str, last: bool = False) -> int:
         """Take what a stage found and keep the rest, of which it returns the number."""
         nonlocal todo
-        found = cut(found.where("symbol_id IS NOT NULL").select("reference_id", "symbol_id", F.round(confidence, 6).alias("confidence"), F.lit(strategy).alias("strategy")), "resolved")
+        found = kept(found.where("symbol_id IS NOT NULL").select("reference_id", "symbol_id", F.round(confidence, 6).alias("confidence"), F.lit(strategy).alias("strategy")), "resolved")
         done.append(found)
         if last:
             return 0
-        todo = cut(todo.join(found, "reference_id", "left_anti").select(*todo.columns), "refs")
+        todo = kept(todo.join(found, "reference_id", "left_anti").select(*todo.columns), "refs")
         return todo.count()
 
     in_file = own.groupBy("file_id", "name").agg(F.min("symbol_id").alias("any"), F.min(F.when(F.col("callable"), F.col("symbol_id"))).alias("called"))
     mine = F.when(F.col("kind") == "call", F.col("called")).otherwise(F.col("any")).alias("symbol_id")
     n = settle(todo.join(in_file, ["file_id", "name"]).select("reference_id", mine), F.lit(1.0), "same_file")
     if n and imports is not None:
-        named = cut(imports.select("file_id", "name", "target_file").distinct(), "imports")
+        named = kept(imports.select("file_id", "name", "target_file").distinct(), "imports")
         reach = named.join(in_file.withColumnRenamed("file_id", "target_file"), ["target_file", "name"]).groupBy("file_id", "name").agg(F.min("any").alias("any"), F.min("called").alias("called"))
         settle(todo.join(reach, ["file_id", "name"]).select("reference_id", mine), F.lit(0.8), "import")
         todo = todo.join(named.select("file_id", "name").distinct(), ["file_id", "name"], "left_anti").select(*todo.columns)  # imported but unresolved: no global fallback
-        todo = cut(todo, "refs")
+        todo = kept(todo, "refs")
         n = todo.count()
     choices = {"any": F.lit(True), "call": F.col("callable"), "main": ~F.col("test"), "main_call": F.col("callable") & ~F.col("test")}
     choice = F.when(F.col("kind") == "call", F.when(F.col("__test"), "call").otherwise("main_call")).otherwise(F.when(F.col("__test"), "any").otherwise("main"))
@@ -84,9 +92,9 @@ def resolve(references: DataFrame, symbols: DataFrame, imports: DataFrame | None
         right = own.select("symbol_id", key.alias("k"), "folder", "top", "callable", "test")
         # each name and place is looked up once; a common one's references stay spread when the answer comes back
         place = ["k", "choice", "folder", "top"]
-        asked = cut(left.groupBy(*place).agg(F.count("*").alias("n")), "places")
+        asked = kept(left.groupBy(*place).agg(F.count("*").alias("n")), "places")
         answers = nearest_by_key(asked, right, choices, F.col("choice")).select(*place, "n", "symbol_id")
-        n = settle(spread_join(left, cut(answers, "answers"), place, n), F.lit(confidence), "exact_name")
+        n = settle(spread_join(left, kept(answers, "answers"), place, n), F.lit(confidence), "exact_name")
     if not n:
         return reduce(DataFrame.unionByName, done)
     left = fuzzy_eligible(todo)
