@@ -76,3 +76,12 @@ def test_resolution_broadcasts_no_table_of_references_or_symbols(spark):
     keys = re.findall(r"BroadcastHashJoin[^\n]*\nLeft keys \[\d+\]: \[([^\]]*)\]", "\n".join(plans))
     assert any(k.startswith("k#") for k in keys)  # names of very many references still are
     assert [k for k in keys if re.match("reference_id|file_id#[0-9L]+, name|target_file", k)] == []
+
+
+def test_strategies_are_counted_without_such_broadcasts(spark):
+    store = spark._jsparkSession.sharedState().statusStore()
+    began = store.executionsCount()
+    assert [r.strategy for r in registry.QUERIES["resolve_strategies"](spark, "/root/testdata/sf0.001").collect()] == ["same_file"]
+    plans = [store.executionsList(began, 10_000).apply(i).physicalPlanDescription() for i in range(store.executionsCount() - began)]
+    keys = re.findall(r"BroadcastHashJoin[^\n]*\nLeft keys \[\d+\]: \[([^\]]*)\]", "\n".join(plans))
+    assert [k for k in keys if re.match("reference_id|file_id#[0-9L]+, name", k)] == []
