@@ -85,3 +85,11 @@ def test_strategies_are_counted_without_such_broadcasts(spark):
     plans = [store.executionsList(began, 10_000).apply(i).physicalPlanDescription() for i in range(store.executionsCount() - began)]
     keys = re.findall(r"BroadcastHashJoin[^\n]*\nLeft keys \[\d+\]: \[([^\]]*)\]", "\n".join(plans))
     assert [k for k in keys if re.match("reference_id|file_id#[0-9L]+, name", k)] == []
+
+
+def test_resolution_carries_no_paths(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(resolve, "cut", lambda df, name, f=resolve.cut: written.append((name, df.columns)) or f(df, name))
+    assert [tuple(r) for r in registry.QUERIES["resolve_strategies"](spark, "/root/testdata/sf0.001").collect()] == [("same_file", 1500)]
+    tables = [columns for name, columns in written if name == "refs"]
+    assert tables and all({"path", "language"}.isdisjoint(c) for c in tables)

@@ -58,7 +58,8 @@ def resolve(references: DataFrame, symbols: DataFrame, imports: DataFrame | None
     never multiplied by the number of symbols of a common name.  It ends where nothing is left.
     """
     placed = [c.alias(f"__{n}") for n, c in place_columns(F.col("path")).items()]
-    todo = kept(without_builtins(references.where("name IS NOT NULL")).select("*", is_test_path(F.col("path")).alias("__test"), *placed), "refs")
+    # without the path, which is most of a row: a stage writes and shuffles all that it leaves
+    todo = kept(without_builtins(references.where("name IS NOT NULL")).select("reference_id", "file_id", "name", "kind", is_test_path(F.col("path")).alias("__test"), *placed), "refs")
     own = symbols.where("name IS NOT NULL").select("symbol_id", "file_id", "name", F.col("kind").isin(*CALLABLE).alias("callable"), is_test_path(F.col("path")).alias("test"), *[c.alias(n) for n, c in place_columns(F.col("path")).items()])
     own = kept(own, "symbols")
     done = []
